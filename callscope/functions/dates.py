@@ -36,7 +36,11 @@ def _spans(text: Column, kind: str, pattern: str) -> Column:
         start = lambda i: lengths(gaps, i + 1) + lengths(found, i)
         return F.transform(found, lambda m, i: F.struct(start(i).alias("start"), _date(kind, m).alias("day"), (start(i) + F.length(m)).alias("end")))
 
-    return let(F.struct(F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"), F.split(text, pattern, -1).alias("gaps")), place)
+    def spread(found: Column) -> Column:
+        none = F.array().cast("array<struct<start:int,day:date,end:int>>")
+        return F.when(F.size(found) == 0, none).otherwise(let(F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps")), place))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), 0), spread)
 
 
 def _date(kind: str, text: Column) -> Column:
@@ -48,18 +52,20 @@ def _date(kind: str, text: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", part(y), month, F.lpad(part(d), 2, "0")), "yyyy-MM-dd")
 
 
-def all_dates(text: Column) -> Column:
-    """array<struct<start, day, end>> in order, invalid days dropped, one a (day, start / 4)."""
-
-    def collect(norm: Column) -> Column:
-        every = [_spans(norm, k, p) for k, p in _KINDS]
-        return F.array_sort(F.filter(F.concat(*every), lambda s: s["day"].isNotNull()))
+def _dates_in(norm: Column) -> Column:
+    every = F.array_sort(F.filter(F.concat(*[_spans(norm, k, p) for k, p in _KINDS]), lambda s: s["day"].isNotNull()))
 
     def distinct(dates: Column) -> Column:
         twin = lambda s, i: F.exists(F.slice(dates, 1, i), lambda o: (o["day"] == s["day"]) & (F.floor(o["start"] / 4) == F.floor(s["start"] / 4)))
         return F.filter(dates, lambda s, i: ~twin(s, i))
 
-    return let(let(normalise(mend_year(text)), collect), distinct)
+    none = F.array().cast("array<struct<start:int,day:date,end:int>>")
+    return F.when(norm.rlike(r"20[0-4]\d"), let(every, distinct)).otherwise(none)
+
+
+def all_dates(text: Column) -> Column:
+    """array<struct<start, day, end>> in order, invalid days dropped, one a (day, start / 4)."""
+    return let(normalise(mend_year(text)), _dates_in)
 
 
 def _score(norm: Column, s: Column) -> Column:
@@ -86,7 +92,7 @@ def deadline(text: Column) -> Column:
 
     def choose(norm: Column) -> Column:
         scored = lambda dates: F.array_max(F.filter(F.transform(dates, lambda s: F.struct(_score(norm, s).alias("score"), s["day"].alias("day"), s["start"].alias("start"), F.substr(norm, F.greatest(s["start"] - 150, F.lit(0)) + 1, F.lit(360)).alias("excerpt"))), lambda s: s["score"] > 0))
-        return let(all_dates(norm), scored)
+        return let(_dates_in(norm), scored)
 
     return let(normalise(mend_year(text)), choose)
 
@@ -110,11 +116,20 @@ def status_columns(text: Column, as_of: Column, listed_open: Column | None = Non
     }
 
 
+def settled(df):
+    """The same rows behind a generator: filters on worked-out columns stop here.
+
+    Catalyst pushes a filter below projections by writing out each column it
+    names, which would work long text rules out twice or more.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+
+
 def with_status(df, text: str, as_of: str, listed_open: Column | None = None):
     """Adds status, deadline, deadline_text, days_left, confidence and excerpt."""
     day = F.lit(as_of).cast("date")
     found = df.withColumn("best", deadline(F.col(text)))
-    return found.withColumns(status_columns(F.col(text), day, listed_open)).drop("best")
+    return settled(found.withColumns(status_columns(F.col(text), day, listed_open)).drop("best"))
 
 
 def refreshed_status(status: Column, day: Column, last_seen: Column, as_of: Column, stale_days: int = 7) -> Column:

@@ -31,17 +31,23 @@ _LIGATURES = "ﬀﬁﬂﬃﬄĲĳ"
 
 
 def strip_accents(text: Column) -> Column:
-    """Compatibility form without combining marks; case and spaces stay. Native for all Latin text."""
+    """Compatibility form without combining marks; case and spaces stay. Native for all Latin text.
+
+    ASCII text passes after one look.
+    """
     out = F.translate(text, _FROM, _TO)
+    ligatures = out
     for char, plain in _MANY:
         if char in _LIGATURES:
-            out = F.replace(out, F.lit(char), F.lit(plain))
-    return F.regexp_replace(out, r"\p{M}+", "")
+            ligatures = F.replace(ligatures, F.lit(char), F.lit(plain))
+    out = F.when(out.rlike(f"[{_LIGATURES}]"), ligatures).otherwise(out)
+    out = F.when(out.rlike(r"\p{M}"), F.regexp_replace(out, r"\p{M}+", "")).otherwise(out)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
     """White space collapsed to single spaces and trimmed."""
-    return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
+    return F.trim(F.when(text.rlike(r"(?U)\s{2}|[^\S ]"), F.regexp_replace(text, r"(?U)\s+", " ")).otherwise(text))
 
 
 def normalise(text: Column) -> Column:

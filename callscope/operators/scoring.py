@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions import cues
-from callscope.functions.dates import let, with_status
+from callscope.functions.dates import let, settled, with_status
 from callscope.functions.text import contains_any, matches_any, normalise, normalise_words, path_of, prefix_pattern, strip_accents
 from callscope.operators import lexicon as L
 
@@ -97,7 +97,7 @@ def evaluate(df: DataFrame, text: str, as_of: str, profile: L.Profile = L.PROFIL
     listed = F.array_distinct(F.flatten(F.transform(axes, lambda a: a["themes"])))
     front = F.when(F.col("international") & ~F.array_contains(listed, "internacional"), F.concat(F.array(F.lit("internacional")), listed)).otherwise(listed)
     warn = lambda c, t: F.when(c, F.lit(t))
-    return rows.withColumns(
+    rows = rows.withColumns(
         {
             "relevant": relevant,
             "active": relevant & (F.col("status") == "aberto"),
@@ -107,6 +107,7 @@ def evaluate(df: DataFrame, text: str, as_of: str, profile: L.Profile = L.PROFIL
             "warnings": F.array_compact(F.array(warn(F.col("inbound_only"), "inbound mobility"), warn(F.col("public_only"), "public institutions only"), warn(F.col("status") == "verificar", "deadline not confirmed"), warn(unlocal, "no local connection"))),
         }
     ).drop("norm")
+    return settled(rows)
 
 
 def reject_reason(profile: L.Profile = L.PROFILE, need_date: Column | None = None) -> Column:

@@ -175,8 +175,9 @@ _HITS = "concat_ws(';', " + ", ".join(f"CASE WHEN {_has('n', a.terms)} THEN '{a.
 SELECT kind, id, {_HITS} AS hits FROM n WHERE {_HITS} <> ''""")
 def axis_hits(spark, d):
     rows = X.calls(spark, d).select(F.lit("c").alias("kind"), F.col("call_id").alias("id"), "text").unionByName(table(spark, d, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), "text"))
-    hits = F.array_join(F.transform(scoring.axis_hits(T.normalise(F.col("text")), L.PROFILE), lambda a: F.concat(a["key"], F.lit("="), F.array_join(a["hits"], ","))), ";")
-    return rows.select("kind", "id", hits.alias("hits")).filter("hits <> ''")
+    rows = rows.withColumn("n", T.normalise(F.col("text")))
+    hits = F.array_join(F.transform(scoring.axis_hits(F.col("n"), L.PROFILE), lambda a: F.concat(a["key"], F.lit("="), F.array_join(a["hits"], ","))), ";")
+    return dates.settled(rows.select("kind", "id", hits.alias("hits"))).filter("hits <> ''")
 
 
 _WEIGHT = "CASE " + " ".join(f"WHEN {_has('n', a.terms)} THEN {a.weight}" for a in L.PROFILE.ranked) + " ELSE 0 END"
@@ -190,9 +191,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY source_no ORDER BY pre DESC, cal
 def prequalify_topk(spark, d):
     """The reading budget: the ten best candidates of each source."""
     rows = X.calls(spark, d).withColumn("n", T.normalise(F.col("text"))).withColumn("axes", scoring.axis_hits(F.col("n"), L.PROFILE))
-    rows = rows.withColumn("pre", scoring.prequalify_score(F.col("n"), F.col("axes"), L.PROFILE)).filter(scoring.prequalified(F.col("n"), F.col("pre"), F.col("axes"), L.PROFILE))
-    w = Window.partitionBy("source_no").orderBy(F.col("pre").desc(), "call_id")
-    return rows.withColumn("place", F.row_number().over(w)).filter("place <= 10").select("call_id", "source_no", F.col("pre").cast("int").alias("pre"), "place")
+    rows = rows.withColumn("pre", scoring.prequalify_score(F.col("n"), F.col("axes"), L.PROFILE))
+    # The verdict is ranked first and filtered after the window, so that no pushed-down filter works the scores out twice.
+    rows = rows.withColumn("fit", scoring.prequalified(F.col("n"), F.col("pre"), F.col("axes"), L.PROFILE))
+    w = Window.partitionBy("source_no").orderBy(F.col("fit").desc(), F.col("pre").desc(), "call_id")
+    return rows.withColumn("place", F.row_number().over(w)).filter("fit and place <= 10").select("call_id", "source_no", F.col("pre").cast("int").alias("pre"), "place")
 
 
 _INTL = _has("n", L.PROFILE.strong)

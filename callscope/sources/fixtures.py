@@ -11,7 +11,18 @@ EN = ("January", "February", "March", "April", "May", "June", "July", "August",
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return fanned_out(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def fanned_out(df: DataFrame) -> DataFrame:
+    """An input of fewer splits than cores is dealt out to all of them; a larger one stays as it is read.
+
+    The row-wise text rules are bound by CPU, so a small file must not be one task.
+    Column pruning reaches through the exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if splits < cores else df
 
 
 def _calls(dmy: str, before: str, ymd: str, month, day: str, year: str, source: str, shift: str) -> str:
