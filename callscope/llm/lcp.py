@@ -85,11 +85,12 @@ def _phrases(symbols: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nda
         differ[1:] ^= symbols[:-1]
         bit = np.bitwise_count((differ & (~differ + _U(1))) - _U(1))
         labels = (2 * bit + ((symbols >> bit.astype(_U)) & _U(1)).astype(np.uint8)).astype(np.uint8)
-        labels[first] = labels[first] & 1
+        labels[first] = (symbols[first] & _U(1)).astype(np.uint8)
         labels = _tossed(labels, first)
     labels = _tossed(_tossed(labels, first), first)
     begins = np.zeros(len(labels), bool)
     begins[1:-1] = (labels[1:-1] > labels[:-2]) & (labels[1:-1] > labels[2:])
+    begins[first[1:] - 1] = False  # a text's last symbol never begins a phrase, whatever text follows
     begins[first] = True
     at = np.flatnonzero(begins)
     sizes = np.diff(at, append=len(labels))
