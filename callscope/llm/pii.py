@@ -172,12 +172,12 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     entities = counted.filter("term is null").select("entity", F.col("joint").alias("entity_df"))
     pairs = counted.filter(F.col("term").isNotNull() & (F.col("contexts") >= SUPPORT))
     # A bit per term hash, 512 KB whatever the corpus: it only spares counts that nobody asks for.
-    place = F.pmod("term", F.lit(FILTER_BITS))
+    # Spark numbers bitmap values from 1: value v is bit v - 1.
+    place = F.pmod("term", F.lit(FILTER_BITS)) + 1
     parts = pairs.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
     wanted = bytearray(FILTER_BITS // 8)
     whole = parts[0]["bits"] if parts else b""
     for row in parts:
-        # Bucket b holds the values (b-1) * 32768 to b * 32768 - 1; bucket of 0 is 1.
         at = (row["bucket"] - 1) * len(whole)
         wanted[at : at + len(whole)] = row["bits"]
     counts = docs.select(text_or_empty().alias("text")).mapInArrow(_term_counts(bytes(wanted)), "term long, n long").groupBy("term").agg(F.sum("n").alias("term_df"))
