@@ -92,7 +92,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP)
     plans = plans.join(ends, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
     plans = materialise(plans.withColumnRenamed("source", "of"), "plans")
     placed = rows.join(plans, F.col("source").eqNullSafe(F.col("of")))
-    extra = F.when(F.col("hash") <= F.coalesce("threshold", F.lit(-1)), 1).otherwise(0)
+    extra = F.when((F.col("extra") > 0) & (F.col("hash") <= F.coalesce("threshold", F.lit(-1))), 1).otherwise(0)
     return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + extra).cast("long").alias("copies"))
 
 
