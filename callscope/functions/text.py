@@ -35,19 +35,16 @@ def strip_accents(text: Column) -> Column:
 
     ASCII text passes after one look.
     """
-    out = F.translate(text, _FROM, _TO)
-    ligatures = out
+    out = F.regexp_replace(F.translate(text, _FROM, _TO), r"\p{M}+", "")
     for char, plain in _MANY:
         if char in _LIGATURES:
-            ligatures = F.replace(ligatures, F.lit(char), F.lit(plain))
-    out = F.when(out.rlike(f"[{_LIGATURES}]"), ligatures).otherwise(out)
-    out = F.when(out.rlike(r"\p{M}"), F.regexp_replace(out, r"\p{M}+", "")).otherwise(out)
+            out = F.replace(out, F.lit(char), F.lit(plain))
     return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text)
 
 
 def squeeze(text: Column) -> Column:
-    """White space collapsed to single spaces and trimmed."""
-    return F.trim(F.when(text.rlike(r"(?U)\s{2}|[^\S ]"), F.regexp_replace(text, r"(?U)\s+", " ")).otherwise(text))
+    """White space collapsed to single spaces and trimmed; lone spaces are not touched."""
+    return F.trim(F.regexp_replace(text, r"(?U)[^\S ]\s*| \s+", " "))
 
 
 def normalise(text: Column) -> Column:

@@ -87,3 +87,63 @@ def walk_pages(pages: DataFrame, most: int) -> DataFrame:
     stop = (F.col("place") != F.col("page_no")) | (F.col("n_new") == 0)
     rows = rows.withColumn("stop", stop).withColumn("ended", F.coalesce(F.max(F.col("stop").cast("int")).over(first), F.lit(0)) == 1)
     return rows.filter(~F.col("ended") & (F.col("place") == F.col("page_no"))).withColumn("turn", F.row_number().over(w)).filter(F.col("turn") <= most).select("source", "page_no", "n_new")
+
+
+#: Section names of site menus; a rule table that callers extend.
+SECTIONS = ("home", "inicio", "portal", "contato", "fale conosco", "ouvidoria", "imprensa", "noticias", "quem somos", "historico", "equipe", "perguntas frequentes", "transparencia", "cursos", "unidades")
+OPPORTUNITY_MARKS = r"(?i)\b(chamada|edital|bolsas?\s+(?:de|para)|call\s+for|convocat|appel|fellowship|grant|scholarship|premio|mobility|exchange)\b"
+
+
+def is_navigation(title: Column, patterns=(), sections=SECTIONS) -> Column:
+    """Whether a title is a menu entry: empty, a section name, one of ``patterns`` (anchored at its start), or run-together menu text.
+
+    Long titles with glued cases are menus unless they are marked or numbered as a call.
+    """
+    from callscope.functions.text import glued_cases, strip_accents
+
+    t = F.lower(squeeze(strip_accents(F.coalesce(title, F.lit("")))))
+    marked = F.coalesce(strip_accents(title).rlike(OPPORTUNITY_MARKS), F.lit(False))
+    numbered = t.rlike(r"\bn[o°]?\s*\d|\b\d{1,3}/\d{4}\b")
+    glued = ~marked & (F.length(t) > 55) & ~numbered & (glued_cases(title) >= 1)
+    listed = t.rlike("^(?:" + "|".join(patterns) + ")") if patterns else F.lit(False)
+    return (t == "") | t.isin(*sections) | listed | glued
+
+
+def next_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, page_no, url, html) -> page_id, next_url: by rel="next", else the following number, else a label that says so."""
+    anchors = F.regexp_extract_all("html", F.lit(r"(?is)<(?:a|link)\s[^>]*?href\s*=\s*[\"'][^\"']*[\"'][^>]*>(?:[^<]*</a>)?"), 0)
+    rows = pages.select("page_id", "page_no", "url", F.posexplode(anchors).alias("position", "anchor"))
+    href = F.regexp_extract("anchor", r"(?is)href\s*=\s*[\"']([^\"']*)[\"']", 1)
+    label = squeeze(F.regexp_replace("anchor", r"(?s)<[^>]*>", " "))
+    from callscope.functions.text import is_next_label
+
+    from callscope.functions.dates import settled
+
+    rows = settled(rows.withColumn("label", label))
+    label = F.col("label")
+    rank = F.when(F.col("anchor").rlike(r"(?i)\srel\s*=\s*[\"'][^\"']*\bnext\b"), 0).when(label == (F.col("page_no") + 1).cast("string"), 1).when(is_next_label(label), 2)
+    rows = rows.withColumn("rank", rank).filter(F.col("rank").isNotNull() & (href != "") & ~href.startswith("#"))
+    return rows.groupBy("page_id").agg(F.min_by(resolve(F.col("url"), href), F.struct("rank", "position")).alias("next_url"))
+
+
+def candidate_order(sources: DataFrame, memory: DataFrame) -> DataFrame:
+    """(source, urls) x (source, url last good) -> source, place, url: the remembered address first, each once."""
+    joined = sources.join(memory.withColumnRenamed("url", "good"), "source", "left")
+    ordered = F.array_distinct(F.array_compact(F.concat(F.array(F.when(F.array_contains("urls", F.col("good")), F.col("good"))), F.col("urls"))))
+    return joined.select("source", F.posexplode(ordered).alias("place", "url"))
+
+
+def first_productive(tried: DataFrame) -> DataFrame:
+    """(source, place, url, n_items) -> the url that each source is read by: the first that gives anything."""
+    return tried.filter("n_items > 0").groupBy("source").agg(F.min_by("url", "place").alias("url"))
+
+
+def remember(memory: DataFrame, found: DataFrame) -> DataFrame:
+    """The new memory: this run's addresses over the old ones."""
+    return memory.withColumnRenamed("url", "old").join(found, "source", "full").select("source", F.coalesce("url", "old").alias("url"))
+
+
+def suggestions(scored: DataFrame, most: int = 4) -> DataFrame:
+    """(source, url, n_calls, score) -> the addresses to try instead, best first, ``most`` a source (a report of fixed length)."""
+    w = Window.partitionBy("source").orderBy(F.col("n_calls").desc(), F.col("score").desc(), "url")
+    return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)

@@ -385,6 +385,41 @@ def url_dedup_first(spark, d):
     return entity.first_by(table(spark, d, "pages").select(T.host_of(F.col("url")).alias("host"), "page_id"), "host", "page_id")
 
 
+@query(f"WITH {_TITLES} SELECT call_id, call_id % 3 = 0 AS menu FROM titles")
+def navigation_filter(spark, d):
+    menu = F.when(F.col("call_id") % 6 == 0, F.lit("Notícias")).when(F.col("call_id") % 6 == 3, F.lit("GraduaçãoComo funciona o portal da universidade e seus cursos todos aqui")).otherwise(F.col("title"))
+    return _titles(spark, d).select("call_id", extraction.is_navigation(menu).alias("menu"))
+
+
+@query(f"WITH {CALLS} SELECT call_id, 'https://h.org/list?page=' || (call_id % 5 + 2) AS next_url FROM calls WHERE call_id % 4 < 3")
+def next_page(spark, d):
+    number = (F.col("call_id") % 5 + 1).cast("int")
+    target = F.concat(F.lit("/list?page="), (number + 1).cast("string"))
+    anchor = F.element_at(F.array(F.concat(F.lit("<a href='/x'>9</a><link rel='next' href='"), target, F.lit("'>")), F.concat(F.lit("<a href='"), target, F.lit("'>"), (number + 1).cast("string"), F.lit("</a>")), F.concat(F.lit("<a href='"), target, F.lit("'>Próxima</a>")), F.lit("<a href='/x'>Edital</a>")), (F.col("call_id") % 4 + 1).cast("int"))
+    rows = X.calls(spark, d).select(F.col("call_id").alias("page_id"), number.alias("page_no"), F.lit("https://h.org/list").alias("url"), anchor.alias("html"))
+    return extraction.next_pages(rows).select(F.col("page_id").alias("call_id"), "next_url")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS source, ['u' || s_suppkey || 'a', 'u' || s_suppkey || 'b'] AS urls, CASE WHEN s_suppkey % 2 = 0 THEN 'u' || s_suppkey || 'b' END AS good FROM supplier)
+SELECT source, CASE WHEN good IS NOT NULL THEN good WHEN source % 3 = 0 THEN urls[2] ELSE urls[1] END AS url FROM s""")
+def url_memory(spark, d):
+    """Addresses tried, the remembered one first; the first that gives anything is remembered."""
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source"))
+    sources = s.select("source", F.array(F.concat(F.lit("u"), "source", F.lit("a")), F.concat(F.lit("u"), "source", F.lit("b"))).alias("urls"))
+    memory = s.filter("source % 2 = 0").select("source", F.concat(F.lit("u"), "source", F.lit("b")).alias("url"))
+    tried = extraction.candidate_order(sources, memory).withColumn("n_items", F.when((F.col("source") % 3 == 0) & F.col("url").endswith("a"), 0).otherwise(1))
+    return extraction.remember(memory, extraction.first_productive(tried))
+
+
+@query(f"""WITH {_TITLES}, x AS (SELECT call_id % 16 AS source, call_id, right(title, 4) AS y FROM titles), g AS (SELECT source, 'p' || y AS url, count(*) AS n_calls FROM x GROUP BY ALL)
+SELECT source, url, n_calls, CAST(row_number() OVER (PARTITION BY source ORDER BY n_calls DESC, url) AS INTEGER) AS place FROM g QUALIFY place <= 4""")
+def page_suggestions(spark, d):
+    """The pages that list most classifiable calls, four a source."""
+    rows = _titles(spark, d).withColumn("n", T.normalise_words(F.col("title"))).filter(~T.noise(F.col("title"), L.NOISE))
+    per = rows.groupBy((F.col("call_id") % 16).alias("source"), F.concat(F.lit("p"), F.element_at(F.split("title", " "), -1)).alias("url")).agg(F.count("*").alias("n_calls")).withColumn("score", F.lit(0))
+    return extraction.suggestions(per).drop("score")
+
+
 # Configuration and panel
 
 
