@@ -41,15 +41,16 @@ class _Odd(Exception):
 
 
 class _Known(dict):
-    """Word -> ids. Full after ``CACHED_WORDS``; later words are encoded each time they come.
+    """Word -> ids. Full after ``held`` words; later words are encoded each time they come.
 
     A new plain word (Latin letters, then ASCII marks) is two of the
     pre-tokenizer's pieces by its pattern, so the library's model encodes them
     directly; any other word goes through the whole library.
     """
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, held: int):
         self.tokenizer = tokenizer
+        self.held = held
         self.pieces: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
@@ -60,7 +61,7 @@ class _Known(dict):
         if found is None:
             symbols = piece.encode().decode("latin-1").translate(_SYMBOLS)
             found = array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
-            if len(self.pieces) < CACHED_WORDS:
+            if len(self.pieces) < self.held:
                 self.pieces[piece] = found
         return found
 
@@ -77,7 +78,7 @@ class _Known(dict):
             raise _Odd
         else:
             ids = self.ids(word)
-        if len(self) < CACHED_WORDS:
+        if len(self) < self.held:
             self[word] = ids
         return ids
 
@@ -85,8 +86,8 @@ class _Known(dict):
 class WordEncoder:
     """Texts -> ids as native (little-endian) unsigned 32-bit integers, equal to the library's."""
 
-    def __init__(self, path: str):
-        self.known = _Known(load(path))
+    def __init__(self, path: str, held: int = CACHED_WORDS):
+        self.known = _Known(load(path), held)
 
     def encode(self, text: str) -> bytes:
         if "\0" not in text:
@@ -97,11 +98,11 @@ class WordEncoder:
         return b"".join([self.known.get(u) or self.known.ids(u) for u in _UNITS.findall(text)])
 
 
-_encoders: dict[str, WordEncoder] = {}
+_encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, held: int = CACHED_WORDS) -> WordEncoder:
     """The worker's encoder of a file; a worker keeps it from task to task."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    if (path, held) not in _encoders:
+        _encoders[path, held] = WordEncoder(path, held)
+    return _encoders[path, held]
