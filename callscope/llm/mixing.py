@@ -73,6 +73,25 @@ def _boundaries(rows: DataFrame, plans: DataFrame) -> DataFrame:
     return state.select("source", (F.col("prefix") - F.when(take, 0).otherwise(1)).alias("threshold"))
 
 
+def source_plans(rows: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
+    """Sized rows (source, size, hash) -> a row a source: of, source_size, target, whole, extra, threshold."""
+    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plans = source_targets(totals, weights, share, cap).withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
+    plans = materialise(plans, "targets")
+    ends = _boundaries(rows, plans).withColumnRenamed("source", "of")
+    plans = plans.join(ends, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    return materialise(plans.withColumnRenamed("source", "of"), "plans")
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return materialise(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(text_or_empty()).alias("size"), hash_of(F.col("doc_id")).alias("hash")), "sizes")
+
+
+def _copies(whole: Column, extra: Column, threshold: Column, place: Column) -> Column:
+    return (whole + F.when((extra > 0) & (place <= F.coalesce(threshold, F.lit(-1))), 1).otherwise(0)).cast("long")
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
     """Documents (doc_id, source, text) -> (doc_id, source, size, source_size, target, copies).
 
@@ -83,25 +102,22 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP)
     gives an empty result; further columns are ignored. Reruns agree, as the hash
     depends on the id alone.
     """
-    rows = materialise(docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(text_or_empty()).alias("size"), hash_of(F.col("doc_id")).alias("hash")), "sizes")
-    totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
-    plans = source_targets(totals, weights, share, cap).withColumn("whole", whole).withColumn("extra", F.col("target") - F.col("whole") * F.col("source_size"))
-    plans = materialise(plans, "targets")
-    ends = _boundaries(rows, plans).withColumnRenamed("source", "of")
-    plans = plans.join(ends, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
-    plans = materialise(plans.withColumnRenamed("source", "of"), "plans")
-    placed = rows.join(plans, F.col("source").eqNullSafe(F.col("of")))
-    extra = F.when((F.col("extra") > 0) & (F.col("hash") <= F.coalesce("threshold", F.lit(-1))), 1).otherwise(0)
-    return placed.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") + extra).cast("long").alias("copies"))
+    rows = _sized(docs)
+    placed = rows.join(source_plans(rows, weights, share, cap), F.col("source").eqNullSafe(F.col("of")))
+    return placed.select("doc_id", "source", "size", "source_size", "target", _copies(*map(F.col, ("whole", "extra", "threshold", "hash"))).alias("copies"))
 
 
 def mixed_rows(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """The mix itself: every row as often as it is taken, its columns unchanged."""
-    plans = mix(docs, weights, share, cap).groupBy("source", F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    plans = plans.select(key("__id").alias("__id"), key("source").alias("__source"), "__copies").filter("__copies > 0")
-    rows = docs.withColumns({"__id": key("doc_id"), "__source": key("source")}).join(plans, ["__id", "__source"])
+    """The mix itself: every row as often as it is taken, its columns unchanged.
+
+    A filter on each row's own hash against its source's threshold: the texts meet
+    the one-row-a-source plans only (which Spark broadcasts where their written
+    size allows it) and are neither joined by id nor sorted.
+    """
+    plans = source_plans(_sized(docs), weights, share, cap)
+    plans = plans.select(F.col("of").alias("__of"), *[F.col(c).alias(f"__{c}") for c in ("whole", "extra", "threshold")])
+    rows = docs.withColumns({"__source": F.col("source").cast("string"), "__hash": hash_of(F.col("doc_id"))})
+    rows = rows.join(plans, F.col("__source").eqNullSafe(F.col("__of"))).withColumn("__copies", _copies(*map(F.col, ("__whole", "__extra", "__threshold", "__hash")))).filter("__copies > 0")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -179,7 +179,11 @@ def test_mix_meets_targets_by_brute_force(spark, docs, edges, empty):
         for s in order:
             own = rows[rows.source.isna() if s is None else rows.source == s]
             assert abs((own["size"] * own.copies).sum() - target[s]) <= own["size"].max() / 2 + 1e-6 or own.doc_id.duplicated().any() or own.doc_id.isna().any()
-    assert mixing.mix(empty).count() == 0
+        want = Counter()
+        for r in rows.itertuples():
+            want[None if r.doc_id != r.doc_id else int(r.doc_id), r.source if isinstance(r.source, str) else None] += r.copies
+        assert Counter((r.doc_id, r.source) for r in mixing.mixed_rows(frame).collect()) == +want
+    assert mixing.mix(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
     assert mixing.mixed_rows(edges).columns == edges.columns
 
 
