@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions import cues
-from callscope.functions.text import contains_any, host_of, normalise_words, path_of, squeeze
+from callscope.functions.text import contains_any, file_type, generic_label, host_of, normalise_words, path_of, squeeze
+from callscope.sources.blocks import listing_links
 
 # Hosts and patterns of share links.
 SOCIAL = ("linkedin.com", "facebook.com", "twitter.com", "x.com", "instagram.com", "youtube.com", "youtu.be", "wa.me", "api.whatsapp.com", "t.me", "telegram.me", "pinterest.com", "addthis.com", "sharethis.com")
@@ -61,10 +62,53 @@ def script_shell(pages: DataFrame) -> DataFrame:
     return pages.withColumns({"script_chars": size, "text_chars": text, "n_links": links}).withColumn("needs_script", mount | ((F.col("n_links") <= 5) & (F.col("script_chars") > F.greatest(F.lit(2000), 2 * F.col("text_chars")))))
 
 
-def group_attachments(items: DataFrame) -> DataFrame:
+def listing_items(pages: DataFrame, css: str | None, title_css: str | None = None, date_css: str | None = None, group: bool = True) -> DataFrame:
+    """(page_id, url, html) -> the items of each listing page: page_id, strategy, position, title, url, file, date_text, context, attachments.
+
+    Links of the blocks that ``css`` selects, each address once a page, share links
+    left out; a general label takes the link's title, else the block's heading.
+    With ``group`` the files of a heading are one item. A page whose blocks give
+    fewer than three items is read by all its links of the same site instead, if
+    that gives more. An unusable selector selects nothing.
+    """
+    rows = pages.select("page_id", F.col("url").alias("page"), F.inline(listing_links(css, title_css, date_css)("html")))
+    rows = rows.withColumn("url", resolve(F.col("page"), F.col("href")))
+    at_home = (F.col("kind") == "selector") | same_site(F.col("page"), F.col("url")) | F.endswith(F.lower("url"), F.lit(".pdf"))
+    rows = rows.filter(((F.col("kind") == "scan") | (F.col("href") != "")) & ~is_share_link(F.col("href"), F.col("url"), F.col("label")) & at_home)
+    once = Window.partitionBy("page_id", "kind", "url").orderBy("place")
+    rows = rows.withColumn("turn", F.row_number().over(once)).filter("turn = 1")
+    named = F.get(F.filter("names", lambda n: ~generic_label(n)), F.lit(0))
+    rows = rows.withColumn("label", F.when(generic_label(F.col("label")), F.coalesce(named, "label")).otherwise(F.col("label")))
+    lead = F.when(F.length("lead") >= 12, F.col("lead"))
+    rows = rows.withColumns({"general": generic_label(F.col("label")), "heading": F.coalesce(F.get(F.filter("headers", lambda h: ~generic_label(h)), F.lit(0)), lead, F.lit(""))})
+    taken = F.col("general") & (F.col("heading") != "")
+    boxed = F.col("container") & (F.col("heading") != "")
+    rows = rows.select(
+        "page_id",
+        "kind",
+        F.col("place").alias("position"),
+        F.when(taken | boxed, F.col("heading")).otherwise("").alias("header"),
+        F.when(taken, F.when(F.length("label") >= 3, F.col("label")).otherwise("")).when(boxed, F.col("label")).otherwise("").alias("label"),
+        F.when(taken | (F.col("label") == ""), F.col("heading")).otherwise(F.col("label")).alias("title"),
+        "url",
+        file_type(F.col("url")).alias("file"),
+        "date_text",
+        "context",
+    ).filter("kind = 'scan' or title <> ''")
+    rows = rows if group else rows.withColumn("header", F.lit(""))
+    items = group_attachments(rows, ("page_id", "kind"), ("title", "date_text", "context"))
+    per_page = Window.partitionBy("page_id")
+    found = items.withColumns({k: F.count_if(F.col("kind") == k).over(per_page) for k in ("selector", "scan")})
+    chosen = F.when((F.col("selector") < 3) & (F.col("scan") > F.col("selector")), "scan").otherwise("selector")
+    title = F.when((F.col("n_links") > 1) & (F.col("header") != ""), F.col("header")).otherwise(F.col("own_title"))
+    return found.filter(F.col("kind") == chosen).select("page_id", F.col("kind").alias("strategy"), "position", title.alias("title"), "url", "file", "date_text", "context", "attachments")
+
+
+def group_attachments(items: DataFrame, by: tuple = (), carried: tuple = ()) -> DataFrame:
     """(position, header, label, url, file) -> one row a header with its principal link and the others as ``attachments``.
 
-    A header of 12 or more characters groups; other rows stand alone by url. The
+    Headers are told apart within ``by``; the principal's ``carried`` columns come
+    along (its ``title`` as ``own_title``). A header of 12 or more characters groups; other rows stand alone by url. The
     principal has the best label, shorter ones first, then the earliest.
     """
     head, label = normalise_words(F.col("header")), normalise_words(F.col("label"))
@@ -74,9 +118,10 @@ def group_attachments(items: DataFrame) -> DataFrame:
     idle = (F.col("file") == "") & starts(cues.NAVIGATION_LABELS)
     rows = items.withColumns({"key": key, "score": score, "idle": idle, "size": F.length(label)})
     one = F.struct("position", "url", F.coalesce(F.when(F.col("label") != "", F.col("label")), F.lit("anexo")).alias("label"), "file", "idle")
-    grouped = rows.groupBy("key").agg(F.min("position").alias("position"), F.count("*").alias("n_links"), F.max_by(F.struct("header", "label", "url", "file"), F.struct("score", -F.col("size"), -F.col("position"))).alias("best"), F.sort_array(F.collect_list(one)).alias("all"))
+    grouped = rows.groupBy(*by, "key").agg(F.min("position").alias("position"), F.count("*").alias("n_links"), F.max_by(F.struct("header", "label", "url", "file", *carried), F.struct("score", -F.col("size"), -F.col("position"))).alias("best"), F.sort_array(F.collect_list(one)).alias("all"))
     others = F.filter("all", lambda a: (a["url"] != F.col("best.url")) & ~a["idle"])
-    return grouped.select("key", "position", "n_links", F.coalesce(F.when((F.col("n_links") > 1) & (F.col("best.header") != ""), F.col("best.header")), F.col("best.label")).alias("title"), "best.url", "best.file", F.transform(others, lambda a: F.struct(a["url"], a["label"], a["file"])).alias("attachments"))
+    more = [F.col(f"best.{c}").alias("own_title" if c == "title" else c) for c in carried]
+    return grouped.select(*by, *(["best.header"] if carried else []), *more, "key", "position", "n_links", F.coalesce(F.when((F.col("n_links") > 1) & (F.col("best.header") != ""), F.col("best.header")), F.col("best.label")).alias("title"), "best.url", "best.file", F.transform(others, lambda a: F.struct(a["url"], a["label"], a["file"])).alias("attachments"))
 
 
 def walk_pages(pages: DataFrame, most: int) -> DataFrame:

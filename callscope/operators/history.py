@@ -62,3 +62,30 @@ def run_stats(batch: DataFrame, history: DataFrame, run: int) -> DataFrame:
     """Rows, new and updated ones of a run by source."""
     state = history.select("key", (F.col("first_run") == run).cast("int").alias("is_new"), (F.col("changed_run") == run).cast("int").alias("is_changed"))
     return batch.join(state, "key", "left").groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("is_new").alias("n_new"), F.sum("is_changed").alias("n_updated"))
+
+
+RUNS = "number long, at timestamp, n_new long, n_total long"
+
+
+def append_run(runs: DataFrame, at: Column, n_new: Column, n_total: Column, keep: int = 30) -> DataFrame:
+    """The run log with the next run, its last ``keep`` entries (a log of fixed length)."""
+    number = runs.agg((F.coalesce(F.max("number"), F.lit(0)) + 1).alias("number"))
+    grown = runs.unionByName(number.select("number", at.cast("timestamp").alias("at"), n_new.cast("long").alias("n_new"), n_total.cast("long").alias("n_total")))
+    return grown.orderBy(F.col("number").desc()).limit(keep)
+
+
+def run_totals(stats: DataFrame, slow: float = 60.0) -> DataFrame:
+    """(source, ok, n_rows, n_new, n_updated, seconds) of a run -> its one-row summary with the slow sources by name."""
+    return stats.agg(
+        F.count("*").alias("n_sources"),
+        F.count_if("ok").alias("n_ok"),
+        F.sum("n_rows").alias("n_rows"),
+        F.sum("n_new").alias("n_new"),
+        F.sum("n_updated").alias("n_updated"),
+        F.sort_array(F.collect_list(F.when(F.col("seconds") >= slow, F.col("source")))).alias("slow"),
+    )
+
+
+def failed_sources(sources: DataFrame, stats: DataFrame) -> DataFrame:
+    """The sources whose last run failed."""
+    return sources.join(stats.filter(~F.col("ok")), "source", "left_semi")

@@ -70,3 +70,27 @@ def kpis(df: DataFrame) -> DataFrame:
 def panel_json(df: DataFrame, keys: list[Column]) -> DataFrame:
     """Rows as JSON lines fit for a script element, in panel order; a partitioned sink, not one driver string."""
     return df.orderBy(*keys).select(F.replace(F.to_json(F.struct(*df.columns)), F.lit("</"), F.lit("<\\/")).alias("value"))
+
+
+#: Shown names of the panel's codes.
+LABELS = {
+    "region": {"es": "Espírito Santo", "nacional": "Brasil", "internacional": "Exterior"},
+    "status": {"aberto": "Aberto confirmado", "verificar": "Prazo a verificar", "futuro": "Ainda não abriu", "resultado": "Resultado", "retificacao": "Retificação", "encerrado": "Encerrado"},
+    "eligibility": {"via_individual": "Candidatura individual", "restricao_conhecida": "Restrição conhecida", "verificar": "Verificar exigências", "sem_catalogo": "Elegibilidade não catalogada"},
+    "novelty": {"novo": "Novo", "atualizado": "Atualizado", "nova_edicao": "Nova edição", "inicial": "Acervo inicial"},
+}
+
+
+def label(kind: str, code: Column) -> Column:
+    """The shown name of a code; an unknown code shows itself."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in LABELS[kind].items() for x in p]), code), code)
+
+
+def is_new(first_seen: Column, as_of: Column, days: int = 7) -> Column:
+    """First seen within the last ``days`` days; unknown times are not new."""
+    return F.coalesce(first_seen >= as_of - F.make_dt_interval(F.lit(days)), F.lit(False))
+
+
+def active_filters(view_name: str = "recommended", region: str | None = None, eligibility: str | None = None, themes=(), search: str = "") -> int:
+    """How many filters are set beside the view."""
+    return sum(map(bool, (region, eligibility, search.strip()))) + len(set(themes))

@@ -47,7 +47,7 @@ def prequalify_score(norm: Column, axes: Column, profile: L.Profile, curated_cal
     calls, abroad = (no if c is None else F.coalesce(c, no) for c in (curated_calls, curated_abroad))
     years = "|".join(map(str, profile.years))
     score = (
-        F.coalesce(F.least(F.lit(50), F.get(axes, F.lit(0))["weight"]), F.lit(0))
+        F.least(F.lit(50), F.coalesce(F.get(axes, F.lit(0))["weight"], F.lit(0)))
         + F.least(F.lit(8), 3 * F.greatest(F.size(axes) - 1, F.lit(0)))
         + F.when(contains_any(norm, profile.international), 18).when(abroad, 12).otherwise(0)
         + _on(contains_any(norm, profile.funding), 10)
@@ -116,6 +116,19 @@ def reject_reason(profile: L.Profile = L.PROFILE, need_date: Column | None = Non
     return F.when(~F.col("relevant"), "not relevant").when(F.col("status") != "aberto", F.concat(F.lit("status "), F.col("status"))).when(~dated, "no confirmed deadline")
 
 
+def merged_themes(tags: Column, suggested: Column, themes=L.THEMES) -> Column:
+    """Tags and those suggested ones that the theme table has, each once, by priority and then in table order."""
+    ranked = sorted(themes, key=lambda t: t.priority)
+    both = F.array_union(tags, suggested)
+    return F.filter(_strings([t.key for t in ranked]), lambda k: F.array_contains(both, k))
+
+
+def with_public_only(found: Column, public_only: Column) -> Column:
+    """Restrictions and, where a text limits a call to public institutions, a blocking one that says so."""
+    extra = F.struct(F.lit("found in the text").alias("programme"), F.lit("public institutions only; confirm in the call").alias("requires"), F.lit("bloqueia").alias("impact"))
+    return F.when(F.coalesce(public_only, F.lit(False)), F.concat(found, F.array(extra))).otherwise(found)
+
+
 def theme_tags(words: Column, themes=L.THEMES) -> Column:
     """Keys of the themes with a matching word, in table order."""
     return F.array_compact(F.array(*[F.when(words.rlike("|".join(map(prefix_pattern, t.words))), F.lit(t.key)) for t in themes]))

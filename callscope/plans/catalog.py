@@ -11,8 +11,9 @@ from callscope.functions import cues, dates
 from callscope.functions import text as T
 from callscope.operators import entity, extraction, history, lint, panel, scoring
 from callscope.operators import lexicon as L
+from callscope.plans import collect
 from callscope.sources import fixtures as X
-from callscope.sources import html
+from callscope.sources import html, storage
 from callscope.sources.fixtures import AS_OF, table
 
 QUERIES: dict = {}
@@ -217,7 +218,7 @@ def reject_reasons(spark, d):
     return rows.groupBy(F.coalesce(scoring.reject_reason(need_date=F.lit(True)), F.lit("accepted")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-_RESTR = """r AS (SELECT call_id, source_no, n, status, score, contains(n, 'joint research') AS fav, contains(n, 'mobilidade academica') AS att, contains(n, 'forthcoming') AS blk FROM g)"""
+_RESTR = """r AS (SELECT call_id, source_no, n, status, score, dl, contains(n, 'joint research') AS fav, contains(n, 'mobilidade academica') AS att, contains(n, 'forthcoming') AS blk FROM g)"""
 
 
 @query(_EVAL + ", " + _RESTR + " SELECT call_id, CASE WHEN blk THEN 'restricao_conhecida' WHEN fav THEN 'via_individual' WHEN att THEN 'verificar' ELSE 'sem_catalogo' END AS eligibility, CAST(blk AS INTEGER) + CAST(fav AS INTEGER) + CAST(att AS INTEGER) AS n FROM r")
@@ -473,6 +474,130 @@ def panel_top(spark, d):
     return top.select("call_id", F.row_number().over(Window.orderBy(*keys)).alias("place"))
 
 
+def _panel_sort(name: str):
+    """A report of fixed length: the first hundred rows in one of the panel's orders."""
+
+    def run(spark, d):
+        keys = [*panel.order(name), F.col("call_id")]
+        rows = _panel(spark, d).withColumns({"novelty": F.when(F.col("call_id") % 3 == 0, "atualizado").otherwise("novo"), "first_seen": F.col("call_id") % 10})
+        top = rows.select("call_id", "status", "priority", "days_left", "novelty", "first_seen").orderBy(*keys).limit(100)
+        return top.select("call_id", F.row_number().over(Window.orderBy(*keys)).alias("place"))
+
+    return run
+
+
+_SORTS = {"deadline": "CASE WHEN status = 'aberto' THEN coalesce(days, 999999) ELSE 999999 END, priority DESC", "recent": "call_id % 10 DESC, call_id % 3 = 0 DESC", "relevance": "priority DESC, call_id % 3 = 0 DESC, coalesce(days, 999999)"}
+for _name, _keys in _SORTS.items():
+    QUERIES[f"panel_sort_{_name}"] = _panel_sort(_name)
+    ORACLE_SQL[f"panel_sort_{_name}"] = _PANEL.replace("q AS (SELECT call_id,", f"q AS (SELECT call_id, date_diff('day', {DAY}, dl) AS days,") + f" SELECT call_id, CAST(row_number() OVER (ORDER BY {_keys}, call_id) AS INTEGER) AS place FROM q QUALIFY place <= 100"
+
+
+@query(_PANEL + " SELECT CASE region WHEN 'es' THEN 'Espírito Santo' WHEN 'nacional' THEN 'Brasil' ELSE 'Exterior' END AS region, CASE eligibility WHEN 'via_individual' THEN 'Candidatura individual' WHEN 'restricao_conhecida' THEN 'Restrição conhecida' WHEN 'verificar' THEN 'Verificar exigências' ELSE 'Elegibilidade não catalogada' END AS eligibility, count(*) AS n FROM q GROUP BY ALL")
+def panel_labels(spark, d):
+    return _panel(spark, d).groupBy(*[panel.label(k, F.col(k)).alias(k) for k in ("region", "eligibility")]).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS url, o_orderstatus AS status FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 49)")
+def saved_view(spark, d):
+    """The rows a reader has marked; the marks are a table."""
+    marks = table(spark, d, "lineitem").filter("l_quantity >= 49").select(F.col("l_orderkey").alias("url"))
+    return panel.view(table(spark, d, "orders").select(F.col("o_orderkey").alias("url"), F.col("o_orderstatus").alias("status")), "saved", marks)
+
+
+@query("SELECT '{\"id\":' || p_partkey || ',\"name\":\"<b>' || p_name || '<\\/b>\"}' AS value FROM part")
+def panel_rows(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("<b>"), "p_name", F.lit("</b>")).alias("name"))
+    return panel.panel_json(rows, [F.col("id")])
+
+
+@query("SELECT event_id, ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7 DAY AS is_new FROM events")
+def new_window(spark, d):
+    return table(spark, d, "events").select("event_id", panel.is_new(F.col("ts"), F.lit("2024-01-20 00:00:00").cast("timestamp")).alias("is_new"))
+
+
+# Runs
+
+
+@query("""WITH r AS (SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) + 1 AS number, count(*) FILTER (event_type = 'signup') AS n_new, count(*) AS n_total FROM events GROUP BY 1)
+SELECT * FROM (SELECT number, n_new, n_total FROM r UNION ALL SELECT (SELECT max(number) FROM r) + 1, 7, 100) ORDER BY number DESC LIMIT 30""")
+def run_log(spark, d):
+    """The log's last thirty entries after one more run."""
+    day = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) + 1
+    runs = table(spark, d, "events").groupBy(day.cast("long").alias("number")).agg(F.max("ts").alias("at"), F.count_if(F.col("event_type") == "signup").alias("n_new"), F.count("*").alias("n_total"))
+    return history.append_run(runs, F.lit("2024-02-01"), F.lit(7), F.lit(100)).drop("at")
+
+
+_STATS = """s AS (SELECT s_suppkey AS source, s_acctbal > 0 AS ok, s_suppkey % 7 AS n_rows, s_suppkey % 3 AS n_new, s_suppkey % 2 AS n_updated, (s_suppkey % 100)::DOUBLE AS seconds FROM supplier)"""
+
+
+def _source_stats(spark, d):
+    k = F.col("s_suppkey")
+    return table(spark, d, "supplier").select(k.alias("source"), (F.col("s_acctbal") > 0).alias("ok"), (k % 7).alias("n_rows"), (k % 3).alias("n_new"), (k % 2).alias("n_updated"), (k % 100).cast("double").alias("seconds"))
+
+
+@query(f"WITH {_STATS} SELECT count(*) AS n_sources, count(*) FILTER (ok) AS n_ok, sum(n_rows)::BIGINT AS n_rows, sum(n_new)::BIGINT AS n_new, sum(n_updated)::BIGINT AS n_updated, coalesce(array_to_string(list_sort(list(source) FILTER (seconds >= 60)), ','), '') AS slow FROM s")
+def run_totals(spark, d):
+    return history.run_totals(_source_stats(spark, d)).withColumn("slow", F.array_join("slow", ","))
+
+
+@query(f"WITH {_STATS} SELECT s_suppkey AS source, s_name AS name FROM supplier WHERE s_suppkey IN (SELECT source FROM s WHERE NOT ok)")
+def failed_sources(spark, d):
+    return history.failed_sources(table(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), F.col("s_name").alias("name")), _source_stats(spark, d))
+
+
+@query("""SELECT 'exact' AS asked, s_name AS name FROM supplier WHERE s_name = 'Supplier#000000001' AND s_suppkey % 4 <> 3
+UNION ALL SELECT 'part', s_name FROM supplier WHERE contains(s_name, '02') AND s_suppkey % 4 <> 3 UNION ALL SELECT 'all', s_name FROM supplier WHERE s_suppkey % 4 <> 3""")
+def source_selection(spark, d):
+    """Sources that are on, asked for by a whole name, a part of one, and not at all."""
+    rows = table(spark, d, "supplier").select(F.col("s_name").alias("name"), F.when(F.col("s_suppkey") % 4 == 3, True).alias("disabled"))
+    on = storage.active_sources(rows).select("name")
+    asked = {"exact": " SUPPLIER#000000001 ", "part": "02", "all": ""}
+    parts = [storage.select_sources(on, a).select(F.lit(k).alias("asked"), "name") for k, a in asked.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# Collection
+
+
+@query("""SELECT s_suppkey AS page_id, 'selector' AS strategy, 'Edital numero ' || s_suppkey || '/' || k || ' de mobilidade' AS title, 'https://h.org/' || s_suppkey || '/' || k || '/edital.pdf' AS url, 'PDF' AS file, '10/10/2026' AS date_text, 'https://h.org/' || s_suppkey || '/' || k || '/anexo.doc=Anexo I' AS others FROM supplier, range(3) AS r(k) WHERE s_suppkey % 2 = 0
+UNION ALL SELECT s_suppkey, 'scan', 'Programa de bolsas numero ' || s_suppkey || '/' || k, 'https://h.org/p/' || s_suppkey || '/' || k, '', '', '' FROM supplier, range(3) AS r(k) WHERE s_suppkey % 2 = 1""")
+def listing_items(spark, d):
+    """Blocks with attachments and share links on even pages; plain links, read by the fallback, on odd ones."""
+    k = F.col("s_suppkey").cast("string")
+    block = lambda i: F.concat(F.lit("<div class='accordion-item x'><h3>Edital numero "), k, F.lit(f"/{i} de mobilidade</h3><span class=d>10/10/2026</span><a href='/"), k, F.lit(f"/{i}/anexo.doc'>Anexo I</a><a href='/"), k, F.lit(f"/{i}/edital.pdf'>Baixar</a><a href='/"), k, F.lit(f"/{i}/edital.pdf'>Baixar</a><a href='https://www.facebook.com/sharer?u=1'>Compartilhe</a></div>"))
+    plain = lambda i: F.concat(F.lit("<li><a href='/p/"), k, F.lit(f"/{i}'>Programa de bolsas numero "), k, F.lit(f"/{i}</a><a href='https://other.net/'>Outro portal qualquer</a>"))
+    content = F.concat(F.lit("<html><body><ul>"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(*map(block, range(3)))).otherwise(F.concat(*map(plain, range(3)))), F.lit("</ul></body></html>"))
+    pages = table(spark, d, "supplier").select(F.col("s_suppkey").alias("page_id"), F.lit("https://www.h.org/list").alias("url"), content.alias("html"))
+    found = extraction.listing_items(pages, "div.accordion-item", date_css=".d")
+    url = F.regexp_replace("url", "//www.", "//")
+    return found.select("page_id", "strategy", "title", url.alias("url"), "file", "date_text", F.regexp_replace(F.array_join(F.transform("attachments", lambda a: F.concat(a["url"], F.lit("="), a["label"])), ";"), "//www.", "//").alias("others"))
+
+
+_COLLECT = _EVAL + f""", c AS (SELECT *, {_PRE} AS pre, {_N_AXES} > 0 AS has_axis FROM g),
+k AS (SELECT *, pre >= 8 OR has_axis AS fit FROM c), p AS (SELECT *, row_number() OVER (PARTITION BY source_no ORDER BY NOT fit, pre DESC, call_id) AS place FROM k)"""
+_WHY = "CASE WHEN NOT fit THEN 'not prequalified' WHEN NOT relevant THEN 'not relevant' WHEN status <> 'aberto' THEN 'status ' || status WHEN dl IS NULL THEN 'no confirmed deadline' ELSE 'accepted' END"
+
+
+def _collected(spark, d):
+    calls = X.calls(spark, d)
+    url = F.concat(F.lit("https://h.org/"), "call_id")
+    items = calls.select(F.col("source_no").alias("source"), F.col("call_id").alias("position"), F.concat(F.lit("Item "), "call_id").alias("title"), url.alias("url"), F.col("text").alias("context"))
+    details = calls.filter("call_id % 4 = 0").select(url.alias("url"), "text")
+    sources = calls.select(F.col("source_no").alias("source")).distinct().withColumn("max_details", F.lit(20))
+    return collect.judged(items, sources, details, AS_OF)
+
+
+@query(_COLLECT + f" SELECT source_no AS source, {_WHY} AS reason, count(*) AS n, count(*) FILTER (fit AND place <= 20 AND call_id % 4 = 0) AS n_read FROM p GROUP BY 1, 2")
+def collect_discards(spark, d):
+    return collect.discards(_collected(spark, d))
+
+
+@query(_COLLECT + f" SELECT call_id AS position, source_no AS source, CAST(score AS INTEGER) AS score, dl AS deadline, CAST(place AS INTEGER) AS place FROM p WHERE {_WHY} = 'accepted'")
+def collect_accepted(spark, d):
+    """One whole run: candidates ranked, the best read, all judged, the accepted kept."""
+    return collect.accepted(_collected(spark, d)).select("position", "source", F.col("score").cast("int").alias("score"), "deadline", "place")
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Every call evaluated, with its eligibility and priority."""
     return _panel(spark, d).select("call_id", "status", "deadline", "days_left", "confidence", "score", "relevant", "active", "axis_keys", "themes", "audience", "eligibility", "priority")
