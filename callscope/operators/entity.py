@@ -16,6 +16,19 @@ def tokenised(df: DataFrame, title: str) -> DataFrame:
     return rows.withColumns({"year": year_of(F.col(title)), "number": number})
 
 
+def _rarity(sets: DataFrame) -> DataFrame:
+    """(tokens) -> token, df."""
+    return sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+
+
+def _prefixes(sets: DataFrame, key: str, rarity: DataFrame, least: float) -> DataFrame:
+    """Each set once for every token of its prefix: the rarest size - ceil(least * size) + 1 of them."""
+    ordered = sets.select(key, F.explode("tokens").alias("token")).join(rarity, "token").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("line"))
+    size = F.size("line")
+    prefix = F.slice("line", 1, size - F.ceil(F.lit(least) * size - F.lit(1e-9)).cast("int") + 1)
+    return sets.join(ordered, key).withColumn("token", F.explode(prefix["token"])).drop("line")
+
+
 def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
     """Distinct (set_id, year, number, tokens) -> pairs (a, b, similarity) of one year with Jaccard >= ``least``.
 
@@ -23,12 +36,7 @@ def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
     token among the first size - ceil(least * size) + 1 of each, so only those
     are joined; sizes that cannot reach ``least`` fall out in the join.
     """
-    tokens = sets.select("set_id", "year", F.explode("tokens").alias("token"))
-    rarity = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = tokens.join(rarity, "token").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("line"))
-    size = F.size("line")
-    prefix = F.slice("line", 1, size - F.ceil(F.lit(least) * size - F.lit(1e-9)).cast("int") + 1)
-    keys = sets.join(ordered, "set_id").select("set_id", "year", "number", "tokens", F.explode(prefix).alias("p")).withColumn("token", F.col("p.token")).drop("p")
+    keys = _prefixes(sets, "set_id", _rarity(sets), least)
     x, y = keys.alias("x"), keys.alias("y")
     sized = (F.size("x.tokens") >= F.lit(least) * F.size("y.tokens")) & (F.size("y.tokens") >= F.lit(least) * F.size("x.tokens"))
     clash = F.coalesce(F.col("x.number") != F.col("y.number"), F.lit(False))
@@ -80,9 +88,10 @@ def previous_editions(new: DataFrame, known: DataFrame, title: str = "title", ur
     side = lambda df: df.withColumn("year", year_of(F.col(title))).withColumn("tokens", signature_tokens(without_year(F.col(title)))).filter(F.col("year").isNotNull() & (F.size("tokens") > 0))
     n = side(new).groupBy("year", "tokens").agg(F.min(url).alias("u")).withColumn("nid", F.xxhash64("year", "tokens"))
     # Equal (year, tokens) sets of either side meet once; members are found again by their key.
-    k = side(known).groupBy("year", "tokens").agg(F.min(F.struct(order, url)).alias("first"))
-    x = n.withColumn("token", F.explode("tokens")).alias("x")
-    y = k.withColumn("token", F.explode("tokens")).alias("y")
+    k = side(known).groupBy("year", "tokens").agg(F.min(F.struct(order, url)).alias("first")).withColumn("kid", F.xxhash64("year", "tokens"))
+    # Similar sets meet in a rare token, so a word that most titles have pairs nothing.
+    rarity = _rarity(n.select("tokens").unionByName(k.select("tokens")))
+    x, y = _prefixes(n, "nid", rarity, least).alias("x"), _prefixes(k, "kid", rarity, least).alias("y")
     both = F.size(F.array_intersect("x.tokens", "y.tokens"))
     likeness = both / (F.size("x.tokens") + F.size("y.tokens") - both)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.year") < F.col("x.year")) & (likeness >= least))

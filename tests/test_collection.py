@@ -83,3 +83,20 @@ def test_small_rules(spark):
     runs = spark.createDataFrame([], history.RUNS)
     first = history.append_run(runs, F.lit("2026-01-01"), F.lit(1), F.lit(2))
     assert [r.number for r in first.collect()] == [1] and history.append_run(first, F.lit("2026-01-02"), F.lit(0), F.lit(2), keep=1).first().number == 2
+
+
+def test_previous_editions_by_brute_force(spark):
+    import random
+
+    from callscope.operators import entity
+
+    r = random.Random(9)
+    words = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot"]
+    titles = [f"Chamada mobilidade {' '.join(r.sample(words, r.randint(1, 4)))} {r.choice((2022, 2023, 2024, 2025))}" for _ in range(60)] + ["Sem ano algum aqui", ""]
+    rows = spark.createDataFrame([(i, t, f"u{i:03d}") for i, t in enumerate(titles)], "position long, title string, url string")
+    known = {x.position: (x.y, set(x.t)) for x in rows.select("position", T.year_of(F.col("title")).alias("y"), T.signature_tokens(T.without_year(F.col("title"))).alias("t")).collect()}
+    want = {}
+    for i, (year, tokens) in known.items():
+        older = [(len(tokens & u) / len(tokens | u), -j) for j, (y, u) in known.items() if year and y and y < year and tokens and u and len(tokens & u) / len(tokens | u) >= 0.75]
+        want[i] = f"u{-max(older)[1]:03d}" if older else None
+    assert {x.position: x.previous_url for x in entity.previous_editions(rows, rows).collect()} == want
