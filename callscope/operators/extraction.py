@@ -192,3 +192,9 @@ def suggestions(scored: DataFrame, most: int = 4) -> DataFrame:
     """(source, url, n_calls, score) -> the addresses to try instead, best first, ``most`` a source (a report of fixed length)."""
     w = Window.partitionBy("source").orderBy(F.col("n_calls").desc(), F.col("score").desc(), "url")
     return scored.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+
+
+def best_per_url(scored: DataFrame) -> DataFrame:
+    """(url, label, score) seen on any page -> each url once with its best score and that label, the first by letters on ties."""
+    best = scored.groupBy("url").agg(F.max("score").alias("score"), F.min_by("label", F.struct(-F.col("score"), F.col("label"))).alias("label"))
+    return best.filter("score > 0")

@@ -237,6 +237,40 @@ def priority_ranking(spark, d):
     return rows.select("call_id", F.floor(F.col("priority") + 0.0001).cast("int").alias("whole"), scoring.fit_label(F.col("priority")).alias("fit"))
 
 
+_AUDIENCE = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_has('n', terms)} THEN '{k}' END" for k, terms in L.PROFILE.audiences.items()) + "], lambda x: x IS NOT NULL), ',')"
+
+
+@query(f"WITH {CALLS}, n AS (SELECT call_id, {_norm('text')} AS n FROM calls) SELECT call_id, {_AUDIENCE} AS audience FROM n")
+def call_audience(spark, d):
+    return scoring.evaluate(X.calls(spark, d).drop("deadline"), "text", AS_OF).select("call_id", F.array_join("audience", ",").alias("audience"))
+
+
+_NEAR = "|".join(map(re.escape, cues.ANCHORS)).replace("\\ ", " ")
+_REASON = "CASE " + " ".join([f"WHEN contains(n, '{t}') THEN 'explicit: {t}'" for t in L.PROFILE.strong] + [f"WHEN regexp_matches(n, '(?s)(?:{_NEAR}).{{0,450}}{p}|{p}.{{0,450}}(?:{_NEAR})') THEN 'place: {p}'" for p in L.PROFILE.places]) + " END"
+
+
+@query(f"""WITH {CALLS}, n AS (SELECT 'c' AS kind, call_id AS id, {_norm('text')} AS n FROM calls UNION ALL SELECT 'd', doc_id, {_norm('text')} FROM documents) SELECT kind, id, {_REASON} AS reason FROM n WHERE {_REASON} IS NOT NULL""")
+def international_reason(spark, d):
+    """Why a text counts as international: an explicit term, or a place near an anchor word."""
+    rows = X.calls(spark, d).select(F.lit("c").alias("kind"), F.col("call_id").alias("id"), "text").unionByName(table(spark, d, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), "text"))
+    rows = dates.settled(rows.select("kind", "id", T.normalise(F.col("text")).alias("n")))
+    return dates.settled(rows.select("kind", "id", scoring.international_reason(F.col("n"), L.PROFILE).alias("reason"))).filter("reason is not null")
+
+
+@query("SELECT o_orderkey AS id, 'Edital 202' || o_orderkey % 10 || ' e 2019' AS title, greatest(2019, 2020 + o_orderkey % 10)::INTEGER AS year FROM orders")
+def mended_year(spark, d):
+    broken = F.concat(F.lit("Edital 202 "), F.col("o_orderkey") % 10, F.lit(" e 2019"))
+    rows = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), T.mend_year(broken).alias("title"))
+    return rows.withColumn("year", T.year_of(F.col("title")))
+
+
+@query("""WITH s AS (SELECT 'u' || l_partkey AS url, l_linestatus || l_returnflag AS label, CAST(l_quantity AS INTEGER) - 30 AS score FROM lineitem)
+SELECT url, max(score) AS score, arg_min(label, -score * 1000 + ascii(label) * 3 + ascii(label[2])) AS label FROM s GROUP BY url HAVING max(score) > 0""")
+def best_link(spark, d):
+    rows = table(spark, d, "lineitem").select(F.concat(F.lit("u"), "l_partkey").alias("url"), F.concat("l_linestatus", "l_returnflag").alias("label"), (F.col("l_quantity").cast("int") - 30).alias("score"))
+    return extraction.best_per_url(rows)
+
+
 # Entity resolution
 
 
