@@ -48,9 +48,9 @@ class _Known(dict):
     directly; any other word goes through the whole library.
     """
 
-    def __init__(self, tokenizer, held: int):
+    def __init__(self, tokenizer, held: int, held_pieces: int):
         self.tokenizer = tokenizer
-        self.held = held
+        self.held, self.held_pieces = held, held_pieces
         self.pieces: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
@@ -61,7 +61,7 @@ class _Known(dict):
         if found is None:
             symbols = piece.encode().decode("latin-1").translate(_SYMBOLS)
             found = array("I", [t.id for t in self.tokenizer.model.tokenize(symbols)]).tobytes()
-            if len(self.pieces) < self.held:
+            if len(self.pieces) < self.held_pieces:
                 self.pieces[piece] = found
         return found
 
@@ -86,8 +86,8 @@ class _Known(dict):
 class WordEncoder:
     """Texts -> ids as native (little-endian) unsigned 32-bit integers, equal to the library's."""
 
-    def __init__(self, path: str, held: int = CACHED_WORDS):
-        self.known = _Known(load(path), held)
+    def __init__(self, path: str, held: int = CACHED_WORDS, pieces: int = CACHED_WORDS):
+        self.known = _Known(load(path), held, pieces)
 
     def encode(self, text: str) -> bytes:
         if "\0" not in text:
@@ -98,11 +98,12 @@ class WordEncoder:
         return b"".join([self.known.get(u) or self.known.ids(u) for u in _UNITS.findall(text)])
 
 
-_encoders: dict[tuple[str, int], WordEncoder] = {}
+_encoders: dict[tuple[str, int, int], WordEncoder] = {}
 
 
-def encoder(path: str, held: int = CACHED_WORDS) -> WordEncoder:
+def encoder(path: str, held: int = CACHED_WORDS, pieces: int = CACHED_WORDS) -> WordEncoder:
     """The worker's encoder of a file; a worker keeps it from task to task."""
-    if (path, held) not in _encoders:
-        _encoders[path, held] = WordEncoder(path, held)
-    return _encoders[path, held]
+    key = path, held, pieces
+    if key not in _encoders:
+        _encoders[key] = WordEncoder(*key)
+    return _encoders[key]
