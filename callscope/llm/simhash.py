@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from callscope.llm.common import materialise, table, text_or_empty
 from callscope.llm.components import connected_components
+from callscope.llm.resemblance import near_copies
 
 DISTANCE = 2
 PIVOTS = tuple(random.Random(8).getrandbits(64) - (1 << 63) for _ in range(16))
@@ -136,13 +137,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Keep of each near-duplicate group the row with the least doc_id, all columns as they are.
+    """Keep of each group of near copies the row with the least doc_id, all columns as they are.
 
-    Of repeated rows of that doc_id the one with the least text hash stays. Rows
-    without a doc_id stay unless their group has a document with one.
+    Near copies are those of ``resemblance``: five-word shingles, a similarity of 0.8
+    or more; this module's shingles and distance are op8's contract only. Of repeated
+    rows of that doc_id the one with the least text hash stays. Rows without a doc_id
+    stay unless their group has a document with one.
     """
-    groups = near_duplicates(docs)
-    winners = groups.select(F.coalesce(F.col("component_id").cast("string"), F.lit("")).alias("__key")).distinct()
+    groups = materialise(near_copies(docs), "near-copies")
+    firsts = groups.groupBy("root").agg(F.min("doc_id").alias("first"))
+    winners = firsts.select(F.coalesce(F.col("first").cast("string"), F.lit("")).alias("__key")).distinct()
     order = Window.partitionBy("__key").orderBy(F.xxhash64("text"))
     kept = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(winners, "__key", "left_semi")
     return kept.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1 or doc_id is null").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -323,6 +323,47 @@ def test_matches_oracle(spark, name):
     assert oracle.difference(spark, name, SF, catalog.QUERIES, catalog.ORACLE_SQL) == ""
 
 
+def test_stage_keeps_one_of_near_copies_by_brute_force(spark, docs, monkeypatch):
+    import corpus_pipeline
+    from callscope.llm import resemblance
+
+    r = random.Random(5)
+    base = [[f"w{r.randrange(400)}" for _ in range(r.choice((3, 30, 120, 400)))] for _ in range(40)]
+    texts = [t for t in (" ".join(w) for w in base)]
+    for words in base:
+        for share in (0.004, 0.01, 0.02, 0.04, 0.06):
+            copy = [f"x{r.randrange(9)}" if r.random() < share else w for w in words]
+            texts.append(" ".join(copy[r.randrange(3) :]))
+    texts += ["one common line of many words that stands in very many texts " * 2 + " ".join(f"u{r.randrange(10**6)}" for _ in range(10)) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(10_000 + d.doc_id, d.text) for d in docs.select("doc_id", "text").collect()]
+
+    def shingles(text):
+        words = re.findall(rb"[^ \t\n\r\x0b\x0c]+", (text or "").encode().lower())
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+    sets = [shingles(t) for _, t in rows]
+    own = list(range(len(rows)))
+
+    def root(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    far = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                own[max(root(i), root(j))] = min(root(i), root(j))
+                far += (simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[j][1])).bit_count() > simhash.DISTANCE
+    assert far > 20
+    want = {rows[i][0] for i in range(len(rows)) if own[i] == i}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for common in (4, 10**9):
+        monkeypatch.setattr(resemblance, "COMMON", common)
+        assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, frame, SF).collect()} == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
