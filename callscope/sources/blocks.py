@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 LINKS = "array<struct<kind: string, place: int, href: string, label: string, names: array<string>, headers: array<string>, lead: string, container: boolean, date_text: string, context: string>>"
-CONTEXT, SCAN_CONTEXT, LEAD = 6000, 5000, 160
+SCAN_CONTEXT, LEAD = 5000, 160
 
 # Where a block's heading is looked for, in this order.
 HEADINGS = ("summary", ".accordion-header", ".accordion-button", ".card-header", ".panel-heading", "h1", "h2", "h3", "h4", "h5", ".titulo", ".title", ".field--name-title", "strong", "b")
@@ -166,7 +166,7 @@ def links_of(html: str | None, css: str | None, title_css: str | None, date_css:
     for block in (n for n in page.nodes if blocks and matches(n, blocks)):
         headers, lead = page.headings(block, titles)
         dated = next((n for n in page.inside(block) if dates and matches(n, dates)), None)
-        around = page.text_of(block, " ")[:CONTEXT]
+        around = page.text_of(block, " ")
         container = block.tag == "details" or bool(CONTAINER.search(block.attrs.get("class", "")))
         for a in [block, *page.inside(block)]:
             if a.tag == "a" and a.attrs.get("href"):

@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-LIMIT = 120_000
 _HIDDEN = {"script", "style", "noscript", "svg", "template"}
 _DEADLINE_KEYS = re.compile(r"deadline|validthrough|enddate|closing|expires", re.I)
 
@@ -58,8 +57,8 @@ class _Text(HTMLParser):
                 todo += x
 
 
-def text_of(html: str | None, limit: int = LIMIT) -> str:
-    """Visible text, led by the deadlines that structured data and meta tags name."""
+def text_of(html: str | None, limit: int | None = None) -> str:
+    """The whole visible text, led by the deadlines that structured data and meta tags name; cut only if a limit is given."""
     parser = _Text()
     try:
         parser.feed(html or "")
@@ -81,7 +80,7 @@ def pdf_text(reader=None):
     def run(content: pd.Series) -> pd.Series:
         def one(raw):
             try:
-                return reader(bytes(raw))[:LIMIT] if reader and raw is not None else ""
+                return reader(bytes(raw)) if reader and raw is not None else ""
             except Exception:
                 return ""
 

@@ -100,3 +100,11 @@ def test_previous_editions_by_brute_force(spark):
         older = [(len(tokens & u) / len(tokens | u), -j) for j, (y, u) in known.items() if year and y and y < year and tokens and u and len(tokens & u) / len(tokens | u) >= 0.75]
         want[i] = f"u{-max(older)[1]:03d}" if older else None
     assert {x.position: x.previous_url for x in entity.previous_editions(rows, rows).collect()} == want
+
+
+def test_deadline_at_the_end_of_a_long_detail_page(spark):
+    rows = spark.createDataFrame([("t", 5, "Projeto conjunto", "u5", "International joint research call with mobility grants.")], "source string, position long, title string, url string, context string")
+    sources = spark.createDataFrame([("t", None, None)], "source string, need_date boolean, max_details int")
+    details = spark.createDataFrame([("u5", "filler text " * 16_000 + ". Apply by October 1, 2026.")], "url string, text string")
+    (row,) = collect.judged(rows, sources, details, "2026-08-20").collect()
+    assert row.reason is None and row.detail_read

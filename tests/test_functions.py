@@ -85,6 +85,15 @@ def test_html_text_reads_structured_deadlines():
     assert html.text_of(None) == ""
 
 
+def test_long_pages_and_blocks_are_whole():
+    from callscope.sources import blocks
+
+    long = "word " * 50_000
+    assert html.text_of(f"<p>{long}</p><p>end</p>") == long + "end"
+    (link, _) = blocks.links_of(f"<li><a href='/x'>Call</a> {long}<b>end</b></li>", "li", None, None)
+    assert link["context"].endswith(" end")
+
+
 def test_attachments_make_one_row(spark):
     rows = spark.createDataFrame([(1, "Edital 15/2026 de bolsas", "Anexo I", "u1", "PDF"), (2, "Edital 15/2026 de bolsas", "Edital completo", "u2", "PDF"), (3, "Edital 15/2026 de bolsas", "Formulario", "u3", "DOC")], "position int, header string, label string, url string, file string")
     (row,) = extraction.group_attachments(rows).collect()
