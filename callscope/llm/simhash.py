@@ -4,30 +4,32 @@ Fingerprint: 64 majority bits over the XXH64 (seed 42) of all three-word shingle
 of the ASCII-lower-cased text, repeats included; fewer words give one shingle of
 what there is, no word gives fingerprint zero.
 
-Linking works on the distinct fingerprints:
-
-1. The pivot table holds each fingerprint's Hamming distance to ``PIVOTS``
-   reference fingerprints, packed as bytes into two longs.
-2. Fingerprints that differ in at most two bits agree in two of four 16-bit
-   blocks, so an equi-join on the six block pairs meets every link.
-3. A pair is discarded if its largest coordinate difference over the pivots is
-   above two (triangle inequality); survivors are verified by XOR and bit count.
-   Both happen inside the join, no discarded pair leaves it.
-4. Buckets above ``BUCKET`` members are not paired. Their members take an exact
-   linear way instead: radius-one balls (the fingerprint and its 64 one-bit
-   neighbours) of two fingerprints meet exactly if they differ in at most two
-   bits, so a star around each ball point's least member links them all.
+Linking works on the distinct fingerprints. The pivot table holds each one's Hamming
+distances to ``BANDS`` families of ``FAMILY`` reference fingerprints. The references
+of a family are alike outside one band of eight bits, so the differences between a
+family's distances (its relative coordinates) depend on that band alone.
+
+1. Fingerprints at most two bits apart differ in two bands at most: for six of the
+   eight families all relative coordinates are equal. An equi-join on the coordinates
+   of six families, for each of the 28 choices of six, meets every link. A bucket's
+   members differ in two bands only, so it never has more than 65,536 of them,
+   whatever the corpus, and all buckets are treated alike.
+2. A pair is discarded if any of its ``len(CHECKED)`` further absolute coordinates
+   differ by more than two (triangle inequality).
+3. Survivors are verified by XOR and bit count. All of this happens inside the join;
+   no discarded pair leaves it.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import random
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.llm.common import materialise, table, text_or_empty
@@ -35,10 +37,25 @@ from callscope.llm.components import connected_components
 from callscope.llm.resemblance import near_copies
 
 DISTANCE = 2
-PIVOTS = tuple(random.Random(8).getrandbits(64) - (1 << 63) for _ in range(16))
-BUCKET = 64
-_BLOCKS = tuple(0xFFFF << (16 * i) for i in range(4))
-MASKS = tuple(_BLOCKS[i] | _BLOCKS[j] for i in range(4) for j in range(i + 1, 4))
+BANDS, FAMILY = 8, 6
+_WIDTH = 64 // BANDS
+
+
+def _references() -> list[list[int]]:
+    """The families: random references that share all bits outside their band."""
+    r = random.Random(8)
+    out = []
+    for band in range(BANDS):
+        mask = ((1 << _WIDTH) - 1) << (_WIDTH * band)
+        shared = r.getrandbits(64) & ~mask
+        out.append([shared | at << (_WIDTH * band) for at in r.sample(range(1 << _WIDTH), FAMILY)])
+    return out
+
+
+PIVOTS = _references()
+#: The references whose absolute distances go along with each row of the join: two of each family.
+CHECKED = [p for family in PIVOTS for p in family[:2]]
+CHOICES = list(itertools.combinations(range(BANDS), BANDS - DISTANCE))
 
 _digest = functools.partial(xxhash.xxh64_digest, seed=42)
 
@@ -76,46 +93,43 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_fingerprints, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
-def _pivot_row(fp: Column) -> list[Column]:
-    """The pivot coordinates of a fingerprint, a byte each, in two longs."""
-    out = []
-    for half in (PIVOTS[:8], PIVOTS[8:]):
-        packed = F.lit(0).cast("long")
-        for i, pivot in enumerate(half):
-            packed = packed.bitwiseOR(F.shiftleft(F.bit_count(fp.bitwiseXOR(F.lit(pivot))).cast("long"), 8 * i))
-        out.append(packed)
+def _distance(fp: Column, pivot: int) -> Column:
+    return F.bit_count(fp.bitwiseXOR(F.lit(_signed(pivot)))).cast("long")
+
+
+def _packed(values: list[Column], bits: int) -> Column:
+    out = F.lit(0).cast("long")
+    for i, value in enumerate(values):
+        out = out.bitwiseOR(F.shiftleft(value, bits * i))
     return out
 
 
+def pivot_table(fps: DataFrame) -> DataFrame:
+    """(fp long) -> fp, p0, p1 (absolute coordinates, a byte each), families (relative coordinates, one long a family)."""
+    fp = F.col("fp")
+    half = len(CHECKED) // 2
+    relative = [_packed([_distance(fp, p) - _distance(fp, first) + 64 for p in rest], 8) for first, *rest in PIVOTS]
+    return fps.select("fp", *[_packed([_distance(fp, p) for p in part], 8).alias(c) for c, part in (("p0", CHECKED[:half]), ("p1", CHECKED[half:]))], F.array(*relative).alias("families"))
+
+
 def _coordinates_close() -> Column:
+    """Whether no coordinate differs by more than ``DISTANCE``."""
     close = F.lit(True)
-    for half in ("p0", "p1"):
-        for i in range(8):
-            x, y = (F.shiftrightunsigned(F.col(f"{s}.{half}"), 8 * i).bitwiseAND(F.lit(255)) for s in "xy")
+    for part in ("p0", "p1"):
+        for i in range(len(CHECKED) // 2):
+            x, y = (F.shiftrightunsigned(F.col(f"{s}.{part}"), 8 * i).bitwiseAND(F.lit(255)) for s in "xy")
             close = close & (F.abs(x - y) <= DISTANCE)
     return close
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Distinct (fp long) -> edges (a, b) whose closure joins all at most two bits apart."""
-    p0, p1 = _pivot_row(F.col("fp"))
-    pivots = fps.select("fp", p0.alias("p0"), p1.alias("p1"))
-    keys = F.array(*[F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("block")) for i, m in enumerate(MASKS)])
-    blocks = pivots.select("fp", "p0", "p1", F.inline(keys).alias("combo", "block"))
-    shared = fps.select(F.inline(keys).alias("combo", "block")).groupBy("combo", "block").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialise(blocks.join(shared, ["combo", "block"]), "members")
-    light = members.filter(F.col("n") <= BUCKET)
-    pairs = (
-        light.alias("x")
-        .join(light.alias("y"), (F.col("x.combo") == F.col("y.combo")) & (F.col("x.block") == F.col("y.block")) & (F.col("x.fp") < F.col("y.fp")) & _coordinates_close() & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= DISTANCE))
-        .select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
-    )
-    ball = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)).cast("long") for i in range(64)])
-    heavy = members.filter(F.col("n") > BUCKET).select("fp").distinct()
-    points = heavy.select("fp", F.explode(ball).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("point"))
-    least = points.groupBy("point").agg(F.min("fp").alias("a"), F.max("fp").alias("top")).filter("a < top").select("point", "a")
-    stars = points.join(least, "point").filter("a < fp").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(stars)
+    """Distinct (fp long) -> edges (a, b) of all at most two bits apart; a pair may come more than once."""
+    # Keys are hashes of (choice, coordinates); a collision only adds a pair that is then discarded.
+    keys = F.array(*[F.xxhash64(F.lit(i), *[F.get("families", F.lit(b)) for b in choice]) for i, choice in enumerate(CHOICES)])
+    rows = pivot_table(fps).select("fp", "p0", "p1", F.explode(keys).alias("key"))
+    same = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= DISTANCE
+    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _coordinates_close() & same)
+    return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -137,19 +151,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Keep of each group of near copies the row with the least doc_id, all columns as they are.
+    """Keep of each group of near copies one row, all columns as they are.
 
     Near copies are those of ``resemblance``: five-word shingles, a similarity of 0.8
-    or more; this module's shingles and distance are op8's contract only. Of repeated
-    rows of that doc_id the one with the least text hash stays. Rows without a doc_id
-    stay unless their group has a document with one.
+    or more; this module's shingles and distance are op8's contract only. The row kept
+    has the group's least doc_id (rows without one come last), then the least text hash;
+    of rows equal in both the least by their other columns. Unrelated texts that share a
+    doc_id are groups of their own. Equal rows are reduced where they are read, so that
+    a text in very many rows is a row a task after that.
     """
     groups = materialise(near_copies(docs), "near-copies")
-    firsts = groups.groupBy("root").agg(F.min("doc_id").alias("first"))
-    winners = firsts.select(F.coalesce(F.col("first").cast("string"), F.lit("")).alias("__key")).distinct()
-    order = Window.partitionBy("__key").orderBy(F.xxhash64("text"))
-    kept = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(winners, "__key", "left_semi")
-    return kept.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1 or doc_id is null").select(*[F.col(f"`{c}`") for c in docs.columns])
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "hash")
+    winners = groups.groupBy("root").agg(F.min(place).alias("w")).select("w.doc_id", "w.hash")
+    repeats = groups.groupBy("doc_id", "hash").agg(F.count("*").alias("n")).filter("n > 1")
+    known = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.hash") == F.col(f"{y}.hash"))
+    winners = winners.alias("w").join(repeats.alias("r"), known("w", "r"), "left").select("w.doc_id", "w.hash", F.col("r.n").isNotNull().alias("repeated"))
+    winners = materialise(winners.toDF("__id", "__hash", "__repeated"), "winners")
+    keyed = docs.withColumn("__key", F.xxhash64(text_or_empty()))
+    kept = keyed.join(winners, (F.col("__key") == F.col("__hash")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    once = kept.filter("not __repeated").select(*columns)
+    again = kept.filter("__repeated").groupBy("__id", "__hash").agg(F.min(F.struct(*columns)).alias("row")).select("row.*")
+    return once.unionByName(again)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

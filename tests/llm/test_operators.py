@@ -259,23 +259,45 @@ def test_near_duplicates_by_brute_force(spark, docs, edges, empty):
     assert kept.columns == edges.columns and {r.doc_id for r in kept.collect()} == {1, 3, 4, 5, 6, None}
 
 
-def test_large_buckets_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "BUCKET", 2)
-    r = random.Random(8)
-    base = [r.getrandbits(64) for _ in range(20)]
-    fps = sorted({simhash._signed(b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64))) for b in base for _ in range(30)})
-    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long"))
+def test_dense_groups_lose_no_link(spark):
     from callscope.llm.components import connected_components
 
-    roots = {x.node: x.root for x in connected_components(edges).collect()}
+    r = random.Random(8)
+    base = [r.getrandbits(64) for _ in range(20)]
+    fps = {simhash._signed(b ^ (1 << r.randrange(64)) ^ (1 << r.randrange(64))) for b in base for _ in range(30)}
+    fps |= {simhash._signed(base[0] ^ x ^ y << 60) for x in range(256) for y in range(8)}  # a group of thousands in few bands
+    fps = sorted(fps)
     array = np.array(fps, np.int64)
     near = np.bitwise_count(array.view(np.uint64)[:, None] ^ array.view(np.uint64)[None, :]) <= 2
+    edges = simhash.links(spark.createDataFrame([(f,) for f in fps], "fp long")).distinct().collect()
+    place = {f: i for i, f in enumerate(fps)}
+    assert {(place[e.a], place[e.b]) for e in edges} == {(i, j) for i, j in zip(*np.nonzero(near)) if i < j}
+    roots = {x.node: x.root for x in connected_components(spark.createDataFrame(edges)).collect()}
     own = array.copy()
     while (least := np.array([own[n].min() for n in near])).tolist() != own.tolist():
         own = least
     assert [roots.get(f, f) for f in fps] == own.tolist()
 
 
+def test_pivot_coordinates_are_distances(spark):
+    r = random.Random(9)
+    fps = [simhash._signed(r.getrandbits(64)) for _ in range(50)]
+    of = {x.fp: x for x in simhash.pivot_table(spark.createDataFrame([(f,) for f in fps], "fp long")).collect()}
+    unsigned = lambda f: f % (1 << 64)
+    for f in fps:
+        got = [(of[f][c] >> 8 * i) & 255 for c in ("p0", "p1") for i in range(8)]
+        assert got == [(unsigned(f) ^ p).bit_count() for p in simhash.CHECKED]
+        for family, packed in zip(simhash.PIVOTS, of[f].families):
+            assert [((packed >> 8 * i) & 255) - 64 for i in range(len(family) - 1)] == [(unsigned(f) ^ p).bit_count() - (unsigned(f) ^ family[0]).bit_count() for p in family[1:]]
+
+
+def test_kept_copies(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(7, long, "a"), (3, long, "b"), (3, "an unrelated text of other words altogether, quite another", "c"), (None, long, "d"), (None, "a text without an id and without a copy at all here", "e"), (None, "a text without an id and without a copy at all here", "f"), (5, long, "g"), (5, long, "g"), (9, None, "h"), (8, " ", "i")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, hash string")
+    assert sorted(r.hash for r in simhash.keep_one(frame).collect()) == ["b", "c", "e", "i"]
+
+
 # 9
 
 
