@@ -20,12 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset
-    (tests on one machine) a temporary folder of our own is used.
+    The cluster names it in ``spark.checkpoint.dir``. Only where that is unset and
+    the session runs in one process a temporary folder of our own is used; a cluster
+    without a shared folder is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="callscope-")
@@ -52,6 +55,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bit_table(values: DataFrame, column: str, bits: int) -> bytes:
+    """A bit for each value of a long column, modulo ``bits`` (bit i is byte i // 8, i % 8); of that size whatever the rows."""
+    # Spark numbers bitmap values from 1: value v is bit v - 1.
+    place = F.pmod(column, F.lit(bits)) + 1
+    parts = values.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
+    out = bytearray(bits // 8)
+    for row in parts:
+        at = (row["bucket"] - 1) * len(row["bits"])
+        out[at : at + len(row["bits"])] = row["bits"]
+    return bytes(out)
+
+
 def text_or_empty(name: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

@@ -224,19 +224,57 @@ def test_disclosing_terms(spark, edges, empty):
 
 
 def test_codec_equals_library(spark, docs, edges, empty, library):
-    for frame in (docs, edges):
+    r = random.Random(70)
+    passage = " ".join(f"passage{r.randrange(500)}, {r.choice(['und', 'the', 'é!'])}" for _ in range(400))
+    planted = [(i, f"head {i} " + passage[r.randrange(40) :] + f" tail {i}", "x") for i in range(40)] + [(100 + i, passage, "x") for i in range(5)] + [(200, passage[:700] + "日本語" * 900 + passage[700:], "x")]
+    for frame in (docs, edges, spark.createDataFrame(planted, "doc_id long, text string, hash string")):
         want = Counter((r.doc_id, hashlib.sha256(ids(library, r.text)).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in frame.select("doc_id", "text").collect())
-        assert Counter((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_documents(frame, tokens.default_tokenizer()).collect()) == want
+        rows = bpe.encode_documents(frame, tokens.default_tokenizer()).collect()
+        assert Counter((r.doc_id, r.ids_sha256, r.decoded_sha256) for r in rows) == want
+        assert all(hashlib.sha256(r.ids).hexdigest() == r.ids_sha256 and len(r.ids) == 4 * r.n_tokens for r in rows)
     assert bpe.encode_documents(empty, tokens.default_tokenizer()).count() == 0
 
 
+def test_shared_chunks_are_cut_alike_and_found():
+    r = random.Random(71)
+    passage = " ".join(f"w{r.randrange(10**6)}" for _ in range(3000))
+    sets = [{k for _, k in bpe.chunks(head + passage) if k} for head in ("", "some other beginning ")]
+    assert len(sets[0] & sets[1]) >= len(sets[0]) - 2
+    bits = bytearray(bpe.FILTER_BITS // 8)
+    for k in sets[0] & sets[1]:
+        at = bpe._number(k) % bpe.FILTER_BITS
+        bits[at >> 3] |= 1 << (at & 7)
+    parts = bpe._Shared(bytes(bits)).parts("a third beginning " + passage)
+    assert "".join(p for p, _ in parts) == "a third beginning " + passage and sum(k is not None for _, k in parts) >= len(sets[0]) - 2
+
+
 def test_codec_fuzz(library):
     r = random.Random(7)
-    alphabet = [" ", "\n", "\t", "a", "b", "1", "!", "'s", "é", "\xa0", "　", "<|endoftext|>", "\x1c", "\0", "日", "  ", " the", "\nab."]
+    alphabet = [" ", "\n", "\t", "a", "b", "1", "!", "'", "'s", "é", "\xa0", "　", "<|endoftext|>", "\x1c", "\0", "日", "  ", " the", "\nab.", " word and more"]
+    coder = bpe.codec(tokens.default_tokenizer())
+    joins = 0
+    for text in [*("".join(r.choices(alphabet, k=r.randint(0, 300))) for _ in range(1500)), "a" * 50_000, "日本語" * 3000]:
+        want = ids(library, text)
+        assert coder.encode(text) == want and coder.decode(want).decode() == text
+        at = sorted(r.sample(range(len(text) + 1), min(len(text) + 1, r.randint(0, 6))))
+        parts = [coder.encode(text[a:b]) if r.random() < 0.7 else text[a:b] for a, b in zip([0, *at], [*at, len(text)])]
+        assert coder.assemble(parts) == want
+        joins += sum(isinstance(p, bytes) for p in parts)
+    assert joins > 2000
+
+
+def test_repair_reaches_outward_until_ids_agree(library, monkeypatch):
     coder = bpe.codec(tokens.default_tokenizer())
-    for text in [*("".join(r.choices(alphabet, k=r.randint(0, 700))) for _ in range(800)), "a" * 50_000, "日本語" * 3000]:
-        found = coder.encode(text)
-        assert found == ids(library, text) and coder.decode(found).decode() == text
+    text = "one two three four five six seven eight nine ten"
+    left, right = (np.frombuffer(ids(library, t), "<u4").copy() for t in (text[:23], text[23:]))
+    place = coder._words(left)
+    spelt = np.concatenate([np.frombuffer(ids(library, c), "<u4") for c in coder._text(left[place[-2] : place[-1]])])
+    wrong = np.concatenate([left[: place[-2]], spelt, left[place[-1] :]])  # the last whole word is the same text in other ids
+    assert coder._text(wrong) == coder._text(left)
+    a, found, b = coder.join((wrong, coder._words(wrong)), "", (right, coder._words(right)))
+    assert a == place[-3] and np.concatenate([wrong[:a], found, right[b:]]).tobytes() == ids(library, text)
+    monkeypatch.setattr(coder, "_words", lambda x: np.arange(1, len(x)))  # places that no rule vouches for: what never agrees is encoded whole
+    assert coder.assemble([left.tobytes(), right.tobytes()]) == ids(library, text)
 
 
 # 8
