@@ -53,14 +53,107 @@ def ids(library, text):
 # 1
 
 
-def test_licences_by_brute_force(spark, docs):
-    rows = spark.createDataFrame(
-        [(1, "p/LICENSE", "Released under the MIT License."), (2, "p/a/b/x.py", "code"), (3, "q/x.py", None), (4, "p/a/LICENSE.txt", "Licensed under CC BY 4.0."), (5, None, "Released under the MIT License."), (6, "p/a/c/y.py", "# Licensed under the Apache License, Version 2.0.")],
-        "doc_id long, path string, text string",
-    )
-    got = {r.doc_id: (r.licence, r.licence_dir) for r in licences.scan(rows).collect()}
-    assert got == {1: ("MIT", None), 2: ("CC-BY-4.0", "p/a"), 3: (None, None), 4: ("CC-BY-4.0", None), 5: ("MIT", None), 6: ("Apache-2.0", None)}
-    assert licences.scan(rows.limit(0)).count() == 0
+GNU_TERMS = "you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation{} either version {} of the License, or (at your option) any later version."
+HEADERS = [
+    ("GNU GENERAL PUBLIC LICENSE\n   Version 2, June 1991", "GPL-2.0"),
+    ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007", "GPL-3.0"),
+    ("This program is free software; " + GNU_TERMS.format("General Public License", ";", "2"), "GPL-2.0"),
+    ("This program is free software: " + GNU_TERMS.format("General Public License", ",", "3"), "GPL-3.0"),
+    ("This library is free software; " + GNU_TERMS.format("Lesser General Public License", ";", "2.1"), "LGPL-2.1"),
+    ("This program is free software: " + GNU_TERMS.format("Affero General Public License", ",", "3"), "AGPL-3.0"),
+    ("GNU General Public License", "GPL"),
+    ("Licensed under the GNU Lesser General Public License, version 3.", "LGPL-3.0"),
+    ("Licensed under the GPL v2", "GPL-2.0"),
+    ("CC BY-NC-SA 4.0", "CC-BY-NC-SA-4.0"),
+    ("CC BY NC SA 4.0", "CC-BY-NC-SA-4.0"),
+    ("CC BY-ND", "CC-BY-ND"),
+    ("cc-by-sa-3.0", "CC-BY-SA-3.0"),
+    ("This work is licensed under a Creative Commons Attribution 4.0 International License.", "CC-BY-4.0"),
+    ("This work is licensed under the Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "CC-BY-NC-ND-4.0"),
+    ("            Apache License\n      Version 2.0, January 2004\n   http://www.apache.org/licenses/", "Apache-2.0"),
+    ("SPDX-License-Identifier: MIT", "MIT"),
+    ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0"),
+    ("SPDX-License-Identifier: GPL-3.0+", "GPL-3.0"),
+    ("SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"),
+    ("Copyright (c) 2024 Some Person. All rights reserved. Licensed under the MIT License. See LICENSE in the project root for license information.", "MIT"),
+    ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "BSD"),
+    ("This file is subject to the terms of the Mozilla Public License, version 2.0.", "MPL-2.0"),
+    ("a book about the general public and how to license a car", None),
+    ("", None),
+]
+
+
+def test_licence_headers_wrapped_and_inside_texts():
+    import textwrap
+
+    m = licences.Matcher(licences.notices(), licences.full_texts(), 1000, {})
+    prose = "lorem ipsum dolor sit amet consectetur. " * 30
+    for text, want in HEADERS:
+        shapes = [text, "\n".join("// " + x for x in text.split("\n")), "/*\n" + "\n".join(" * " + y for x in text.split("\n") for y in textwrap.wrap(x, 50) or [""]) + "\n */\nint main() {}\n"]
+        if "\n" not in text and len(text.split()) > 5:
+            shapes.append(prose + text.rstrip(".") + ". " + prose)
+        for shape in shapes:
+            assert m.best(shape)[1] == want, shape
+
+
+def test_licence_texts():
+    m = licences.Matcher(licences.notices(), licences.full_texts(), 1000, {})
+    for licence, text in licences.full_texts():
+        own = text.replace("<year>", "2019").replace("<owner>", "Ann Other").replace("<copyright holders>", "Ann Other")
+        score, found = m.best(own, True)
+        assert found == licence and score > 0.9
+        if len(licences.tokens(text)) <= licences.SHORT:
+            assert m.best("".join(f"// {line}\n" for line in own.split("\n")) + "\nint main() { return 0; }\n" * 50)[1] == licence
+
+
+def test_cosines_and_cues_by_brute_force():
+    r = random.Random(1)
+    df = {w: r.randrange(1, 900) for _, t in licences.notices() for w in licences.tokens(t)}
+    m = licences.Matcher(licences.notices(), [], 1000, df)
+    idf = lambda w: np.log(1001 / (1 + df[w])) + 1 if w in df else np.log(1001) + 1
+    vector = lambda words: {w: c * idf(w) for w, c in Counter(words).items()}
+    pool = [*df, *"some other words of no template".split()]
+    for _ in range(300):
+        words = r.choices(pool, k=r.randint(1, 12)) if r.random() < 0.5 else licences.tokens(r.choice(licences.notices())[1])[: r.randint(1, 12)]
+        got = {id(t): s for s, t in m.cosines(words)}
+        v = vector(words)
+        for (_, text), t in zip(licences.notices(), m.short):
+            u = vector(licences.tokens(text))
+            want = sum(v[w] * u.get(w, 0) for w in v) / np.sqrt(sum(x * x for x in v.values()) * sum(x * x for x in u.values()))
+            assert np.isclose(got.get(id(t), 0.0), want)
+            assert want < licences.LEAST or not m.cues.isdisjoint(words)
+
+
+def test_licences_are_inherited_from_the_nearest_directory_by_brute_force(spark, empty):
+    r = random.Random(2)
+    notice = {"MIT": "Released under the MIT License.", "CC-BY-4.0": "Licensed under CC BY 4.0.", "Apache-2.0": "# Licensed under the Apache License, Version 2.0."}
+    rows, own = [], {}
+    for i in range(300):
+        folder = "/".join(r.choice("ab") for _ in range(r.randint(0, 5)))
+        name = r.choice(["LICENSE", "LICENSE.txt", "x.py", "y.py", "z.py", "z.py", "z.py"])
+        licence = r.choice([*notice, None]) if name.startswith("LICENSE") or r.random() < 0.1 else None
+        rows.append((i, "/".join(filter(None, [folder, name])), notice.get(licence, r.choice(["code", "", None])), "extra", 1.0))
+        own[i] = licence
+    rows += [(1000, None, "code", "x", 0.0), (None, "a/b/x.py", None, None, None), (1001, "a/q.py", "word " * 50_000, "x", 1.0), (1002, "a/q.py", "word " * 50_000, "x", 1.0)]
+    frame = spark.createDataFrame(rows, "doc_id long, path string, text string, dir string, own_score double")
+    got = licences.scan(frame).collect()
+    assert len(got) == len(rows)
+    scores = {x.doc_id: x.own_score for x in got}
+    held: dict = {}
+    for i, path, *_ in rows[:300]:
+        folder, _, name = path.rpartition("/")
+        if name.startswith("LICENSE") and own[i]:
+            held.setdefault(folder, []).append((-scores[i], path, own[i]))
+    for x in got:
+        folder = (x.path or "").rpartition("/")[0]
+        want, where = own.get(x.doc_id), None
+        steps = folder.split("/") if folder else []
+        for n in range(len(steps), -1, -1):
+            if want is None and "/".join(steps[:n]) in held:
+                where = "/".join(steps[:n])
+                want = min(held[where])[2]
+        assert (x.own_licence, x.licence, x.licence_dir) == (own.get(x.doc_id), want, where)
+    assert licences.scan(frame.limit(0)).count() == 0
 
 
 # 2
