@@ -3,33 +3,39 @@ r"""Information-theoretic sanitisation of personal data.
 Base spans are found by fixed patterns in every text. Each base value is a
 protected entity. A term that stands within ``CONTEXT`` words of an entity may
 reveal it: with N documents, df(t) of them holding term t, df(e) entity e and
-df(t,e) holding t in e's context, the disclosure of e by t is
+df(t,e) holding t in e's context in c different contexts, the disclosure of e by t is
 
-    PMI(t;e) / IC(e) = log(N df(t,e) / (df(t) df(e))) / log(N / df(e)),
+    PMI(t;e) / IC(e) = log(N df'(t,e) / (df(t) df(e))) / log(N / df(e)),
+    df'(t,e) = df(t,e) c / (c + 1).
 
-1 where t never comes without e. Pairs supported by fewer than ``SUPPORT``
-different contexts say nothing (copies of one document are one context). Terms
-at ``REMOVE`` or more are removed, at ``GENERALISE`` or more generalised, where
-they stand in that entity's contexts. All counts cover all documents.
+It is 1 where t never comes without e, less what the discount takes: one context is
+weak evidence, and copies of one document are one context. An entity that stands in one
+document has its rare neighbours rated like any other. A term that repeats a part of the
+entity's own value (a name in an address) reveals it whatever the counts. Terms at
+``REMOVE`` or more are removed, at ``GENERALISE`` or more generalised, where they stand
+in that entity's contexts. All counts cover all documents.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import materialise, table, text_or_empty
+from callscope.llm.common import bit_table, materialise, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 8, 2, 0.7, 0.9
+CONTEXT, GENERALISE, REMOVE = 8, 0.7, 0.9
+#: Shorter parts of an entity's value are no names.
+LEAST_PART = 3
 TERMS_HELD = 400_000
 FILTER_BITS = 1 << 22
 
@@ -90,6 +96,11 @@ def term_of(word: str) -> str:
     return word.lower().strip(_STRIP)
 
 
+def _plain(word: str) -> str:
+    """Without accents, as addresses spell names."""
+    return "".join(c for c in unicodedata.normalize("NFKD", word) if not unicodedata.combining(c))
+
+
 def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
 
@@ -107,21 +118,22 @@ def _contexts(text: str, spans: list[tuple[int, int, int]]) -> list[dict]:
     found: dict[int, dict] = {}
     for (a, kind, b), (first, last) in zip(spans, ranges):
         value = text[a:b].lower() if kind == 0 else re.sub("[^0-9.]", "", text[a:b])
+        own = {p for p in re.split(r"[^a-z]+", value) if len(p) >= LEAST_PART}
         held = found.setdefault(_hash(f"{kind}:{value}"), {})
         for i in [*range(max(0, first - CONTEXT), first), *range(last, min(len(words), last + CONTEXT))]:
             term = "" if covered[i] else term_of(text[slice(*words[i])])
             if len(term) > 1:
-                held[words[i]] = _hash(term)
+                held[words[i]] = _hash(term), not own.isdisjoint(re.split(r"[^a-z]+", _plain(term)))
     out = []
     for entity, held in found.items():
-        context = _hash(",".join(str(h) for _, h in sorted(held.items())))
-        out += [{"entity": entity, "term": h, "context": context, "start": a, "end": b} for (a, b), h in sorted(held.items())]
-        out.append({"entity": entity, "term": None, "context": context, "start": None, "end": None})
+        context = _hash(",".join(str(h) for _, (h, _) in sorted(held.items())))
+        out += [{"entity": entity, "term": h, "context": context, "own": own, "start": a, "end": b} for (a, b), (h, own) in sorted(held.items())]
+        out.append({"entity": entity, "term": None, "context": context, "own": False, "start": None, "end": None})
     return out
 
 
-_PLACE = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
-_PLACES = "array<struct<entity: long, term: long, context: long, start: long, end: long>>"
+_PLACE = pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("context", pa.int64()), ("own", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())])
+_PLACES = "array<struct<entity: long, term: long, context: long, own: boolean, start: long, end: long>>"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,28 +176,26 @@ def _term_counts(wanted: bytes):
     return count
 
 
+def disclosure(n: Column, term_df: Column, entity_df: Column, joint: Column, contexts: Column) -> Column:
+    """The share of an entity's information that a term gives away; 0 for entities that stand in every document."""
+    known = F.log2(n / entity_df)
+    told = F.log2(n * joint * contexts / (contexts + 1) / (term_df * entity_df))
+    return F.when(known > 0, told / known).otherwise(0.0)
+
+
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     """(entity, term, kind): the terms that reveal an entity, and what is done with them."""
-    n = found.count()
-    seen = found.filter("size(places) > 0").select(F.explode(F.array_distinct(F.transform("places", lambda p: F.struct(p["entity"], p["term"], p["context"])))).alias("p")).select("p.*").toDF("entity", "term", "context")
-    counted = materialise(seen.groupBy("entity", "term", "context").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("contexts")), "pairs")
+    n = float(found.count())
+    seen = found.filter("size(places) > 0").select(F.explode(F.array_distinct(F.transform("places", lambda p: F.struct(p["entity"], p["term"], p["context"], p["own"])))).alias("p")).select("p.*").toDF("entity", "term", "context", "own")
+    counted = materialise(seen.groupBy("entity", "term", "context").agg(F.count("*").alias("n"), F.max("own").alias("own")).groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("contexts"), F.max("own").alias("own")), "pairs")
     entities = counted.filter("term is null").select("entity", F.col("joint").alias("entity_df"))
-    pairs = counted.filter(F.col("term").isNotNull() & (F.col("contexts") >= SUPPORT))
+    pairs = counted.filter("term is not null")
     # A bit per term hash, 512 KB whatever the corpus: it only spares counts that nobody asks for.
-    # Spark numbers bitmap values from 1: value v is bit v - 1.
-    place = F.pmod("term", F.lit(FILTER_BITS)) + 1
-    parts = pairs.groupBy(F.bitmap_bucket_number(place).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect()
-    wanted = bytearray(FILTER_BITS // 8)
-    whole = parts[0]["bits"] if parts else b""
-    for row in parts:
-        at = (row["bucket"] - 1) * len(whole)
-        wanted[at : at + len(whole)] = row["bits"]
-    counts = docs.select(text_or_empty().alias("text")).mapInArrow(_term_counts(bytes(wanted)), "term long, n long").groupBy("term").agg(F.sum("n").alias("term_df"))
+    wanted = bit_table(pairs, "term", FILTER_BITS)
+    counts = docs.select(text_or_empty().alias("text")).mapInArrow(_term_counts(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("term_df"))
     rows = pairs.join(entities, "entity").join(counts, "term")
-    known = F.log2(F.lit(float(n)) / F.col("entity_df"))
-    told = F.log2(F.lit(float(n)) * F.col("joint") / (F.col("term_df") * F.col("entity_df")))
-    share = F.when(known > 0, told / known).otherwise(0.0)
-    kind = F.when(share >= REMOVE, F.lit(5)).when(share >= GENERALISE, F.lit(4))
+    share = disclosure(F.lit(n), *[F.col(c).cast("double") for c in ("term_df", "entity_df", "joint", "contexts")])
+    kind = F.when(F.col("own") | (share >= REMOVE), F.lit(5)).when(share >= GENERALISE, F.lit(4))
     return rows.select("entity", "term", kind.alias("kind")).filter("kind is not null")
 
 

@@ -301,18 +301,82 @@ def test_base_spans_by_brute_force():
     assert pii.base_spans("1" * 200_000 + "@" * 1000 + "a" * 100_000) == []
 
 
-def test_disclosing_terms(spark, edges, empty):
-    filler = lambda i: " ".join(f"w{(i * 7 + k) % 97}" for k in range(30))
-    rows = [(i, f"{filler(i)} ask Zyxwor Labs at zy@labs.org {filler(i + 1)}" if i % 20 == 0 else filler(i), "n") for i in range(400)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string, hash string")
-    got = {r.doc_id: r.spans for r in pii.find(frame).collect()}
-    assert "removed" in got[20] and got[1] == ""
-    out = {r.doc_id: r.text for r in pii.sanitise(frame).collect()}
-    assert "zy@labs.org" not in out[20] and "Zyxwor" not in out[20] and out[1] == rows[1][1]
+def disclosed_by_loop(texts):
+    """Spans of every text by a plain count over all texts."""
+    from math import log2
+
+    def term(w):
+        return w.lower().strip(pii._STRIP)
+
+    marks, df = [], Counter()
+    for text in texts:
+        df.update({term(w) for w in text.split()})
+        words = [(m.start(), m.end()) for m in re.finditer(r"\S+", text)]
+        spans = pii.base_spans(text)
+        covered = [any(a < y and x < b for a, _, b in spans) for x, y in words]
+        held: dict = {}
+        for a, kind, b in spans:
+            value = text[a:b].lower() if kind == 0 else re.sub("[^0-9.]", "", text[a:b])
+            before = [i for i, (x, y) in enumerate(words) if y <= a][-pii.CONTEXT :]
+            after = [i for i, (x, y) in enumerate(words) if x >= b][: pii.CONTEXT]
+            near = held.setdefault((kind, value), {})
+            near |= {words[i]: term(text[slice(*words[i])]) for i in [*before, *after] if not covered[i] and len(term(text[slice(*words[i])])) > 1}
+        marks.append((spans, held))
+    joint, contexts, entity_df = Counter(), {}, Counter()
+    for _, held in marks:
+        for entity, near in held.items():
+            entity_df[entity] += 1
+            context = tuple(t for _, t in sorted(near.items()))
+            for t in set(near.values()):
+                joint[entity, t] += 1
+                contexts.setdefault((entity, t), set()).add(context)
+    out = []
+    for spans, held in marks:
+        extra: dict = {}
+        for entity, near in held.items():
+            for place, t in near.items():
+                c = len(contexts[entity, t])
+                known = log2(len(texts) / entity_df[entity])
+                share = log2(len(texts) * joint[entity, t] * c / (c + 1) / (df[t] * entity_df[entity])) / known if known > 0 else 0.0
+                own = {p for p in re.split("[^a-z]+", entity[1]) if len(p) >= 3} & set(re.split("[^a-z]+", pii._plain(t)))
+                kind = 5 if own or share >= pii.REMOVE else 4 if share >= pii.GENERALISE else 0
+                if kind:
+                    extra[place] = max(extra.get(place, 0), kind)
+        out.append(pii.joined(sorted([*spans, *((a, k, b) for (a, b), k in extra.items())])))
+    return out
+
+
+def test_disclosing_terms_by_brute_force(spark, edges, empty):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(60)] + [f"rare{i}" for i in range(300)] + ["Sóuza,", "(lab)"]
+    filler = lambda: " ".join(r.choice(words[:60]) if r.random() < 0.8 else r.choice(words) for _ in range(r.randint(0, 30)))
+    values = ["ana.souza@lab.org", "zy@labs.org", "10.0.0.7", "+1 (555) 123-4567", "4111 1111 1111 1111"]
+    texts = [filler() for _ in range(300)]
+    texts += [f"{filler()} ask Zyxwor Labs at {r.choice(values)} or Souza {filler()}" for _ in range(60)]
+    texts += [f"{filler()} {v} {v} {r.choice(values)}" for v in values] + [f"lonely{i} word x{i}@single.example odd{i} {filler()}" for i in range(20)]
+    texts += [texts[310]] * 40 + ["", "only@one.example"]  # copies are one context
+    rows = [(i, t, "n", 1) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, hash string, term int")
+    got = {x.doc_id: x.spans for x in pii.find(frame).collect()}
+    want = disclosed_by_loop(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    kinds = Counter(k for w in want for k in re.findall("[a-z]+", w))
+    assert kinds["removed"] > 20 and kinds["generalised"] > 20
+    out = {x.doc_id: x.text for x in pii.sanitise(frame).collect()}
+    assert not any(v in out[i] for i in range(300, 360) for v in values) and not any("Souza" in out[i] for i in range(300, 360) if "ana.souza" in texts[i])
+    assert [out[i] for i in range(300)] == texts[:300]
     assert pii.find(edges).count() == len(EDGES) and pii.find(empty).count() == 0
     assert pii.sanitise(edges).columns == edges.columns and pii.sanitise(edges).count() == len(EDGES)
 
 
+def test_disclosure_at_the_thresholds(spark):
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([(1024.0, 1.0, 1.0, 1.0, 1.0), (1024.0, 4.0, 1.0, 1.0, 1.0), (4.0, 1.0, 4.0, 1.0, 1.0)], "n double, t double, e double, j double, c double")
+    assert [x.s for x in row.select(pii.disclosure(*map(F.col, "ntejc")).alias("s")).collect()] == [0.9, 0.7, 0.0]
+    assert 0.9 >= pii.REMOVE and 0.7 >= pii.GENERALISE
+
+
 # 7
 
 
