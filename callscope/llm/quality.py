@@ -11,8 +11,9 @@ text a line starts out bad and, in a few rounds, is taken as bad where the field
 of the last round finds it more likely bad, the worst line always.
 
 The fit uses at most ``SAMPLE`` labelled texts of each class, chosen by a hash of
-doc_id, of which only line figures reach the driver (a bound of that many texts).
-Scoring runs over all rows without a shuffle.
+doc_id, whole and of at most ``CHAIN`` lines each, until a class has ``LINES`` lines.
+Only their line figures reach the driver, 52 bytes a line. Scoring runs over all rows
+and all lines without a shuffle.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.llm.common import table, text_or_empty, windows
 
-SAMPLE = 1500
+#: Bounds of the fit: labelled texts a class, lines of a text, lines a class.
+SAMPLE, CHAIN, LINES = 1500, 1000, 50_000
 THRESHOLD = 0.7
-SEGMENT = 64
 ROUNDS, STEPS, RATE, DECAY = 3, 80, 0.1, 1e-4
 SYMBOLS = frozenset("#*$%&|<>{}[]^~\\=+@_/")
 _NOT_LETTERS = str.maketrans("", "", "abcdefghijklmnopqrstuvwxyz")
@@ -166,12 +167,11 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Field:
     ends = np.cumsum(sizes)
     starts = ends - sizes
     x = with_neighbours(own, starts, ends - 1)
-    parts = np.array([min(SEGMENT, n - a) for n in sizes for a in range(0, n, SEGMENT)])
     text_of = np.repeat(np.arange(len(rows)), sizes)
     good_text = labels[text_of] == 1
     weight_of = np.where(good_text, len(own) / (2 * max(good_text.sum(), 1)), len(own) / (2 * max((~good_text).sum(), 1)))
     begins = np.zeros(len(own), bool)
-    begins[np.cumsum(parts) - parts] = True
+    begins[starts] = True
     pair = np.flatnonzero(~begins)
     y = good_text.astype(float)
     theta = np.zeros(width + 4)
@@ -180,7 +180,7 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Field:
         np.add.at(seen, (y[pair - 1].astype(int), y[pair].astype(int)), 1)
 
         def gradient(theta, seen=seen, y=y):
-            p, pairs = marginals(x @ theta[:width], parts, theta[width:].reshape(2, 2))
+            p, pairs = marginals(x @ theta[:width], sizes, theta[width:].reshape(2, 2))
             g = np.concatenate([x.T @ (weight_of * (y - p)), (seen - pairs).reshape(-1)]) / len(y)
             return g - DECAY * theta
 
@@ -202,18 +202,21 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> Field:
 def _figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = [line_figures(t.as_py()) for t in batch["text"]]
-        yield pa.RecordBatch.from_arrays([batch["label"], pa.array([np.array(f, "<f4").tobytes() for f, _ in found], pa.binary()), pa.array([np.array(n, "<i4").tobytes() for _, n in found], pa.binary())], names=["label", "figures", "lengths"])
+        sizes = pa.array([len(n) for _, n in found], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch["label"], batch["place"], sizes, pa.array([np.array(f, "<f4").tobytes() for f, _ in found], pa.binary()), pa.array([np.array(n, "<i4").tobytes() for _, n in found], pa.binary())], names=["label", "place", "n", "figures", "lengths"])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
-    """Fit on labelled texts whose crc32(doc_id as text) mod 4 is not 2."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chain: int = CHAIN, lines: int = LINES) -> Field:
+    """Fit on labelled texts whose crc32(doc_id as text) mod 4 is not 2, of each class the first in order of a hash within the bounds."""
     usable = labels.select("doc_id", F.col("quality").cast("int").alias("label")).filter(F.col("label").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2))
     pick = lambda k: usable.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = F.broadcast(pick(0).unionByName(pick(1)))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(chosen, "doc_id").select("label", "text")
-    found = rows.mapInArrow(_figures, "label int, figures binary, lengths binary").collect()
-    found = sorted((r.label, bytes(r.figures), bytes(r.lengths)) for r in found)
-    return fit([(k, np.frombuffer(f, "<f4").reshape(-1, FIGURES).astype(float), np.frombuffer(n, "<i4")) for k, f, n in found])
+    rows = docs.select("doc_id", text_or_empty().alias("text")).join(chosen, "doc_id").select("label", F.xxhash64("doc_id").alias("place"), "text")
+    found = rows.mapInArrow(_figures, "label int, place long, n long, figures binary, lengths binary").filter(F.col("n") <= chain)
+    upto = F.sum("n").over(Window.partitionBy("label").orderBy("place", "lengths", "figures").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held = found.withColumn("upto", upto).filter(F.col("upto") <= lines).select("label", "figures", "lengths").collect()
+    held = sorted((r.label, bytes(r.figures), bytes(r.lengths)) for r in held)
+    return fit([(k, np.frombuffer(f, "<f4").reshape(-1, FIGURES).astype(float), np.frombuffer(n, "<i4")) for k, f, n in held])
 
 
 def _scorer(field: Field):
