@@ -78,14 +78,12 @@ def unpack(shard: bytes) -> tuple[list, np.ndarray, np.ndarray]:
 
 
 def _store(path: str, shard: bytes) -> None:
-    """Write under a name of this attempt and move into place; attempts write equal bytes."""
+    """Write a file that no other attempt writes; the manifest names the one that counts."""
     from pyarrow import fs
 
     system, place = fs.FileSystem.from_uri(path)
-    trial = f"{place}.{uuid.uuid4().hex}"
-    with system.open_output_stream(trial) as out:
+    with system.open_output_stream(place) as out:
         out.write(shard)
-    system.move(trial, place)
 
 
 def _writer(folder: str, tokenizer_path: str, shard_ids: int):
@@ -98,7 +96,7 @@ def _writer(folder: str, tokenizer_path: str, shard_ids: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal made, docs, lengths, held, size
-            name = f"part-{part:06d}-{made:06d}.bin"
+            name = f"part-{part:06d}-{made:06d}-{uuid.uuid4().hex}.bin"
             _store(f"{folder}/{name}", pack(docs, np.array(lengths, "<i8"), np.frombuffer(b"".join(held), "<u4")))
             row = pa.RecordBatch.from_pydict({"name": [name], "part": [part], "place": [made], "n_ids": [size]}, schema=_MANIFEST)
             made, docs, lengths, held, size = made + 1, [], [], [], 0
@@ -126,7 +124,8 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, shard_ids: i
     """Write all documents' ids to ``folder`` in ascending doc_id order, null ids last.
 
     Returns the manifest (name, part, place, n_ids, base), base being the number of
-    ids before the shard. Texts are dealt out by ranges of (doc_id, text hash), so
+    ids before the shard; a file that it does not name is left of a lost attempt and
+    is not read. Texts are dealt out by ranges of (doc_id, text hash), so
     rows of one id are in a stated order and may be in several shards. Null texts
     are empty: they have the end id alone. An empty table writes no shard.
     """
