@@ -172,32 +172,49 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """Documents dealt out by ranges of doc_id, each range with the head of what follows it.
+    """Documents dealt out by ranges of doc_id, each part with the head of what follows it.
 
     (part, own, doc_id, text): sorted inside its part by descending doc_id, rows
-    with ``own`` false (the following range's first document) before all others.
-    Only each text itself moves, once. The ranges come from approximate quantiles
-    and number at most ``MAX_RANGES``, which bounds all that is sent to the driver
-    or broadcast. Null doc_ids come after all others.
+    with ``own`` false (the least text of the following id) before all others. Only
+    each text itself moves, once. The ranges come from approximate quantiles and
+    number at most twice ``MAX_RANGES``, which bounds all that is sent to the driver
+    or broadcast. A doc_id that fills ranges of its own, and null ids, which come
+    after all others, are dealt out over several parts by their texts' hashes.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     ranges = min(4 * parts, MAX_RANGES)
-    bounds = np.unique(np.array(rows.select("doc_id").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)), float))
+    total, known = rows.agg(F.count("*"), F.count("doc_id")).first()
+    found, often = np.unique(np.array(rows.select("doc_id").approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)), float), return_counts=True)
+    alone = {x: int(n) for x, n in zip(found, often) if n > 1 and x + 1 > x}
+    bounds = np.array(sorted({*found, *(x + 1 for x in alone)}))
+    # The range that begins with an id of its own holds that id only; the last range is that of null.
+    shares = [1, *(alone.get(x, 1) for x in bounds), -(-(total - known) * ranges // max(total, 1)) or 1]
+    offsets = np.cumsum([0, *shares[:-1]])
+    shares = np.array(shares)
 
     @F.pandas_udf("int")
-    def part_of(ids):
+    def range_of(ids):
         import pandas as pd
 
-        found = np.searchsorted(bounds, ids.to_numpy(float, na_value=np.nan), "right")
-        return pd.Series(np.where(ids.isna(), len(bounds) + 1, found).astype("int32"))
+        at = np.searchsorted(bounds, ids.to_numpy(float, na_value=np.nan), "right")
+        return pd.Series(np.where(ids.isna(), len(bounds) + 1, at).astype("int32"))
 
-    heads = sorted(rows.select("doc_id").withColumn("part", part_of("doc_id")).groupBy("part").agg(F.min("doc_id").alias("head")).collect())
-    turns = [(heads[(i + 1) % len(heads)]["head"], heads[i]["part"]) for i in range(len(heads))]
-    lead = F.broadcast(spark.createDataFrame(turns, "head long, part int"))
-    first = rows.join(lead, rows["doc_id"].eqNullSafe(lead["head"])).select("part", F.lit(False).alias("own"), "doc_id", "text")
-    own = rows.select(part_of("doc_id").alias("part"), F.lit(True).alias("own"), "doc_id", "text")
+    @F.pandas_udf("int")
+    def part_of(ids, salts):
+        import pandas as pd
+
+        at = np.where(ids.isna(), len(bounds) + 1, np.searchsorted(bounds, ids.to_numpy(float, na_value=np.nan), "right"))
+        return pd.Series((offsets[at] + salts.to_numpy() % shares[at]).astype("int32"))
+
+    heads = sorted((r["range"], r["head"]) for r in rows.select("doc_id", range_of("doc_id").alias("range")).groupBy("range").agg(F.min("doc_id").alias("head")).collect())
+    turns = [(heads[(i + 1) % len(heads)][1], int(offsets[r]), int(shares[r])) for i, (r, _) in enumerate(heads)]
+    lead = F.broadcast(spark.createDataFrame(turns, "head long, at int, n int"))
+    first = rows.join(lead, rows["doc_id"].eqNullSafe(lead["head"])).groupBy("at", "n", "doc_id").agg(F.min("text").alias("text"))
+    first = first.select(F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("part"), F.lit(False).alias("own"), "doc_id", "text")
+    salt = F.pmod(F.xxhash64("text"), F.lit(1 << 30)).cast("int")
+    own = rows.select(part_of("doc_id", salt).alias("part"), F.lit(True).alias("own"), "doc_id", "text")
     return own.unionByName(first).repartition(parts, "part").sortWithinPartitions("part", "own", F.col("doc_id").desc_nulls_first(), F.col("text").desc())
 
 

@@ -159,8 +159,58 @@ def test_licences_are_inherited_from_the_nearest_directory_by_brute_force(spark,
 # 2
 
 
+def parsed_by_loop(text):
+    """The fingerprint's names of one text, a symbol at a time."""
+    word = (1 << 64) - 1
+
+    def mix(x):
+        x = x * 0xBF58476D1CE4E5B9 & word
+        x ^= x >> 32
+        x = x * 0x94D049BB133111EB & word
+        return x ^ x >> 29
+
+    def tossed(labels):
+        out = [labels[0] & 1]
+        for left, own in zip(labels, labels[1:]):
+            bit = ((left ^ own) & -(left ^ own)).bit_length() - 1
+            out.append(2 * bit + (own >> bit & 1) if left != own else 0)
+        return out
+
+    symbols, kept = list(text.encode()), []
+    for level in (1, 2, 3):
+        runs = []
+        for x in symbols:
+            if runs and runs[-1][0] == x:
+                runs[-1][1] += 1
+            else:
+                runs.append([x, 1])
+        names = [mix(x + (n - 1) * 0xD6E8FEB86659FD93 & word) for x, n in runs]
+        labels = [x for x, _ in runs]
+        for _ in range(3 if level == 1 else 4):
+            labels = tossed(labels)
+        begins = [i for i in range(len(labels)) if i == 0 or i < len(labels) - 1 and labels[i - 1] < labels[i] > labels[i + 1]]
+        symbols = []
+        for a, b in zip(begins, [*begins[1:], len(labels)]):
+            total = sum(n * pow(0x9E3779B97F4A7C15, min(i, 255), 1 << 64) for i, n in enumerate(names[a:b]))
+            symbols.append(mix(total + b - a & word))
+        if level > 1:
+            kept += [x >> 32 for x in symbols]
+    return "".join(f"{x:08x}" for x in sorted(set(kept))[: lcp.SKETCH])
+
+
+def test_fingerprints_by_brute_force():
+    r = random.Random(2)
+    texts = ["a", "ab", "aaaa", "é" * 300, "<b>ö</b>" * 40, *("".join(r.choices("abc é\n", k=r.randint(1, 400))) for _ in range(60))]
+    assert lcp.fingerprints(texts) == [parsed_by_loop(t) for t in texts] == [lcp.fingerprints([t])[0] for t in texts]
+    for x, y in zip(texts, texts[1:]):
+        a, b = ({f[i : i + 8] for i in range(0, len(f), 8)} for f in map(parsed_by_loop, (x, y)))
+        joint = sorted(a | b)[: lcp.SKETCH]
+        assert lcp.likeness(*lcp.fingerprints([x, y])) == sum(n in a and n in b for n in joint) / len(joint)
+
+
 def test_fingerprints_of_edits(spark, docs, edges, empty):
-    for frame in (docs, edges):
+    repeated = [(r.doc_id % 7, r.text) if r.doc_id % 3 else (None if r.doc_id % 2 else 3, r.text) for r in docs.select("doc_id", "text").collect()]
+    for frame in (docs, edges, spark.createDataFrame(repeated, "doc_id long, text string"), spark.createDataFrame([(5, "one"), (5, "text"), (5, None)], "doc_id long, text string"), spark.createDataFrame([(None, "one"), (None, "other")], "doc_id long, text string")):
         rows = sorted(((r.doc_id, r.text or "") for r in frame.select("doc_id", "text").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         groups = [k for i, k in enumerate(rows) if i == 0 or rows[i - 1][0] != k[0]]
         following = {k[0]: groups[(i + 1) % len(groups)][1] for i, k in enumerate(groups)}
@@ -168,13 +218,19 @@ def test_fingerprints_of_edits(spark, docs, edges, empty):
         for doc_id, text in rows:
             half = len(text) // 2
             edited = text[: len(text) - half] + following[doc_id][:half]
-            want[doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), lcp.fingerprints([text])[0], lcp.fingerprints([edited])[0]] += 1
+            of = lcp.fingerprints([text, edited, following[doc_id]])
+            want[doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), of[0], of[1], lcp.likeness(of[0], of[1]), lcp.likeness(of[0], of[2])] += 1
         got = lcp.compare_edits(frame).collect()
-        assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got) == want
-        assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
+        assert Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in got) == want
     assert lcp.compare_edits(empty).count() == 0
 
 
+def test_hot_ids_are_dealt_out(spark):
+    rows = [(7 if i % 3 == 0 else None if i % 3 == 1 else i, f"text {i}") for i in range(3000)]
+    found = lcp.with_next(spark.createDataFrame(rows, "doc_id long, text string")).filter("own").groupBy("part").count().collect()
+    assert max(r["count"] for r in found) < 600
+
+
 def test_equal_substrings_share_signatures():
     r = random.Random(5)
     word = lambda: "".join(r.choices("abcdefgh", k=r.randint(2, 9)))
@@ -213,6 +269,51 @@ def test_quality_held_out(spark):
     assert (good >= 0.7).mean() > 0.97 and (bad >= 0.7).mean() < 0.1
 
 
+def scored_by_enumeration(field, text):
+    """Length-weighted marginals of a short text by all its labellings."""
+    lines = text.split("\n")
+    own, lengths = quality.line_figures(text)
+    own = np.array(own)
+    zero = np.zeros(quality.FIGURES)
+    potential = [float(np.concatenate([own[i], own[i - 1] if i else zero, own[i + 1] if i + 1 < len(own) else zero, [1.0]]) @ field.weights) for i in range(len(own))]
+    mass, good = 0.0, np.zeros(len(lines))
+    for k in range(2 ** len(lines)):
+        y = [k >> i & 1 for i in range(len(lines))]
+        w = np.exp(sum(p * a for p, a in zip(potential, y)) + sum(field.links[a, b] for a, b in zip(y, y[1:])))
+        mass += w
+        good += w * np.array(y)
+    q = float((good / mass) @ np.array(lengths) / sum(lengths))
+    return 1 / (1 + np.exp(-(field.scale[0] * q + field.scale[1])))
+
+
+def test_scores_by_brute_force(spark, docs):
+    r = np.random.default_rng(3)
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    field = quality.train(docs, labels)
+    random_field = quality.Field(r.normal(size=3 * quality.FIGURES + 1), r.normal(size=(2, 2)), (2.0, -1.0))
+    texts = [t for t in (x.text or "" for x in docs.select("text").collect()) if t.count("\n") < 10][:80] + ["", "\n", "one line", "same\nsame\nsame"]
+    for f in (field, random_field):
+        assert np.allclose(f.score(texts), [scored_by_enumeration(f, t) for t in texts])
+    got = {x.text: x["__score"] for x in quality.with_scores(spark.createDataFrame([(t,) for t in texts], "text string"), field).collect()}
+    assert all(np.isclose(got[t], scored_by_enumeration(field, t)) for t in texts)
+
+
+def test_fit_keeps_its_bounds(spark):
+    rows = [(i, "good words of a line, and more. \n" * (1 + i % 5) if i % 2 else "### $$$ \n" * (1 + i % 5)) for i in range(400)]
+    labels = spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    seen = []
+    quality_fit = quality.fit
+    quality.fit = lambda rows: seen.append(rows) or quality_fit(rows)
+    try:
+        quality.train(frame, labels, sample=100, chain=4, lines=90)
+    finally:
+        quality.fit = quality_fit
+    for k in (0, 1):
+        sizes = [len(n) for label, _, n in seen[0] if label == k]
+        assert 0 < sum(sizes) <= 90 and max(sizes) <= 4
+
+
 def test_quality_edges(spark, edges, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.score for r in quality.classify(edges, labels).collect()} == {0.5}
