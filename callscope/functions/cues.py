@@ -106,3 +106,100 @@ LISTING_VETOES = (
     "processo seletivo simplificado", "servidores", "folha de pagamento", "privacidade", "cookies",
     "acessibilidade", "mapa do site", "ouvidoria", "webmail", "intranet", "login", "wp-admin", "wp-login", "feed",
 )
+LAST_LABELS = ("ultima", "ultimo", "last", "fim", "final", "end")
+PAGER_CLASSES = (
+    "pagination", "pager", "page-numbers", "paginacao", "paginator", "listingBar", "listing-bar",
+    "nav-links", "wp-pagenavi", "pages", "paging", "page-nav",
+)
+
+TITLE_PREFIXES = (
+    r"^em\s+(?:C[áa]tedra|Estudantes|Pesquisadores\s+e\s+Professores|Profissionais|Professores|Alunos|Institui[çc][õo]es|Universidades|Escolas)\s+",
+    r"^(?:Categoria|Tipo|Se[çc][ãa]o|Programa)\s*:\s*",
+    r"^\s*[-–—•]\s+",
+)
+BODY_CUES = (
+    r"\s+A\s+Comiss[ãa]o\s+[\w,\s]{0,40}?(?:oferece|receber|com\s+apoio)",
+    r"\s+S[ãa]o\s+oferecidas?\s+",
+    r"\s+(?:Destinad[ao]s?|Voltad[ao]s?|Dirigid[ao]s?)\s+a\s+",
+    r"\s+(?:Bolsas?|Aux[íi]lios?)\s+para\s+(?:desenvolver|realizar|atuar|estudar)",
+    r"\s+Por\s+meio\s+d[aeo]\s+",
+    r"\s+Para\s+(?:atuar|desenvolver|realizar)\s+n[ao]\s+",
+    r"\s+A\s+C[áa]tedra\s+(?:destina|se\s+destina)",
+    r"\s+O\s+\w+\s+oferece\s+",
+    r"\s+Este\s+(?:edital|programa|chamada)\s+",
+    r"\s+Com\s+o\s+objetivo\s+de\s+",
+    r"\s+Inscri[çc][õo]es\s+(?:abertas|at[ée]|encerram)",
+    r"\s+(?:Professores?|Pesquisadores?|Estudantes?|Candidatos?|Alunos?|Jovens)\s+[\w,\s]{0,40}?(?:podem|poder[ãa]o|dever[ãa]o)\s+",
+    r"\s+Para\s+(?:professor|pesquisador|estudante|aluno|profissional)e?s?\s+",
+    r"\s+(?:Bolsa|Programa|Chamada)\s+(?:para|de)\s+\w+\s+\w+\s+(?:em|na|no|nos|nas)\s+",
+)
+NAVIGATION = (
+    r"^(?:apresenta[çc][ãa]o|hist[óo]rico|miss[ãa]o(?:\s+e\s+valores)?|quem\s+somos)$",
+    r"^(?:in[íi]cio|home|p[áa]gina\s+inicial|portal)$",
+    r"^(?:contato|fale\s+conosco|ouvidoria|imprensa|not[íi]cias)$",
+    r"^(?:compartilh(?:e|ar|amento)|share)(?:\s+(?:no|na|on|via)\s+.*)?$",
+    r"^(?:facebook|linkedin|twitter|instagram|whatsapp|youtube)$",
+    r"^(?:transpar[êe]ncia|acesso\s+[àa]\s+informa[çc][ãa]o|carta\s+de\s+servi[çc]os)$",
+    r"^(?:perguntas\s+frequentes|f\.?a\.?q\.?|d[úu]vidas)$",
+    r"^(?:c[âa]mara|comiss[ãa]o|conselho|diretoria|pr[óo]-reitoria|secretaria)\b",
+    r"^atas?\s+(?:da|do|de)\b",
+    r"^(?:regimento|estatuto|portaria|resolu[çc][ãa]o|instru[çc][ãa]o\s+normativa)\b",
+    r"^(?:organograma|equipe|servidores|administrador)$",
+    r"^carreira\s+cient[íi]fica$",
+    r"^difus[ãa]o\s+do\s+conhecimento$",
+    r"^(?:conselho|c[âa]mara)\s+cient[íi]fico",
+    r"^(?:in[íi]cio|sobre)\s+a\s+universidade",
+    r"^(?:cursos?|unidades?|campi)$",
+    r"^(?:bolsas?|aux[íi]lios?|modalidades?)(?:\s+(?:no\s+)?(?:pa[íi]s|exterior|nacionais?|internacionais?|vigentes?|dispon[íi]veis?))?$",
+    r"^(?:outras?\s+)?(?:bolsas?|oportunidades?|op[çc][õo]es)(?:\s+(?:nacionais?|internacionais?|de\s+mobilidade))?$",
+    r"^(?:programas?|a[çc][õo]es|editais?|chamadas?)(?:\s+(?:e\s+\w+|vigentes?|abertos?|anteriores?|encerrados?))?$",
+    r"^(?:mobilidade|interc[âa]mbio|est[áa]gio)(?:\s+(?:virtual|para\s+o\s+exterior|out|in|internacional))?$",
+    r"^(?:gradua[çc][ãa]o|p[óo]s-?gradua[çc][ãa]o|mestrado|doutorado|p[óo]s-?doutorado|extens[ãa]o|pesquisa|inova[çc][ãa]o)$",
+    r"^(?:professor\s+visitante|t[ée]cnicos?-administrativos?|discentes?|docentes?)$",
+    r"^registro\s+d[ao]\b",
+    r"^como\s+funciona\b",
+    r"^guide\s+for\b",
+    r"^(?:manual|tutorial|formul[áa]rios?|modelos?|planilhas?|tabelas?)\b",
+    r"^(?:taxa|taxas|tjlp|tr\b|quadro\s+de\s+tarifa)",
+    r"^(?:cr[ée]dito|financiamento|subven[çc][ãa]o|conv[êe]nios?)\b",
+    r"^termo\s+de\s+(?:fomento|colabora[çc][ãa]o|coopera[çc][ãa]o)",
+    r"^(?:obras\s+do\s+estado|licita[çc][õo]es)",
+    r"^orienta[çc][õo]es\b",
+    r"^acesso\s+\w+\s+via\s+vpn",
+    r"^e-?mail\s+do\s+pesquisador$",
+    r"^cart[ãa]o\s+(?:bolsista|pesquisa)",
+    r"^di[áa]rias\s+para",
+    r"^indicadores\s+de\s+pesquisa$",
+    r"^grupos\s+de\s+pesquisa\s*-\s*censos$",
+    r"^missao\s+",
+    r"^\s*(?:internacional|nacional)\s+\w+\s*$",
+)
+OPPORTUNITY_MARKS = r"\b(chamada|edital|programa\s+\w|bolsas?\s+(?:de|para)|call\s+for|convocat|appel|fellowship|grant|scholarship|pr[êe]mio|c[áa]tedra|auxílio\s+(?:a|para)|sandu[íi]che|mobility|exchange|interc[âa]mbio\s+\w)\b"
+
+COUNTRIES = (
+    "alemanha", "alemao", "alema", "germany", "german",
+    "franca", "frances", "francesa", "france", "french",
+    "portugal", "portugues", "portuguesa",
+    "espanha", "espanhol", "espanhola", "spain", "spanish",
+    "italia", "italiano", "italiana", "italy", "italian",
+    "reino unido", "inglaterra", "united kingdom", "britanic", "british",
+    "estados unidos", "united states", "americano",
+    "canada", "canadense", "canadian",
+    "japao", "japones", "japonesa", "japan", "japanese",
+    "china", "chines", "chinesa", "chinese",
+    "coreia", "korea", "korean",
+    "argentina", "argentino", "chile", "chileno", "uruguai", "paraguai",
+    "colombia", "peru", "mexico", "mexicano", "bolivia", "equador",
+    "holanda", "paises baixos", "netherlands", "dutch",
+    "belgica", "belgian", "suica", "switzerland", "swiss",
+    "suecia", "sweden", "noruega", "norway", "dinamarca", "denmark",
+    "finlandia", "finland", "austria", "irlanda", "ireland",
+    "australia", "nova zelandia", "new zealand",
+    "mocambique", "angola", "cabo verde", "africa do sul", "south africa",
+    "india", "israel", "turquia", "polonia", "poland",
+    "republica tcheca", "hungria", "romenia", "grecia", "greece",
+    "uniao europeia", "european union", "mercosul", "brics",
+    "ibero americ", "iberoameric", "latin america", "america latina",
+    "europa", "europe", "europeu", "europeia",
+)
+FOREIGN_CALLS = ("call for", "applications are", "apply now", "appel a candidatures", "appel a projets", "convocatoria", "how to apply", "eligibility")

@@ -14,6 +14,7 @@ from callscope.functions import cues
 from callscope.functions.text import contains_any, mend_year, normalise
 
 _NAMES = "|".join(sorted(cues.MONTHS, key=len, reverse=True))
+# The written forms of dates and what stands before a closing date.
 _KINDS = (
     ("dmy", r"(?<!\d)\d{1,2}\s*[./-]\s*\d{1,2}\s*[./-]\s*20[0-4]\d(?!\d)"),
     ("ymd", r"(?<!\d)20[0-4]\d\s*[-/]\s*\d{1,2}\s*[-/]\s*\d{1,2}(?!\d)"),
@@ -68,19 +69,22 @@ def all_dates(text: Column) -> Column:
     return let(normalise(mend_year(text)), _dates_in)
 
 
+_CLOSING = r"(?:\bate\b|deadline|encerramento|closing date|close(?:s|d)?(?: on)?|apply by|submission deadline).{0,35}$"
+
+
 def _score(norm: Column, s: Column) -> Column:
+    """Points of one date by what stands around it; windows and points are fixed values."""
     size = F.length(norm)
     cut = lambda a, b: F.substr(norm, F.greatest(a, F.lit(0)) + 1, F.least(b, size) - F.greatest(a, F.lit(0)))
     around, near, before = cut(s["start"] - 150, s["end"] + 150), cut(s["start"] - 55, s["end"] + 55), cut(s["start"] - 90, s["start"])
     on = lambda c, n: F.when(c, n).otherwise(0)
-    closing = r"(?:\bate\b|deadline|encerramento|closing date|close(?:s|d)?(?: on)?|apply by|submission deadline).{0,35}$"
     return (
         on(contains_any(around, cues.DEADLINE), 8)
         + on(around.rlike(r"\b(?:ate|until|by)\b"), 3)
         + on(contains_any(around, cues.NOT_A_DEADLINE), -4)
         + on(contains_any(near, cues.DEADLINE), 5)
         + on(contains_any(before, cues.OPENING_BEFORE), -20)
-        + on(before.rlike(closing), 8)
+        + on(before.rlike(_CLOSING), 8)
     )
 
 

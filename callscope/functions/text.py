@@ -129,8 +129,9 @@ def file_type(url: Column) -> Column:
 
 
 def is_next_label(label: Column) -> Column:
+    """Whether a link's label leads to the following page; labels of the last page do not."""
     t = normalise_words(label)
-    return F.trim(label).isin(*cues.NEXT_SYMBOLS) | ((F.length(t) <= 30) & contains_any(t, cues.NEXT_LABELS))
+    return ~contains_any(t, cues.LAST_LABELS) & (F.trim(label).isin(*cues.NEXT_SYMBOLS) | contains_any(t, cues.NEXT_LABELS))
 
 
 def page_url(url: Column, number: Column, kind: str = "query", parameter: str = "page") -> Column:
@@ -143,14 +144,18 @@ def page_url(url: Column, number: Column, kind: str = "query", parameter: str =
     return F.concat(base, F.lit("?"), F.array_join(F.concat(rest, F.array(F.concat(F.lit(f"{parameter}="), number.cast("string")))), "&"))
 
 
+# Markup that leaks into titles, where long titles may be cut, the length limit.
 _TECHNICAL = (r"<path[^>]*>", r'd="M[\d\s\.,\-A-Za-z]+"', r'viewBox="[^"]*"', r'xmlns="[^"]*"', r"<svg[^>]*>", r"</?\w+\s*/?>", r"\{[^}]{20,}\}")
 
 
-def clean_title(title: Column, prefixes=(), body_cues=(), limit: int = 110) -> Column:
+SEPARATORS = (". ", " — ", " – ", " | ", "; ")
+
+
+def clean_title(title: Column, prefixes=cues.TITLE_PREFIXES, body_cues=cues.BODY_CUES, limit: int = 110) -> Column:
     """Markup off, category prefixes off, cut where the body begins or at a sentence end if long.
 
-    ``prefixes`` and ``body_cues`` are patterns; the first cue that is found at
-    character 12 or later cuts, once.
+    ``prefixes`` and ``body_cues`` are patterns; the first cue whose first match is
+    at character 12 or later cuts, once.
     """
     t = F.coalesce(title, F.lit(""))
     for p in _TECHNICAL:
@@ -166,7 +171,7 @@ def clean_title(title: Column, prefixes=(), body_cues=(), limit: int = 110) -> C
     t = t if cut is None else cut.otherwise(t)
     short = F.substring(t, 1, limit)
     ended = None
-    for sep in (". ", " — ", " – ", " | ", "; "):
+    for sep in SEPARATORS:
         kept = F.length(short) - F.length(F.substring_index(short, sep, -1)) - len(sep)
         ok = F.contains(short, F.lit(sep)) & (kept > 40)
         part = F.substr(short, F.lit(1), kept)

@@ -83,21 +83,34 @@ def representatives(clustered: DataFrame, url: str = "url", source: str = "sourc
     return best.select("r.*", F.filter("all", lambda s: ~((s["source"] == F.col(f"r.{source}")) & (s["url"] == F.col(f"r.{url}")))).alias("also_at"))
 
 
-def previous_editions(new: DataFrame, known: DataFrame, title: str = "title", url: str = "url", order: str = "position", least: float = 0.75) -> DataFrame:
-    """Left rows with previous_url and previous_year: the most similar older edition, first inserted on ties."""
-    side = lambda df: df.withColumn("year", year_of(F.col(title))).withColumn("tokens", signature_tokens(without_year(F.col(title)))).filter(F.col("year").isNotNull() & (F.size("tokens") > 0))
-    n = side(new).groupBy("year", "tokens").agg(F.min(url).alias("u")).withColumn("nid", F.xxhash64("year", "tokens"))
-    # Equal (year, tokens) sets of either side meet once; members are found again by their key.
-    k = side(known).groupBy("year", "tokens").agg(F.min(F.struct(order, url)).alias("first")).withColumn("kid", F.xxhash64("year", "tokens"))
+def previous_editions(new: DataFrame, known: DataFrame, title: str = "title", url: str = "url", order: str = "position", least: float = 0.75, earlier: bool = False) -> DataFrame:
+    """Left rows with previous_url and previous_year: the most similar older edition, first inserted on ties.
+
+    With ``earlier`` only known rows that come before the left row by ``order`` count.
+    """
+    family = signature_tokens(without_year(F.col(title)))
+    side = lambda df: df.withColumns({"year": year_of(F.col(title)), "tokens": family}).filter(F.col("year").isNotNull() & (F.size("tokens") > 0))
+    # Equal (year, tokens) sets of either side meet once; members are found again by both.
+    rows = side(new)
+    n = rows.select("year", "tokens").distinct().withColumn("nid", F.xxhash64("year", "tokens"))
+    k = side(known).groupBy("year", "tokens").agg(F.min(F.struct(F.col(order).alias("o"), F.col(url).alias("u"))).alias("first")).withColumn("kid", F.xxhash64("year", "tokens"))
     # Similar sets meet in a rare token, so a word that most titles have pairs nothing.
     rarity = _rarity(n.select("tokens").unionByName(k.select("tokens")))
     x, y = _prefixes(n, "nid", rarity, least).alias("x"), _prefixes(k, "kid", rarity, least).alias("y")
     both = F.size(F.array_intersect("x.tokens", "y.tokens"))
     likeness = both / (F.size("x.tokens") + F.size("y.tokens") - both)
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.year") < F.col("x.year")) & (likeness >= least))
-    best = pairs.groupBy("x.nid").agg(F.max_by(F.struct(F.col("y.first")[url].alias("u"), F.col("y.year").alias("y")), F.struct(likeness, -F.col("y.first")[order])).alias("b"))
-    keyed = new.withColumn("nid", F.xxhash64(year_of(F.col(title)), signature_tokens(without_year(F.col(title)))))
-    return keyed.join(best, "nid", "left").select(*[F.col(f"`{c}`") for c in new.columns], F.col("b.u").alias("previous_url"), F.col("b.y").alias("previous_year"))
+    pairs = pairs.select(F.col("x.year").alias("year"), F.col("x.tokens").alias("tokens"), F.col("y.year").alias("y"), F.col("y.first.o").alias("o"), F.col("y.first.u").alias("u"), likeness.alias("likeness"))
+    best = F.max_by(F.struct("u", "y"), F.struct("likeness", "__rank")).alias("b")
+    last = Window.partitionBy("year", "tokens").orderBy(F.col("o").desc())
+    if not earlier:
+        found = pairs.withColumn("__rank", F.row_number().over(last)).groupBy("year", "tokens").agg(best)
+        out = new.withColumns({"__y": year_of(F.col(title)), "__t": family}).alias("l").join(found.alias("r"), (F.col("__y") == F.col("r.year")) & (F.col("__t") == F.col("r.tokens")), "left")
+        return out.select(*[F.col(f"l.`{c}`") for c in new.columns], F.col("r.b.u").alias("previous_url"), F.col("r.b.y").alias("previous_year"))
+    ranked = pairs.withColumn("__rank", F.row_number().over(last)).distinct()
+    met = rows.join(ranked, ["year", "tokens"]).filter(F.col("o") < F.col(order))
+    found = met.groupBy(url).agg(best)
+    return new.join(found, url, "left").select(*[F.col(f"`{c}`") for c in new.columns], F.col("b.u").alias("previous_url"), F.col("b.y").alias("previous_year"))
 
 
 def first_by(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions import cues
-from callscope.functions.text import contains_any, file_type, generic_label, host_of, normalise_words, path_of, squeeze
+from callscope.functions.dates import settled
+from callscope.functions.text import contains_any, file_type, generic_label, glued_cases, host_of, is_next_label, normalise_words, path_of, squeeze, strip_accents
 from callscope.sources.blocks import listing_links
 
 # Hosts and patterns of share links.
@@ -28,10 +29,29 @@ def page_links(pages: DataFrame) -> DataFrame:
 
 
 def resolve(base: Column, href: Column) -> Column:
-    """The absolute URL of an href."""
+    """The absolute URL of an href; ``.`` and ``..`` are folded, a lone query or fragment replaces the base's own."""
     site = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    folder = F.regexp_replace(F.concat(site, path_of(base)), r"[^/]*$", "")
-    return F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href).when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]*:)", 1), href)).when(href.startswith("/"), F.concat(site, href)).when(href == "", base).when(href.startswith("#") | href.startswith("?"), F.concat(F.regexp_replace(base, "#.*$", ""), href)).otherwise(F.concat(folder, href))
+    path, rest = F.regexp_extract(href, "^([^?#]*)", 1), F.regexp_extract(href, "^[^?#]*(.*)$", 1)
+    folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    return (
+        F.when(href.rlike("^[a-zA-Z][a-zA-Z0-9+.-]*:"), href)
+        .when(href.startswith("//"), F.concat(F.regexp_extract(base, "^([^:]*:)", 1), href))
+        .when(href == "", F.regexp_replace(base, "#.*$", ""))
+        .when(href.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), href))
+        .when(href.startswith("?"), F.concat(F.regexp_replace(base, "[?#].*$", ""), href))
+        .otherwise(F.concat(site, _folded(whole), rest))
+    )
+
+
+def _folded(path: Column) -> Column:
+    """An absolute path without ``.`` and ``..`` segments."""
+    steps = F.split(F.substring(path, 2, 1 << 30), "/")
+    none = F.array().cast("array<string>")
+    step = lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.array_append(done, s))
+    open_end = F.when(F.element_at(steps, -1).isin(".", ".."), F.lit("/")).otherwise("")
+    folded = F.aggregate(steps, none, step, lambda done: F.concat(F.lit("/"), F.array_join(done, "/"), F.when(F.size(done) > 0, open_end).otherwise("")))
+    return F.when(path.rlike(r"/\.\.?(/|$)"), folded).otherwise(path)
 
 
 def is_share_link(href: Column, target: Column, label: Column) -> Column:
@@ -134,41 +154,56 @@ def walk_pages(pages: DataFrame, most: int) -> DataFrame:
     return rows.filter(~F.col("ended") & (F.col("place") == F.col("page_no"))).withColumn("turn", F.row_number().over(w)).filter(F.col("turn") <= most).select("source", "page_no", "n_new")
 
 
-#: Section names of site menus; a rule table that callers extend.
-SECTIONS = ("home", "inicio", "portal", "contato", "fale conosco", "ouvidoria", "imprensa", "noticias", "quem somos", "historico", "equipe", "perguntas frequentes", "transparencia", "cursos", "unidades")
-OPPORTUNITY_MARKS = r"(?i)\b(chamada|edital|bolsas?\s+(?:de|para)|call\s+for|convocat|appel|fellowship|grant|scholarship|premio|mobility|exchange)\b"
-
-
-def is_navigation(title: Column, patterns=(), sections=SECTIONS) -> Column:
-    """Whether a title is a menu entry: empty, a section name, one of ``patterns`` (anchored at its start), or run-together menu text.
+def is_navigation(title: Column, patterns=cues.NAVIGATION, sections=()) -> Column:
+    """Whether a title is a menu entry: empty, one of ``sections``, matched by one of ``patterns``, or run-together menu text.
 
     Long titles with glued cases are menus unless they are marked or numbered as a call.
     """
-    from callscope.functions.text import glued_cases, strip_accents
-
     t = F.lower(squeeze(strip_accents(F.coalesce(title, F.lit("")))))
-    marked = F.coalesce(strip_accents(title).rlike(OPPORTUNITY_MARKS), F.lit(False))
-    numbered = t.rlike(r"\bn[o°]?\s*\d|\b\d{1,3}/\d{4}\b")
+    marked = F.coalesce(title.rlike("(?iU)" + cues.OPPORTUNITY_MARKS), F.lit(False))
+    numbered = t.rlike(r"\bn[ºo°]?\s*\d|\b\d{1,3}/\d{4}\b")
     glued = ~marked & (F.length(t) > 55) & ~numbered & (glued_cases(title) >= 1)
-    listed = t.rlike("^(?:" + "|".join(patterns) + ")") if patterns else F.lit(False)
-    return (t == "") | t.isin(*sections) | listed | glued
+    listed = t.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+    return (t == "") | (t.isin(*sections) if sections else F.lit(False)) | listed | glued
 
 
 def next_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, page_no, url, html) -> page_id, next_url: by rel="next", else the following number, else a label that says so."""
-    anchors = F.regexp_extract_all("html", F.lit(r"(?is)<(?:a|link)\s[^>]*?href\s*=\s*[\"'][^\"']*[\"'][^>]*>(?:[^<]*</a>)?"), 0)
-    rows = pages.select("page_id", "page_no", "url", F.posexplode(anchors).alias("position", "anchor"))
-    href = F.regexp_extract("anchor", r"(?is)href\s*=\s*[\"']([^\"']*)[\"']", 1)
-    label = squeeze(F.regexp_replace("anchor", r"(?s)<[^>]*>", " "))
-    from callscope.functions.text import is_next_label
-
-    from callscope.functions.dates import settled
+    """(page_id, page_no, url, html) -> page_id, next_url.
 
-    rows = settled(rows.withColumn("label", label))
-    label = F.col("label")
-    rank = F.when(F.col("anchor").rlike(r"(?i)\srel\s*=\s*[\"'][^\"']*\bnext\b"), 0).when(label == (F.col("page_no") + 1).cast("string"), 1).when(is_next_label(label), 2)
-    rows = rows.withColumn("rank", rank).filter(F.col("rank").isNotNull() & (href != "") & ~href.startswith("#"))
-    return rows.groupBy("page_id").agg(F.min_by(resolve(F.col("url"), href), F.struct("rank", "position")).alias("next_url"))
+    By rel="next", else the following number, else a label of the next page inside a
+    pager (an element of one of ``PAGER_CLASSES``, or a navigation named so), else such
+    a label of up to 30 characters anywhere. Only links to the same host and to
+    another address count.
+    """
+    # One pass over the page: anchors, and the tags that open and close pagers around them.
+    marks = F.regexp_extract_all("html", F.lit(r"(?is)<(?:a|link)\s[^>]*>(?:[^<]*(?:<(?!/a)[^>]*>[^<]*)*</a>)?|</?(?:nav|div|ul|ol|p|section|span|table|td)\b[^>]*>"), 0)
+    pager = "|".join(cues.PAGER_CLASSES)
+    opens = rf"(?is)^<\w+\s[^>]*(?:class\s*=\s*[\"'](?:[^\"']*\s)?(?:{pager})(?:\s[^\"']*)?[\"']|class\s*=\s*[\"'][^\"']*(?:pagination|paginacao|pager)|aria-label\s*=\s*[\"'][^\"']*pag)|^<nav\s[^>]*role\s*=\s*[\"']navigation"
+    state = F.struct(F.lit(0).alias("depth"), F.lit(-1).alias("at"), F.array().cast("array<struct<position:int,anchor:string,inside:boolean>>").alias("found"))
+
+    def step(x: Column, m: Column) -> Column:
+        link, shut = m.rlike(r"(?i)^<(?:a|link)\s"), m.startswith("</")
+        depth = x["depth"] + F.when(link, 0).when(shut, -1).otherwise(1)
+        at = F.when(~link & ~shut & (x["at"] < 0) & m.rlike(opens), x["depth"]).when(shut & (depth <= x["at"]), -1).otherwise(x["at"])
+        one = F.struct(F.size(x["found"]).alias("position"), m.alias("anchor"), (x["at"] >= 0).alias("inside"))
+        return F.struct(depth.alias("depth"), at.alias("at"), F.when(link, F.array_append(x["found"], one)).otherwise(x["found"]).alias("found"))
+
+    rows = settled(pages.select("page_id", "page_no", "url", F.inline(F.aggregate(marks, state, step)["found"])))
+    attribute = lambda name: F.regexp_extract("anchor", rf"(?is)^<\w+\s[^>]*?\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
+    rows = rows.withColumns({"href": F.trim(attribute("href")), "label": squeeze(F.regexp_replace("anchor", r"(?s)<[^>]*>", " ")), "named": F.concat_ws(" ", attribute("title"), attribute("aria-label"))})
+    rows = settled(rows.filter((F.col("href") != "") & ~F.col("href").rlike("(?i)^(#|mailto:|tel:|javascript:)")))
+    label, is_link = F.col("label"), F.col("anchor").rlike(r"(?i)^<a\s")
+    leads = is_next_label(label) | is_next_label(F.concat_ws(" ", label, "named"))
+    rank = (
+        F.when(F.col("anchor").rlike(r"(?is)^<\w+\s[^>]*\brel\s*=\s*[\"'][^\"']*next"), 0)
+        .when(is_link & (label == (F.col("page_no") + 1).cast("string")), 1)
+        .when(is_link & leads & F.col("inside"), 2)
+        .when(is_link & leads & (label != "") & (F.length("label") <= 30), 3)
+    )
+    rows = rows.withColumns({"rank": rank, "target": F.regexp_replace(resolve(F.col("url"), F.col("href")), "#.*$", "")})
+    plain = lambda u: F.regexp_replace(u, "/+$", "")
+    rows = rows.filter(F.col("rank").isNotNull() & (host_of(F.col("target")) == host_of(F.col("url"))) & (plain(F.col("target")) != plain(F.col("url"))))
+    return rows.groupBy("page_id").agg(F.min_by("target", F.struct("rank", "position")).alias("next_url"))
 
 
 def candidate_order(sources: DataFrame, memory: DataFrame) -> DataFrame:

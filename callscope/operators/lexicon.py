@@ -7,6 +7,8 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
+from callscope.functions import cues
+
 
 def plain(term: str) -> str:
     """The driver-side twin of the column normaliser, used once on each term."""
@@ -72,13 +74,68 @@ def usable(restrictions) -> list[Restriction]:
     return out
 
 
-def load_profile(path: str) -> Profile:
-    """A profile from JSON: {axes: {key: {label, weight, terms, themes}}, signals...}; keys that begin with ``_`` are notes."""
+def plain_words(term: str) -> str:
+    """``plain`` with punctuation as spaces."""
+    return re.sub(r"\s+", " ", re.sub(r"[^\w\s]", " ", plain(term))).strip()
+
+
+def _read(path: str) -> dict:
     with open(path, encoding="utf-8") as f:
-        raw = json.load(f)
-    axes = tuple(Axis(k, a["label"], int(a.get("weight", 0)), tuple(map(plain, a.get("terms", ()))), tuple(a.get("themes", ()))) for k, a in raw["axes"].items() if not k.startswith("_"))
-    lists = {k: tuple(map(plain, raw.get(k, ()))) for k in ("international", "strong", "places", "funding", "opportunity", "priority_places", "priority_areas")}
-    return Profile(axes, audiences={k: tuple(map(plain, v)) for k, v in raw.get("audiences", {}).items()}, threshold=int(raw.get("threshold", 30)), **lists)
+        return json.load(f)
+
+
+def _entries(table: dict | None) -> dict:
+    """Without keys that begin with ``_``: those are notes."""
+    return {k: v for k, v in (table or {}).items() if not k.startswith("_")}
+
+
+# The names of tables and fields in rule files, ours first.
+_PROFILE_KEYS = {
+    "international": ("international", "sinais_internacionais"),
+    "strong": ("strong", "sinais_internacionais_fortes"),
+    "places": ("places", "sinais_geograficos"),
+    "funding": ("funding", "sinais_fomento"),
+    "opportunity": ("opportunity", "sinais_oportunidade"),
+    "priority_places": ("priority_places", "paises_prioritarios"),
+    "priority_areas": ("priority_areas", "areas_prioritarias"),
+}
+
+
+def _first(table: dict, *names: str, default=None):
+    return next((table[n] for n in names if n in table), default)
+
+
+def load_profile(path: str) -> Profile:
+    """A profile from JSON: axes by key with label, weight, terms and themes; lists of signals; audiences by key; the threshold."""
+    raw = _read(path)
+    axes = tuple(
+        Axis(k, _first(a, "label", "rotulo", default=k), int(_first(a, "weight", "peso", default=0)), tuple(map(plain, _first(a, "terms", "termos", default=()))), tuple(_first(a, "themes", "temas", default=())))
+        for k, a in _entries(_first(raw, "axes", "eixos", default={})).items()
+    )
+    lists = {k: tuple(map(plain, _first(raw, *names, default=()))) for k, names in _PROFILE_KEYS.items()}
+    groups = _entries(_first(raw, "audiences", "publicos", default={}))
+    return Profile(axes, audiences={k: tuple(map(plain, v)) for k, v in groups.items()}, threshold=int(_first(raw, "threshold", "limiar_aderencia", default=30)), **lists)
+
+
+def load_themes(path: str) -> tuple[tuple[Theme, ...], tuple, tuple[str, ...]]:
+    """Themes, document statuses (first match first) and noise words from JSON; the theme ``internacional`` gains countries and foreign calls."""
+    raw = _read(path)
+    themes = []
+    for key, t in _entries(_first(raw, "themes", "temas_interesse", default={})).items():
+        words = tuple(map(plain_words, _first(t, "words", "palavras", default=())))
+        themes.append(Theme(key, int(_first(t, "priority", "prioridade", default=3)), tuple(w for w in words + ((*cues.COUNTRIES, *cues.FOREIGN_CALLS) if key == "internacional" else ()) if w)))
+    found = {k: tuple(map(plain_words, _first(v, "words", "palavras", default=()))) for k, v in _entries(_first(raw, "statuses", "status_edital", default={})).items()}
+    statuses = tuple((k, found[k]) for k in ("encerrado", "resultado", "retificacao") if found.get(k))
+    noise = _first(raw, "noise", "ruido", default=())
+    noise = _first(noise, "words", "palavras", default=()) if isinstance(noise, dict) else noise
+    return tuple(themes), statuses, tuple(w for w in map(plain_words, noise) if w)
+
+
+def load_restrictions(path: str) -> tuple[tuple[Restriction, ...], dict[str, float]]:
+    """The catalogue of restrictions, unusable patterns left out, and the sources' weights from JSON."""
+    raw = _read(path)
+    rows = [Restriction(_first(r, "programme", "programa"), _first(r, "pattern", "padrao"), _first(r, "requires", "exige", default=""), _first(r, "impact", "impacto", default="atencao")) for r in _first(raw, "restrictions", "restricoes", default=())]
+    return tuple(usable(rows)), {k: float(v) for k, v in _entries(_first(raw, "source_weights", "peso_por_fonte")).items()}
 
 
 PROFILE = Profile(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import cues
 from callscope.functions.dates import let, settled, with_status
-from callscope.functions.text import contains_any, matches_any, normalise, normalise_words, path_of, prefix_pattern, strip_accents
+from callscope.functions.text import contains_any, matches_any, noise, normalise, normalise_words, path_of, prefix_pattern, slug_title, strip_accents
 from callscope.operators import lexicon as L
 
 
@@ -142,6 +142,28 @@ def document_status(words: Column, table=L.DOC_STATUS) -> Column:
     return out.otherwise("aberto")
 
 
+def classified(title: Column, url: Column, extra: Column | None = None, themes=L.THEMES, statuses=L.DOC_STATUS, noise_words=L.NOISE, forced: Column | None = None, need_theme: bool = True) -> Column:
+    """struct<title, tags, status, points> of a link by its title, URL and further text; null for noise and, with ``need_theme``, without a theme.
+
+    A missing title is read from the URL's slug; ``forced`` adds the theme ``internacional``.
+    """
+    given = F.trim(F.coalesce(title, F.lit("")))
+    named = F.when(given == "", slug_title(url)).otherwise(given)
+    address = F.translate(F.coalesce(url, F.lit("")), "-/", "  ")
+    parts = [named, slug_title(url), address] + ([] if extra is None else [extra])
+    force = F.lit(False) if forced is None else F.coalesce(forced, F.lit(False))
+
+    def judge(words: Column) -> Column:
+        found = theme_tags(words, themes)
+        ranked = _strings([t.key for t in sorted(themes, key=lambda t: t.priority)])
+        tags = F.when(force & ~F.array_contains(found, "internacional"), F.array_append(found, F.lit("internacional"))).otherwise(found)
+        status = document_status(words, statuses)
+        row = F.struct(named.alias("title"), F.filter(ranked, lambda k: F.array_contains(tags, k)).alias("tags"), status.alias("status"), theme_points(tags, status, themes, force).alias("points"))
+        return F.when(~noise(named, noise_words) & ((F.size(tags) > 0) | F.lit(not need_theme)), row)
+
+    return let(F.concat_ws(" ", *map(normalise_words, parts)), judge)
+
+
 def theme_points(tags: Column, status: Column, themes=L.THEMES, forced: Column | None = None) -> Column:
     per = {1: 10, 2: 4, 3: 2}
     has = lambda k: F.array_contains(tags, k)

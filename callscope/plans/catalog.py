@@ -64,12 +64,12 @@ def deadline_status(spark, d):
     return rows.select("call_id", "status", "deadline", "deadline_text", "days_left", "confidence")
 
 
-@query(f"""WITH {CALLS}, s AS (SELECT {STATUS} AS status, date_diff('day', {DAY}, {FOUND}) AS days FROM calls)
-SELECT count(*) FILTER (status = 'aberto') AS n_open, count(*) FILTER (status = 'aberto' AND days BETWEEN 0 AND 14) AS n_urgent,
+@query(f"""WITH {CALLS}, s AS (SELECT call_id AS id, {STATUS} AS status, date_diff('day', {DAY}, {FOUND}) AS days FROM calls)
+SELECT count(*) FILTER (status = 'aberto') AS n_open, count(*) FILTER (status = 'aberto' AND id % 60 >= 30) AS n_recommended, count(*) FILTER (status = 'aberto' AND days BETWEEN 0 AND 14) AS n_urgent,
   count(*) FILTER (status = 'verificar') AS n_check, count(*) AS n_total FROM s""")
 def status_kpis(spark, d):
-    rows = dates.with_status(X.calls(spark, d).drop("deadline"), "text", AS_OF).withColumn("priority", F.lit(0.0))
-    return panel.kpis(rows).drop("n_recommended")
+    rows = dates.with_status(X.calls(spark, d).drop("deadline"), "text", AS_OF).withColumn("priority", (F.col("call_id") % 60).cast("double"))
+    return panel.kpis(rows)
 
 
 @query(f"""WITH {CALLS}, c AS (SELECT call_id, CASE WHEN v = 7 THEN NULL ELSE deadline END AS dl, {DAY} - CAST(call_id % 20 AS INTEGER) AS seen FROM calls)
@@ -112,14 +112,28 @@ def glued_case_count(spark, d):
 _FIRST = "split_part(text, chr(10), 1)"
 
 
-@query(rf"""WITH t AS (SELECT doc_id, trim(regexp_replace({_FIRST}, '\s+', ' ', 'g')) AS t FROM documents),
-c AS (SELECT *, CASE WHEN regexp_matches(t, '(?i)\s+licensed\s+under') AND length(regexp_extract(t, '(?is)^(.*?)\s+licensed\s+under', 1)) >= 12 THEN trim(regexp_extract(t, '(?is)^(.*?)\s+licensed\s+under', 1)) ELSE t END AS u FROM t),
-s AS (SELECT *, left(u, 110) AS w, 110 - strpos(reverse(left(u, 110)), ' .') - 1 AS p, strpos(left(u, 110), '. ') AS has,
-  110 - strpos(reverse(left(u, 110)), ' | ') - 2 AS q, strpos(left(u, 110), ' | ') AS bar FROM c)
-SELECT doc_id, regexp_replace(CASE WHEN length(u) <= 110 THEN u WHEN has > 0 AND p > 40 THEN trim(left(u, p)) WHEN bar > 0 AND q > 40 THEN trim(left(u, q)) ELSE trim(w) END, '[ .,;:\-–—|]+$', '') AS title FROM s""")
+def _cut_sql() -> str:
+    """The title rules in DuckDB's regular expressions, rule by rule."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    t = "title"
+    for p in T._TECHNICAL:
+        t = f"regexp_replace({t}, {quoted(p)}, ' ', 'g')"
+    steps = [f"a AS (SELECT id, trim(regexp_replace({t}, '\\s+', ' ', 'g')) AS t FROM titles)"]
+    t = "t"
+    for p in cues.TITLE_PREFIXES:
+        t = f"trim(regexp_replace({t}, {quoted('(?i)' + p)}, ''))"
+    steps.append(f"b AS (SELECT id, {t} AS t FROM a)")
+    cases = " ".join(f"WHEN regexp_matches(t, {quoted('(?i)' + p)}) AND length(regexp_extract(t, {quoted('(?is)^(.*?)' + p)}, 1)) >= 12 THEN trim(regexp_extract(t, {quoted('(?is)^(.*?)' + p)}, 1))" for p in cues.BODY_CUES)
+    steps.append(f"c AS (SELECT id, CASE {cases} ELSE t END AS t FROM b)")
+    place = lambda sep: f"CASE WHEN contains(w, '{sep}') THEN 110 - strpos(reverse(w), '{sep[::-1]}') - {len(sep) - 1} ELSE -1 END"
+    cases = " ".join(f"WHEN {place(x)} > 40 THEN trim(left(w, {place(x)}))" for x in T.SEPARATORS)
+    steps.append(f"d AS (SELECT id, t, CASE WHEN length(t) > 110 THEN CASE {cases} ELSE trim(w) END ELSE t END AS u FROM (SELECT *, left(t, 110) AS w FROM c))")
+    return f"WITH titles AS ({X.TITLES_SQL}), " + ", ".join(steps) + " SELECT id, regexp_replace(u, '[ .,;:\\-–—|]+$', '') AS title FROM d"
+
+
+@query(_cut_sql())
 def clean_title(spark, d):
-    first = F.substring_index("text", "\n", 1)
-    return table(spark, d, "documents").select("doc_id", T.clean_title(first, body_cues=(r"\s+licensed\s+under",)).alias("title"))
+    return X.titles(spark, d).select("id", T.clean_title(F.col("title")).alias("title"))
 
 
 _TITLES = f"titles AS (WITH {CALLS} SELECT call_id, concat('Chamada ', source_no, ' cooperacao ', year(deadline)) AS title, concat('https://www.site', source_no, '.org/editais/chamada-', call_id, '_', year(deadline), '.pdf') AS url FROM calls)"
@@ -296,12 +310,21 @@ def pair_similarity(spark, d):
     return entity.similar_pairs(sets, 0.7).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+# Greedy leaders by a fold over the distinct sets in order of their first row; the fixture's first lines have no year.
+_LEADERS = _SETS.join(("WITH ", "")) + """, f AS (SELECT list_reduce(list({'id': id, 'toks': toks, 'leader': id} ORDER BY id), lambda done, x: list_append(done,
+  {'id': x.id, 'toks': x.toks, 'leader': coalesce(list_filter(done, lambda l: l.leader = l.id
+     AND len(list_intersect(l.toks, x.toks)) >= 0.72 * (len(l.toks) + len(x.toks) - len(list_intersect(l.toks, x.toks))))[1].leader, x.id)}), list_slice([{'id': 0::BIGINT, 'toks': ['x'], 'leader': 0::BIGINT}], 1, 0)) AS done FROM s),
+g AS (SELECT unnest(done, recursive := true) FROM f), w AS (SELECT doc_id, list_sort(list_distinct(list_filter(string_split(""" + _words(_FIRST) + """, ' '),
+  lambda w: NOT list_contains([""" + ", ".join(repr(w) for w in dict.fromkeys(cues.EMPTY_WORDS)) + """], w) AND CASE WHEN regexp_matches(w, '^[0-9]+$') THEN regexp_matches(w, '^20[0-9][0-9]$') ELSE length(w) > 2 END))) AS toks FROM documents),
+c AS (SELECT w.doc_id AS position, coalesce(g.leader, w.doc_id) AS leader FROM w LEFT JOIN g ON w.toks = g.toks)"""
+
+
+@query(_LEADERS + " SELECT position, leader FROM c")
 def dedup_clusters(spark, d):
     return entity.leader_clusters(_first_lines(spark, d), "title", "position", 0.72).select("position", "leader")
 
 
-@query()
+@query(_LEADERS + """ SELECT arg_max(position, (CASE WHEN position % 3 = 0 THEN 1 ELSE 0 END) * 100000000000 + (position % 50) * 1000000000 - position) AS position, leader, CAST(count(*) - 1 AS INTEGER) AS n_also FROM c GROUP BY leader""")
 def cluster_representative(spark, d):
     rows = _first_lines(spark, d).withColumns({"status": F.when(F.col("position") % 3 == 0, "aberto").otherwise("verificar"), "priority": (F.col("position") % 50).cast("double"), "last_seen": F.lit("2026-08-01"), "url": F.concat(F.lit("u"), "position"), "source": F.concat(F.lit("s"), F.col("position") % 16)})
     found = entity.representatives(entity.leader_clusters(rows, "title", "position", 0.72))
@@ -325,7 +348,7 @@ def _two_runs(spark, d):
     seen = X.observations(spark, d).select("key", F.concat(F.lit("Chamada "), "key").alias("title"), "status", (F.col("key") % 4).cast("string").alias("source"), "run_no")
     first = history.upsert(spark.createDataFrame([], history.SCHEMA), seen.filter("run_no = 1").drop("run_no"), 1)
     second = seen.filter("run_no = 2").drop("run_no")
-    return second, history.upsert(first, second, 2)
+    return second, history.upsert(storage.kept(first, "history"), second, 2)
 
 
 @query(_NEXT + """ SELECT key, CASE WHEN new IS NOT NULL THEN new WHEN old = 'aberto' THEN 'verificar' ELSE old END AS status, CASE WHEN old IS NULL THEN 2 ELSE 1 END::BIGINT AS first_run, CASE WHEN new IS NULL THEN 1 ELSE 2 END::BIGINT AS last_run,
@@ -345,6 +368,62 @@ def run_stats(spark, d):
     return history.run_stats(batch, state, 2)
 
 
+_LISTED = "l AS (SELECT l_orderkey AS key, l_linenumber * 1000000 + l_partkey AS position, CASE l_partkey % 3 WHEN 0 THEN 'aberto' WHEN 1 THEN 'encerrado' ELSE 'futuro' END AS status, 's' || l_partkey % 4 AS source FROM lineitem)"
+
+
+@query(f"WITH {_LISTED} SELECT key, arg_max(status, position) AS status, arg_min(source, position) AS source, min(position)::BIGINT AS entry, 'T' || key || ' ' || max(position) AS title FROM l GROUP BY key")
+def history_repeats(spark, d):
+    """Keys that one run meets several times: the last values count, under the first source."""
+    status = F.element_at(F.array(*map(F.lit, ("aberto", "encerrado", "futuro"))), (F.col("l_partkey") % 3 + 1).cast("int"))
+    rows = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("position"), status.alias("status"), F.concat(F.lit("s"), F.col("l_partkey") % 4).alias("source"))
+    rows = rows.withColumn("title", F.concat(F.lit("T"), "key", F.lit(" "), "position"))
+    return history.upsert(spark.createDataFrame([], history.SCHEMA), rows, 1).select("key", "status", "source", "entry", "title")
+
+
+_EDITIONS = f"""WITH {_TITLES}, e AS (SELECT call_id AS key, CAST(right(title, 4) AS INTEGER) AS year, CASE WHEN call_id % 3 = 0 THEN 1 ELSE 2 END AS run FROM titles),
+p AS (SELECT year, run, min(key) AS first FROM e GROUP BY ALL), h AS (SELECT e.*, coalesce((SELECT min(first) FROM p WHERE p.run = 1 AND p.year < e.year AND (e.run = 2 OR first < e.key)),
+  CASE WHEN run = 2 THEN (SELECT min(first) FROM p WHERE p.run = 2 AND p.year < e.year AND first < e.key) END) AS previous FROM e)"""
+
+
+def _editions(spark, d):
+    rows = _titles(spark, d).select(F.col("call_id").alias("key"), "title", F.lit("aberto").alias("status"), F.lit("s").alias("source"), F.col("call_id").alias("position"))
+    first = history.upsert(spark.createDataFrame([], history.SCHEMA), rows.filter("key % 3 = 0"), 1)
+    return history.upsert(storage.kept(first, "history"), rows.filter("key % 3 <> 0"), 2, spark.createDataFrame([], "source string"))
+
+
+@query(_EDITIONS + " SELECT h.key, CAST(previous AS VARCHAR) AS new_edition_of, CAST(o.year AS INTEGER) AS previous_year FROM h LEFT JOIN e AS o ON o.key = h.previous")
+def history_editions(spark, d):
+    """Inserted calls linked with the earlier edition that the history or the same run has."""
+    return _editions(spark, d).select("key", "new_edition_of", "previous_year")
+
+
+@query(_EDITIONS + " SELECT CASE WHEN previous IS NOT NULL THEN 'nova_edicao' WHEN run = 2 THEN 'novo' ELSE 'inicial' END AS novelty, count(*) AS n FROM h GROUP BY 1")
+def novelty_of_editions(spark, d):
+    return _editions(spark, d).groupBy(history.novelty(2).alias("novelty")).agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH o AS ({X.OBSERVED_SQL}), a AS (SELECT key, status FROM o WHERE run_no = 1), b AS (SELECT key, status FROM o WHERE run_no = 2),
+h AS (SELECT coalesce(a.key, b.key) AS key, a.status AS old, b.status AS new, coalesce(a.key, b.key) % 4 AS own, (coalesce(a.key, b.key) + 1) % 4 AS lister FROM a FULL JOIN b ON a.key = b.key),
+g AS (SELECT *, old = 'aberto' AND own < 3 AND (new IS NULL OR lister > own) AS lost FROM h)
+SELECT key, coalesce(new, CASE WHEN lost THEN 'verificar' ELSE old END) AS status,
+  CASE WHEN old IS NULL THEN '' WHEN new IS NULL THEN CASE WHEN lost THEN 'aberto -> verificar (not found)' ELSE '' END
+       WHEN new <> CASE WHEN lost THEN 'verificar' ELSE old END THEN 'status: ' || CASE WHEN lost THEN 'verificar' ELSE old END || ' to ' || new WHEN lost THEN 'aberto -> verificar (not found)' ELSE '' END AS changes,
+  'n' || CASE WHEN old IS NULL THEN 2 ELSE 1 END AS region, 'p' || CASE WHEN new IS NULL THEN 1 ELSE 2 END AS points, CASE WHEN old IS NOT NULL AND (new IS NULL OR key % 2 = 0) THEN 1 ELSE 2 END AS attachment FROM g""")
+def source_turns(spark, d):
+    """A run whose sources have an order: what only a later source lists is demoted at its own source's turn; first-seen fields and attachments stay."""
+    seen = X.observations(spark, d).filter("run_no <= 2").select("key", F.concat(F.lit("Chamada "), "key").alias("title"), "status", "run_no", F.lit(0).alias("position"), F.concat(F.lit("n"), "run_no").alias("region"), F.concat(F.lit("p"), "run_no").alias("points"))
+    files = F.when((F.col("run_no") == 2) & (F.col("key") % 2 == 0) & F.lit(True), F.array().cast("array<int>")).otherwise(F.array(F.col("run_no")))
+    files = F.when(F.col("run_no") == 1, F.array(F.lit(1))).otherwise(files)
+    first = history.upsert(spark.createDataFrame([], history.SCHEMA), seen.withColumns({"source": (F.col("key") % 4).cast("string"), "attachments": files}).filter("run_no = 1").drop("run_no"), 1)
+    first = storage.kept(first, "history")
+    turns = spark.createDataFrame([("0", 0), ("1", 1), ("2", 2)], "source string, turn int")
+    lister = (F.col("key") + 1) % 4
+    known = first.select("key", F.lit(True).alias("known"))
+    second = seen.filter("run_no = 2").join(known, "key", "left").withColumns({"source": lister.cast("string"), "turn": lister, "attachments": F.when(F.col("known").isNull(), F.array(F.lit(2))).otherwise(files)}).drop("run_no", "known")
+    done = history.upsert(first, second, 2, turns)
+    return done.select("key", "status", F.array_join("changes", "; ").alias("changes"), "region", "points", F.get("attachments", F.lit(0)).alias("attachment"))
+
+
 # Pages
 
 
@@ -362,11 +441,20 @@ def same_site_links(spark, d):
     return rows.groupBy("page_id").agg(F.count_if(extraction.same_site(F.col("url"), F.col("target"))).alias("n_site"), F.count_if(extraction.is_share_link(F.col("href"), F.col("target"), F.lit(""))).alias("n_share"))
 
 
-@query()
+_BARE = r"""trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style)[^>]*>.*?</(?:script|style)>', '  ', 'g'), '(?s)<!--.*?-->', '', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))"""
+
+
+@query(f"SELECT page_id, md5({_BARE}) AS text_md5 FROM pages")
 def page_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(html.html_text("html")).alias("text_md5"))
 
 
+@query("SELECT page_id, md5(html) AS text_md5 FROM pages")
+def pdf_text(spark, d):
+    """Bytes through a reader that the caller brings; here one that takes them as UTF-8."""
+    return table(spark, d, "pages").select("page_id", F.md5(html.pdf_text(lambda raw: raw.decode())(F.col("html").cast("binary"))).alias("text_md5"))
+
+
 @query("""WITH s AS (SELECT page_id, html, coalesce(list_sum(list_transform(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1), lambda x: length(x))), 0)::INTEGER AS script_chars, len(regexp_extract_all(html, '(?is)<a\\s[^>]*href'))::INTEGER AS n_links FROM pages)
 SELECT page_id, script_chars, n_links, false AS needs_script FROM s""")
 def js_page_heuristic(spark, d):
@@ -420,17 +508,43 @@ def url_dedup_first(spark, d):
     return entity.first_by(table(spark, d, "pages").select(T.host_of(F.col("url")).alias("host"), "page_id"), "host", "page_id")
 
 
-@query(f"WITH {_TITLES} SELECT call_id, call_id % 3 = 0 AS menu FROM titles")
+_MENU = "|".join(f"(?:{p})" for p in cues.NAVIGATION)
+
+
+@query(rf"""WITH titles AS ({X.TITLES_SQL}), n AS (SELECT id, title, lower(trim(regexp_replace(replace(replace(strip_accents(title), 'º', 'o'), 'ª', 'a'), '\s+', ' ', 'g'))) AS t FROM titles)
+SELECT id, t = '' OR regexp_matches(t, '{_MENU}') OR (NOT regexp_matches(title, '(?i){cues.OPPORTUNITY_MARKS}') AND length(t) > 55 AND NOT regexp_matches(t, '\bn[ºo°]?\s*\d|\b\d{{1,3}}/\d{{4}}\b')
+  AND len(regexp_extract_all(title, '[a-zà-ÿ][A-ZÀ-Þ]')) >= 1) AS menu FROM n""")
 def navigation_filter(spark, d):
-    menu = F.when(F.col("call_id") % 6 == 0, F.lit("Notícias")).when(F.col("call_id") % 6 == 3, F.lit("GraduaçãoComo funciona o portal da universidade e seus cursos todos aqui")).otherwise(F.col("title"))
-    return _titles(spark, d).select("call_id", extraction.is_navigation(menu).alias("menu"))
+    return X.titles(spark, d).select("id", extraction.is_navigation(F.col("title")).alias("menu"))
+
+
+_HREFS = (
+    ("../x.pdf", "https://h.org/x.pdf"), ("./y", "https://h.org/d/y"), ("../../z?q=1", "https://h.org/z?q=1"), ("/a/../b", "https://h.org/b"), ("?page=2", "https://h.org/d/list?page=2"),
+    ("#top", "https://h.org/d/list?x=1#top"), ("", "https://h.org/d/list?x=1"), ("..", "https://h.org/"), (".", "https://h.org/d/"), ("//o.org/c", "https://o.org/c"), ("x/./y/../z#t", "https://h.org/d/x/z#t"),
+    ("mailto:a@b.c", "mailto:a@b.c"), ("http://o.org/a/../b", "http://o.org/a/../b"), ("x..y/.z", "https://h.org/d/x..y/.z"), ("/a/b/.", "https://h.org/a/b/"), ("../e/..", "https://h.org/"),
+)
+
+
+@query("SELECT p_partkey AS id, list_extract([" + ", ".join(f"'{t}'" for _, t in _HREFS) + f"], CAST(p_partkey % {len(_HREFS)} + 1 AS BIGINT)) AS target FROM part")
+def relative_links(spark, d):
+    """Hrefs of every form against one page."""
+    href = F.element_at(F.array(*[F.lit(h) for h, _ in _HREFS]), (F.col("p_partkey") % len(_HREFS) + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("id"), extraction.resolve(F.lit("https://h.org/d/list?x=1#f"), href).alias("target"))
 
 
-@query(f"WITH {CALLS} SELECT call_id, 'https://h.org/list?page=' || (call_id % 5 + 2) AS next_url FROM calls WHERE call_id % 4 < 3")
+@query(f"WITH {CALLS} SELECT call_id, 'https://h.org/list?page=' || (call_id % 5 + 2) AS next_url FROM calls WHERE call_id % 6 < 5")
 def next_page(spark, d):
     number = (F.col("call_id") % 5 + 1).cast("int")
     target = F.concat(F.lit("/list?page="), (number + 1).cast("string"))
-    anchor = F.element_at(F.array(F.concat(F.lit("<a href='/x'>9</a><link rel='next' href='"), target, F.lit("'>")), F.concat(F.lit("<a href='"), target, F.lit("'>"), (number + 1).cast("string"), F.lit("</a>")), F.concat(F.lit("<a href='"), target, F.lit("'>Próxima</a>")), F.lit("<a href='/x'>Edital</a>")), (F.col("call_id") % 4 + 1).cast("int"))
+    shapes = (
+        ("<a href='/x'>9</a><link rel='next' href='", "'>"),
+        ("<a href='", "'>{n}</a>"),
+        ("<a href='/x'>proximo evento</a><div class='box pagination'><span><a href='/y'>1</a></span><a href='https://o.org/z'>next</a><a href='", "'><i>Próxima página de muitos outros resultados</i></a></div>"),
+        ("<div class='pager'><a href='/y'>1</a></div><a href='/l'>Última próxima</a><a href='#'>»</a><a href='", "'>»</a>"),
+        ("<a href='/list'>next</a><a href='", "' title='Seguinte'>ir</a>"),
+        ("<a href='/x'>Edital</a><a href='", "'>uma chamada</a>"),
+    )
+    anchor = F.element_at(F.array(*[F.concat(F.lit(a), target, F.replace(F.lit(z), F.lit("{n}"), (number + 1).cast("string"))) for a, z in shapes]), (F.col("call_id") % 6 + 1).cast("int"))
     rows = X.calls(spark, d).select(F.col("call_id").alias("page_id"), number.alias("page_no"), F.lit("https://h.org/list").alias("url"), anchor.alias("html"))
     return extraction.next_pages(rows).select(F.col("page_id").alias("call_id"), "next_url")
 
@@ -500,11 +614,11 @@ def facet_search(spark, d):
     return panel.facets(_panel(spark, d), region="nacional", eligibility="unblocked", themes=("mobilidade", "cooperacao", "internacional"), search="MOBILIDADE", searched=("text", "region")).select("call_id")
 
 
-@query(_PANEL + " SELECT call_id, CAST(row_number() OVER (ORDER BY status = 'aberto' DESC, priority DESC, call_id) AS INTEGER) AS place FROM q ORDER BY place LIMIT 100")
+@query(_PANEL.replace("q AS (SELECT call_id,", f"q AS (SELECT call_id, date_diff('day', {DAY}, dl) AS days,") + " SELECT call_id, CAST(row_number() OVER (ORDER BY status = 'aberto' DESC, priority DESC, coalesce(days, 99999), call_id) AS INTEGER) AS place FROM q QUALIFY place <= 100")
 def panel_top(spark, d):
     """The panel's first hundred rows, a report of fixed length."""
-    keys = [*panel.order("default")[:2], F.col("call_id")]
-    top = _panel(spark, d).select("call_id", "status", "priority").orderBy(*keys).limit(100)
+    keys = [*panel.order("default"), F.col("call_id")]
+    top = _panel(spark, d).select("call_id", "status", "priority", "days_left").orderBy(*keys).limit(100)
     return top.select("call_id", F.row_number().over(Window.orderBy(*keys)).alias("place"))
 
 

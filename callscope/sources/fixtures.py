@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 AS_OF = "2026-08-20"
 FILL = "Leia todas as orientacoes gerais do programa antes de preparar os documentos exigidos pela comissao organizadora. "
@@ -21,8 +22,44 @@ def fanned_out(df: DataFrame) -> DataFrame:
     Column pruning reaches through the exchange.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if splits < cores else df
+    return df.repartition(cores) if len(df.inputFiles()) == 1 and _size(df) < SMALL else df
+
+
+#: Bytes below which one input file is dealt out.
+SMALL = 1 << 27
+
+
+def _size(df: DataFrame) -> int:
+    path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0])
+    return path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getLen()
+
+
+#: Titles as pages have them: menus, calls, body text, markup; ``{n}`` is a row's number.
+TITLES = (
+    "Regimento interno da universidade", "Licitações e contratos do estado {n}", "Bolsas no exterior", "Como funciona o programa", "Atas da comissão de {n}",
+    "Notícias", "Conselho Científico {n}", "internacional Alemanha", "Graduação", "Editais abertos", "Formulários e modelos {n}", "Perguntas frequentes",
+    "Edital {n}/2026 de pesquisa conjunta", "Chamada pública {n} de cooperação", "Programa de bolsas {n} para doutorado sanduíche", "Prêmio Jovem Cientista {n}",
+    "GraduaçãoComo funciona o portal da universidade e seus cursos todos aqui {n}", "BiodivConnect Chamada Transnacional Conjunta de Biodiversidade e Clima {n}",
+    "Resultado da SeleçãoLista dos aprovados do processo nº {n} da universidade federal", "Termo de Cooperação {n}", "Termo aditivo {n} da cooperação",
+    "Edital {n} de apoio à pesquisa aplicada Este edital abre inscrições para docentes", "Chamada {n} de mobilidade acadêmica Destinada a estudantes de mestrado",
+    "Categoria: Chamada {n} de mobilidade", "em Pesquisadores e Professores Bolsa de estudos {n}", "• Prêmio anual {n}.", "Edital curto Este edital {n} fica",
+    '<svg viewBox="0 0 1 1"><path d="M1 1"></svg>Chamada com ícone {n}', "Chamada {n} {color: red; margin: 0 0 0 0; padding: 1px} estilizada", "Bolsa {n}   com   espaços  —",
+    "Chamada conjunta {n} de projetos de pesquisa em biodiversidade e clima. Pesquisadores das instituições do estado e de fora dele são convidados a enviar projetos",
+    "Programa de intercâmbio {n} entre universidades parceiras | apoio a missões de curta duração no exterior para docentes e discentes | edição anual com muitas vagas",
+    "Uma linha muito longa sem qualquer separador que sirva para cortar e que segue por mais de cento e dez caracteres sem terminar nunca {n}",
+    "Inscrições {n} para o programa Inscrições abertas até outubro", "Apoio {n} a eventos Professores e pesquisadores podem se candidatar", "Curso {n} Com o objetivo de formar", "",
+)
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, title): the titles above by turns."""
+    every = F.array(*map(F.lit, TITLES))
+    title = F.element_at(every, (F.col("p_partkey") % len(TITLES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.replace(title, F.lit("{n}"), F.col("p_partkey").cast("string")).alias("title"))
+    return rows
+
+
+TITLES_SQL = "SELECT p_partkey AS id, replace(list_extract([" + ", ".join("'" + t.replace("'", "''") + "'" for t in TITLES) + f"], CAST(p_partkey % {len(TITLES)} + 1 AS BIGINT)), '{{n}}', CAST(p_partkey AS VARCHAR)) AS title FROM part"
 
 
 def _calls(dmy: str, before: str, ymd: str, month, day: str, year: str, source: str, shift: str) -> str:

@@ -4,18 +4,30 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def shared_path(spark: SparkSession, label: str) -> str | None:
+    """A fresh path in the folder that the cluster names in ``spark.checkpoint.dir``; None where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}" if base else None
+
+
 def kept(df: DataFrame, label: str) -> DataFrame:
-    """Written to the shared checkpoint folder and read back; cached where no such folder is named."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not base:
+    """Written to the shared checkpoint folder and read back.
+
+    Without such a folder a session in one process caches instead; on a cluster that
+    is an error, as lineage would grow from round to round.
+    """
+    spark = df.sparkSession
+    path = shared_path(spark, label)
+    if path is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         return df.cache()
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def config(defaults: dict, overrides: dict | None) -> dict:
@@ -40,10 +52,9 @@ def select_sources(sources: DataFrame, asked: str | None) -> DataFrame:
     wanted = (asked or "").strip().lower()
     if not wanted:
         return sources
-    exact = F.lower("name") == wanted
-    near = sources.filter(F.contains(F.lower("name"), F.lit(wanted))).withColumn("__exact", exact)
-    any_exact = near.agg(F.max("__exact").alias("__any"))
-    return near.crossJoin(F.broadcast(any_exact)).filter(F.col("__exact") | ~F.col("__any")).drop("__exact", "__any")
+    near = sources.filter(F.contains(F.lower("name"), F.lit(wanted))).withColumn("__exact", F.lower("name") == wanted)
+    any_exact = F.max("__exact").over(Window.partitionBy(F.lit(0)))  # sources are few
+    return near.withColumn("__any", any_exact).filter(F.col("__exact") | ~F.col("__any")).drop("__exact", "__any")
 
 
 def swap_in(df: DataFrame, root: str, version: str) -> str:

@@ -23,7 +23,10 @@ def follow(stream: DataFrame, root: str, checkpoint: str, **options) -> Streamin
             before = spark.read.parquet(f"{root}/v-{epoch - 1}") if epoch else spark.createDataFrame([], H.SCHEMA)
         except Exception as e:
             raise RuntimeError(f"version {epoch - 1} of {root} is missing") from e
-        last = batch.withColumn("__n", F.row_number().over(Window.partitionBy("key").orderBy(F.col("title").desc(), F.col("status").desc()))).filter("__n = 1").drop("__n")
-        storage.swap_in(H.upsert(before, last, epoch + 1), root, str(epoch))
+        if "position" not in batch.columns:
+            # Rows of one micro-batch have no order of their own: the greatest title, then status, is the last.
+            order = Window.partitionBy("key").orderBy("title", "status")
+            batch = batch.withColumn("position", F.row_number().over(order))
+        storage.swap_in(H.upsert(before, batch, epoch + 1), root, str(epoch))
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(options or {"availableNow": True})).start()

@@ -110,6 +110,53 @@ def test_history_keeps_demotes_and_changes(spark):
     assert second[3].status == "aberto" and second[3].changed_run is None
 
 
+def test_history_fields_repeats_and_turns(spark):
+    schema = "key long, title string, status string, source string, position int, turn int, region string, points int, attachments array<string>, warnings array<string>"
+    batch = lambda *r: spark.createDataFrame(r, schema)
+    first = history.upsert(
+        spark.createDataFrame([], history.SCHEMA),
+        batch((1, "Old A", "futuro", "s", 0, 0, "es", 1, ["a"], []), (1, "Call A", "aberto", "t", 5, 1, "br", 2, ["b"], []), (2, "Call B", "aberto", "s", 1, 0, "es", 3, [], ["w"]), (3, "Call Italy mobility 2025", "encerrado", "s", 2, 0, "es", 4, [], [])),
+        1,
+    )
+    assert {(r.key, r.title, r.status, r.source, r.region, r.points) for r in first.collect()} == {(1, "Call A", "aberto", "s", "br", 2), (2, "Call B", "aberto", "s", "es", 3), (3, "Call Italy mobility 2025", "encerrado", "s", "es", 4)}
+    turns = spark.createDataFrame([("s", 0), ("t", 1)], "source string, turn int")
+    second = history.upsert(
+        first,
+        batch((1, "", "aberto", "t", 0, 1, "xx", 9, [], []), (4, "Call Italy mobility 2027", "aberto", "s", 3, 0, "es", 4, [], []), (5, "Call Italy mobility 2026", "aberto", "s", 2, 0, "es", 4, [], []), (6, "Call Italy mobility 2026 again", "aberto", "s", 9, 0, "es", 4, [], [])),
+        2,
+        turns,
+    )
+    got = {r.key: r for r in second.collect()}
+    assert len(got) == 6 and got[1].changes == ["status: verificar to aberto"] and (got[1].title, got[1].region, got[1].points, got[1].attachments) == ("Call A", "br", 9, ["b"])
+    assert got[2].status == "verificar" and got[2].warnings == ["w", history.WARNING] and got[2].changes == [history.LOST]
+    assert (got[4].new_edition_of, got[4].previous_year) == ("3", 2025) and (got[5].new_edition_of, got[5].previous_year) == ("3", 2025) and got[3].new_edition_of is None
+    assert {r.n for r in second.filter("key in (4, 5)").select(history.novelty(2).alias("n")).collect()} == {"nova_edicao"}
+
+
+def test_rule_tables_are_read(spark, tmp_path):
+    import json
+
+    from callscope.operators import lexicon
+
+    write = lambda name, x: (tmp_path / name).write_text(json.dumps(x), "utf-8") and str(tmp_path / name)
+    profile = lexicon.load_profile(write("p.json", {"_leia": "x", "limiar_aderencia": 25, "eixos": {"a": {"rotulo": "A", "peso": 9, "termos": ["Ação  Conjunta"], "temas": ["t"]}, "_n": {}}, "sinais_fomento": ["Bolsa"], "publicos": {"p": ["Aluno"], "_x": []}}))
+    assert profile.axes == (lexicon.Axis("a", "A", 9, ("acao conjunta",), ("t",)),) and profile.funding == ("bolsa",) and profile.threshold == 25 and profile.audiences == {"p": ("aluno",)}
+    themes, statuses, noise = lexicon.load_themes(write("t.json", {"temas_interesse": {"internacional": {"prioridade": 1, "palavras": ["Exterior"]}, "b": {"palavras": ["Pós-graduação"]}}, "status_edital": {"resultado": {"palavras": ["final"]}, "encerrado": {"palavras": ["fim"]}, "_l": "x"}, "ruido": {"palavras": ["Home"]}}))
+    assert themes[0].words[0] == "exterior" and "germany" in themes[0].words and themes[1] == lexicon.Theme("b", 3, ("pos graduacao",))
+    assert statuses == (("encerrado", ("fim",)), ("resultado", ("final",))) and noise == ("home",)
+    rules, weights = lexicon.load_restrictions(write("r.json", {"restricoes": [{"programa": "P", "padrao": "x+", "exige": "y", "impacto": "bloqueia"}, {"programa": "Q", "padrao": "(x"}], "peso_por_fonte": {"_l": "x", "S": 1.2}}))
+    assert rules == (lexicon.Restriction("P", "x+", "y", "bloqueia"),) and weights == {"S": 1.2}
+    row = spark.createDataFrame([("Chamada em Germany", "https://x.org/chamada-1")], "t string, u string").select(scoring.classified(F.col("t"), F.col("u"), themes=themes, statuses=statuses, noise_words=noise).alias("c")).first().c
+    assert row.tags == ["internacional"] and row.status == "aberto" and row.points == 18
+
+
+def test_navigation_and_titles(spark):
+    menus = ["Regimento interno da universidade", "Licitações e contratos do estado", "Bolsas no exterior", "Como funciona o programa", "Atas da comissão", "", None]
+    calls = ["Edital 3 de pesquisa", "Chamada Transnacional Conjunta Biodiversa+ (BiodivConnect) para projetos de pesquisa", "Termo aditivo"]
+    rows = spark.createDataFrame([(t,) for t in menus + calls], "t string")
+    assert [r.m for r in rows.select(extraction.is_navigation(F.col("t")).alias("m")).collect()] == [True] * len(menus) + [False] * len(calls)
+
+
 def test_inbound_only_is_not_relevant(spark):
     rows = spark.createDataFrame([("Chamada: estudantes internacionais podem cursar mestrado no Brasil, mobilidade academica internacional. Prazo 01/12/2026",)], "t string")
     row = scoring.evaluate(rows, "t", "2026-08-20").first()
