@@ -1,19 +1,37 @@
-"""Dates in free text, deadline choice and status, as Column expressions.
+"""Dates in free text, deadline choice and status.
 
 Patterns are matched in the normalised text, so spans and context windows index
-the same string.
+the same string. The rules are SQL expressions over a column that holds that text
+once (``with_norm``): they are long, and as text they are built once, when this
+module is read.
 """
 
 from __future__ import annotations
 
+import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions import cues
-from callscope.functions.text import contains_any, mend_year, normalise
+from callscope.functions.text import mend_year, normalise
 
 _NAMES = "|".join(sorted(cues.MONTHS, key=len, reverse=True))
+NORM = "__norm"
+
+
+def quoted(pattern: str) -> str:
+    """A pattern as a raw SQL string."""
+    if "'" in pattern:
+        raise ValueError(f"a quote in {pattern}")
+    return f"r'{pattern}'"
+
+
+def any_of(text: str, terms) -> str:
+    """Whether any term is a substring, as SQL."""
+    return f"rlike({text}, {quoted('|'.join(map(re.escape, terms)))})"
+
+
 # The written forms of dates and what stands before a closing date.
 _KINDS = (
     ("dmy", r"(?<!\d)\d{1,2}\s*[./-]\s*\d{1,2}\s*[./-]\s*20[0-4]\d(?!\d)"),
@@ -23,117 +41,125 @@ _KINDS = (
 )
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value evaluated once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
+def _let(value: str, name: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-def _spans(text: Column, kind: str, pattern: str) -> Column:
-    """Dates of one pattern with offsets: what lies between the matches and the matches' lengths add up."""
-    lengths = lambda xs, i: F.aggregate(F.slice(xs, 1, i), F.lit(0), lambda n, x: n + F.length(x))
 
-    def place(pair: Column) -> Column:
-        found, gaps = pair["found"], pair["gaps"]
-        start = lambda i: lengths(gaps, i + 1) + lengths(found, i)
-        return F.transform(found, lambda m, i: F.struct(start(i).alias("start"), _date(kind, m).alias("day"), (start(i) + F.length(m)).alias("end")))
+_MONTH = "map(" + ", ".join(f"'{k}', '{v:02d}'" for k, v in cues.MONTHS.items()) + ")"
+_NONE = "CAST(array() AS array<struct<start:int,day:date,end:int>>)"
 
-    def spread(found: Column) -> Column:
-        none = F.array().cast("array<struct<start:int,day:date,end:int>>")
-        return F.when(F.size(found) == 0, none).otherwise(let(F.struct(found.alias("found"), F.split(text, pattern, -1).alias("gaps")), place))
 
-    return let(F.regexp_extract_all(text, F.lit(pattern), 0), spread)
-
-
-def _date(kind: str, text: Column) -> Column:
-    months = F.create_map(*[F.lit(x) for k, v in cues.MONTHS.items() for x in (k, f"{v:02d}")])
-    parts = F.regexp_extract_all(F.regexp_replace(text, r"(?<=\d)(?:st|nd|rd|th)\b|\bde\b", " "), F.lit("[a-z]+|[0-9]+"), 0)
+def _date(kind: str, named: bool, text: str) -> str:
+    """The day that a match names, null if there is no such day."""
     d, m, y = {"dmy": (0, 1, 2), "ymd": (2, 1, 0), "mdy": (1, 0, 2)}[kind]
-    part = lambda i: F.get(parts, F.lit(i))
-    month = F.coalesce(F.try_element_at(months, part(m)), F.lpad(part(m), 2, "0"))
-    return F.try_to_date(F.concat_ws("-", part(y), month, F.lpad(part(d), 2, "0")), "yyyy-MM-dd")
-
+    month = f"lpad(get(p, {m}), 2, '0')"
+    month = f"coalesce(try_element_at({_MONTH}, get(p, {m})), {month})" if named else month
+    day = f"try_to_date(concat_ws('-', get(p, {y}), {month}, lpad(get(p, {d}), 2, '0')), 'yyyy-MM-dd')"
+    return _let(f"regexp_extract_all(regexp_replace({text}, {quoted(r'(?<=\d)(?:st|nd|rd|th)\b|\bde\b')}, ' '), '[a-z]+|[0-9]+', 0)", "p", day)
 
-def _dates_in(norm: Column) -> Column:
-    every = F.array_sort(F.filter(F.concat(*[_spans(norm, k, p) for k, p in _KINDS]), lambda s: s["day"].isNotNull()))
 
-    def distinct(dates: Column) -> Column:
-        twin = lambda s, i: F.exists(F.slice(dates, 1, i), lambda o: (o["day"] == s["day"]) & (F.floor(o["start"] / 4) == F.floor(s["start"] / 4)))
-        return F.filter(dates, lambda s, i: ~twin(s, i))
+def _spans(text: str, kind: str, pattern: str) -> str:
+    """Dates of one pattern with offsets, kept running over the matches and what lies between them."""
+    pairs = f"zip_with(found, slice(split({text}, {quoted(pattern)}, -1), 1, size(found)), (m, g) -> struct(m AS m, g AS g))"
+    one = f"struct(x.at + length(s.g) AS start, {_date(kind, 'a' in pattern, 's.m')} AS day, x.at + length(s.g) + length(s.m) AS end)"
+    step = f"(x, s) -> struct(x.at + length(s.g) + length(s.m) AS at, array_append(x.out, {one}) AS out)"
+    run = f"aggregate({pairs}, struct(0 AS at, {_NONE} AS out), {step}, x -> x.out)"
+    return _let(f"regexp_extract_all({text}, {quoted(pattern)}, 0)", "found", f"if(size(found) = 0, {_NONE}, {run})")
 
-    none = F.array().cast("array<struct<start:int,day:date,end:int>>")
-    return F.when(norm.rlike(r"20[0-4]\d"), let(every, distinct)).otherwise(none)
 
-
-def all_dates(text: Column) -> Column:
+def _all_dates(text: str) -> str:
     """array<struct<start, day, end>> in order, invalid days dropped, one a (day, start / 4)."""
-    return let(normalise(mend_year(text)), _dates_in)
+    every = f"array_sort(filter(concat({', '.join(_spans(text, k, p) for k, p in _KINDS)}), d -> d.day IS NOT NULL))"
+    # Twins begin within four characters, so they stand side by side: four patterns, four places.
+    twin = "exists(slice(dates, greatest(i - 15, 1), least(i, 16)), o -> o.day = d.day AND floor(o.start / 4) = floor(d.start / 4))"
+    return f"if(rlike({text}, {quoted(r'20[0-4]\d')}), {_let(every, 'dates', f'filter(dates, (d, i) -> NOT {twin})')}, {_NONE})"
 
 
+# What stands before a closing date; windows and points of a date's surroundings.
 _CLOSING = r"(?:\bate\b|deadline|encerramento|closing date|close(?:s|d)?(?: on)?|apply by|submission deadline).{0,35}$"
+_POINTS = (
+    ((150, 150), lambda t: any_of(t, cues.DEADLINE), 8),
+    ((150, 150), lambda t: f"rlike({t}, {quoted(r'\b(?:ate|until|by)\b')})", 3),
+    ((150, 150), lambda t: any_of(t, cues.NOT_A_DEADLINE), -4),
+    ((55, 55), lambda t: any_of(t, cues.DEADLINE), 5),
+    ((90, None), lambda t: any_of(t, cues.OPENING_BEFORE), -20),
+    ((90, None), lambda t: f"rlike({t}, {quoted(_CLOSING)})", 8),
+)
 
 
-def _score(norm: Column, s: Column) -> Column:
-    """Points of one date by what stands around it; windows and points are fixed values."""
-    size = F.length(norm)
-    cut = lambda a, b: F.substr(norm, F.greatest(a, F.lit(0)) + 1, F.least(b, size) - F.greatest(a, F.lit(0)))
-    around, near, before = cut(s["start"] - 150, s["end"] + 150), cut(s["start"] - 55, s["end"] + 55), cut(s["start"] - 90, s["start"])
-    on = lambda c, n: F.when(c, n).otherwise(0)
-    return (
-        on(contains_any(around, cues.DEADLINE), 8)
-        + on(around.rlike(r"\b(?:ate|until|by)\b"), 3)
-        + on(contains_any(around, cues.NOT_A_DEADLINE), -4)
-        + on(contains_any(near, cues.DEADLINE), 5)
-        + on(contains_any(before, cues.OPENING_BEFORE), -20)
-        + on(before.rlike(_CLOSING), 8)
-    )
+def _score(text: str, d: str) -> str:
+    """Points of one date by what stands around it."""
+
+    def around(before: int, after: int | None) -> str:
+        start = f"greatest({d}.start - {before}, 0)"
+        end = f"{d}.start" if after is None else f"least({d}.end + {after}, length({text}))"
+        return f"substr({text}, {start} + 1, {end} - {start})"
 
+    return " + ".join(f"if({test(around(*window))}, {points}, 0)" for window, test, points in _POINTS)
 
-def deadline(text: Column) -> Column:
+
+def _deadline(text: str) -> str:
     """struct<score, day, start, excerpt> of the best date with a positive score; null if none.
 
     The greatest score wins, then the later day, then the later place.
     """
+    scored = f"struct({_score(text, 'd')} AS score, d.day AS day, d.start AS start, substr({text}, greatest(d.start - 150, 0) + 1, 360) AS excerpt)"
+    return _let(_all_dates(text), "dates", f"array_max(filter(transform(dates, d -> {scored}), c -> c.score > 0))")
 
-    def choose(norm: Column) -> Column:
-        scored = lambda dates: F.array_max(F.filter(F.transform(dates, lambda s: F.struct(_score(norm, s).alias("score"), s["day"].alias("day"), s["start"].alias("start"), F.substr(norm, F.greatest(s["start"] - 150, F.lit(0)) + 1, F.lit(360)).alias("excerpt"))), lambda s: s["score"] > 0))
-        return let(_dates_in(norm), scored)
 
-    return let(normalise(mend_year(text)), choose)
+ALL_DATES, DEADLINE = _all_dates(NORM), _deadline(NORM)
 
 
-def status_columns(text: Column, as_of: Column, listed_open: Column | None = None) -> dict[str, Column]:
-    """Status fields by name; ``best`` must first be added by ``with_status``."""
-    norm = normalise(text)
-    is_open, closed, ahead, result = (contains_any(norm, c) for c in (cues.OPEN, cues.CLOSED, cues.FORTHCOMING, cues.RESULT))
-    day = F.col("best")["day"]
-    dated = F.when(day < as_of, "encerrado").when(closed & ~is_open, "encerrado").when(ahead & ~is_open, "futuro").otherwise("aberto")
-    listed = F.lit(False) if listed_open is None else F.coalesce(listed_open, F.lit(False))
-    undated = F.when(result | closed, "encerrado").when(ahead & ~is_open, "futuro").when(is_open | listed, "aberto").otherwise("verificar")
-    trust = F.when(result | closed, 80).when(ahead & ~is_open, 65).when(is_open, 65).when(listed, 55).otherwise(0)
+def with_norm(df: DataFrame, text: str) -> DataFrame:
+    """Adds the text that dates and cues are looked for in: normalised, split years mended."""
+    return settled(df.withColumn(NORM, mend_year(normalise(F.col(text)))))
+
+
+def with_dates(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``dates``: array<struct<start, day, end>> of all dates in order of place."""
+    return with_norm(df, text).withColumn("dates", F.expr(ALL_DATES)).drop(NORM)
+
+
+def with_deadline(df: DataFrame, text: str) -> DataFrame:
+    """Adds ``best``: struct<score, day, start, excerpt> of the date that is the deadline, null if there is none."""
+    return with_norm(df, text).withColumn("best", F.expr(DEADLINE)).drop(NORM)
+
+
+def _status_columns() -> dict[str, str]:
+    """Status fields by name, over the normalised text, ``best``, ``__day`` and ``__listed``."""
+    is_open, closed, ahead, result = (any_of(NORM, c) for c in (cues.OPEN, cues.CLOSED, cues.FORTHCOMING, cues.RESULT))
+    dated = f"CASE WHEN best.day < __day THEN 'encerrado' WHEN {closed} AND NOT {is_open} THEN 'encerrado' WHEN {ahead} AND NOT {is_open} THEN 'futuro' ELSE 'aberto' END"
+    undated = f"CASE WHEN {result} OR {closed} THEN 'encerrado' WHEN {ahead} AND NOT {is_open} THEN 'futuro' WHEN {is_open} OR __listed THEN 'aberto' ELSE 'verificar' END"
+    trust = f"CASE WHEN {result} OR {closed} THEN 80 WHEN {ahead} AND NOT {is_open} THEN 65 WHEN {is_open} THEN 65 WHEN __listed THEN 55 ELSE 0 END"
     return {
-        "status": F.when(day.isNotNull(), dated).otherwise(undated),
-        "deadline": day,
-        "deadline_text": F.date_format(day, "dd/MM/yyyy"),
-        "days_left": F.datediff(day, as_of),
-        "confidence": F.when(day.isNotNull(), F.least(F.lit(100), 45 + 5 * F.col("best")["score"])).otherwise(trust),
-        "excerpt": F.when(day.isNotNull(), F.col("best")["excerpt"]).otherwise(F.lit("")),
+        "status": f"if(best.day IS NOT NULL, {dated}, {undated})",
+        "deadline": "best.day",
+        "deadline_text": "date_format(best.day, 'dd/MM/yyyy')",
+        "days_left": "datediff(best.day, __day)",
+        "confidence": f"if(best.day IS NOT NULL, least(100, 45 + 5 * best.score), {trust})",
+        "excerpt": "if(best.day IS NOT NULL, best.excerpt, '')",
     }
 
 
-def settled(df):
+_STATUS = _status_columns()
+
+
+def settled(df: DataFrame) -> DataFrame:
     """The same rows behind a generator: filters on worked-out columns stop here.
 
     Catalyst pushes a filter below projections by writing out each column it
     names, which would work long text rules out twice or more.
     """
-    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    return df.selectExpr("inline(array(struct(*)))")
 
 
-def with_status(df, text: str, as_of: str, listed_open: Column | None = None):
-    """Adds status, deadline, deadline_text, days_left, confidence and excerpt."""
-    day = F.lit(as_of).cast("date")
-    found = df.withColumn("best", deadline(F.col(text)))
-    return settled(found.withColumns(status_columns(F.col(text), day, listed_open)).drop("best"))
+def with_status(df: DataFrame, text: str, as_of: str, listed_open: Column | None = None, keep_norm: bool = False) -> DataFrame:
+    """Adds status, deadline, deadline_text, days_left, confidence and excerpt; with ``keep_norm`` the normalised text as well."""
+    listed = F.lit(False) if listed_open is None else F.coalesce(listed_open, F.lit(False))
+    rows = df.withColumns({NORM: mend_year(normalise(F.col(text))), "__day": F.lit(as_of).cast("date"), "__listed": listed})
+    found = settled(settled(rows).withColumn("best", F.expr(DEADLINE)))
+    kept = [F.col(f"`{c}`") for c in (*df.columns, *([NORM] if keep_norm else [])) if c not in _STATUS]
+    return settled(found.select(*kept, *[F.expr(x).alias(c) for c, x in _STATUS.items()]))
 
 
 def refreshed_status(status: Column, day: Column, last_seen: Column, as_of: Column, stale_days: int = 7) -> Column:

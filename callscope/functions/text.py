@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 from callscope.functions import cues
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _plain_letters() -> tuple[str, str, list[tuple[str, str]]]:
     """Every character below U+2200, and ligature, whose compatibility form is other ASCII text, from the Unicode rule."""
     one, to, many = [], [], []
@@ -33,12 +38,14 @@ _LIGATURES = "ﬀﬁﬂﬃﬄĲĳ"
 def strip_accents(text: Column) -> Column:
     """Compatibility form without combining marks; case and spaces stay. Native for all Latin text.
 
-    ASCII text passes after one look.
+    ASCII text passes after one look, ligatures are spread only where there are any.
     """
     out = F.regexp_replace(F.translate(text, _FROM, _TO), r"\p{M}+", "")
+    spread = out
     for char, plain in _MANY:
         if char in _LIGATURES:
-            out = F.replace(out, F.lit(char), F.lit(plain))
+            spread = F.replace(spread, F.lit(char), F.lit(plain))
+    out = F.when(out.rlike(f"[{_LIGATURES}]"), spread).otherwise(out)
     return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text)
 
 
@@ -163,20 +170,26 @@ def clean_title(title: Column, prefixes=cues.TITLE_PREFIXES, body_cues=cues.BODY
     t = squeeze(t)
     for p in prefixes:
         t = F.trim(F.regexp_replace(t, f"(?iU){p}", ""))
-    cut = None
-    for p in body_cues:
-        head = F.regexp_extract(t, f"(?isU)^(.*?){p}", 1)
-        found = t.rlike(f"(?iU){p}") & (F.length(head) >= 12)
-        cut = F.when(found, F.trim(head)) if cut is None else cut.when(found, F.trim(head))
-    t = t if cut is None else cut.otherwise(t)
-    short = F.substring(t, 1, limit)
-    ended = None
-    for sep in SEPARATORS:
-        kept = F.length(short) - F.length(F.substring_index(short, sep, -1)) - len(sep)
-        ok = F.contains(short, F.lit(sep)) & (kept > 40)
-        part = F.substr(short, F.lit(1), kept)
-        ended = F.when(ok, part) if ended is None else ended.when(ok, part)
-    return F.regexp_replace(F.when(F.length(t) > limit, F.trim(ended.otherwise(short))).otherwise(t), r"[ .,;:\-–—|]+$", "")
+
+    def cut_body(t: Column) -> Column:
+        cut = None
+        for p in body_cues:
+            head = F.regexp_extract(t, f"(?isU)^(.*?){p}", 1)
+            found = F.length(head) >= 12  # empty where the cue is not found
+            cut = F.when(found, F.trim(head)) if cut is None else cut.when(found, F.trim(head))
+        return t if cut is None else cut.otherwise(t)
+
+    def shorten(t: Column) -> Column:
+        short = F.substring(t, 1, limit)
+        ended = None
+        for sep in SEPARATORS:
+            kept = F.length(short) - F.length(F.substring_index(short, sep, -1)) - len(sep)
+            ok = F.contains(short, F.lit(sep)) & (kept > 40)
+            part = F.substr(short, F.lit(1), kept)
+            ended = F.when(ok, part) if ended is None else ended.when(ok, part)
+        return F.regexp_replace(F.when(F.length(t) > limit, F.trim(ended.otherwise(short))).otherwise(t), r"[ .,;:\-–—|]+$", "")
+
+    return let(let(t, cut_body), shorten)
 
 
 def signature_tokens(title: Column) -> Column:

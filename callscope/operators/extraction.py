@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import cues
 from callscope.functions.dates import settled
-from callscope.functions.text import contains_any, file_type, generic_label, glued_cases, host_of, is_next_label, normalise_words, path_of, squeeze, strip_accents
+from callscope.functions.text import contains_any, file_type, generic_label, glued_cases, host_of, is_next_label, let, normalise_words, path_of, squeeze, strip_accents
 from callscope.sources.blocks import listing_links
 
 # Hosts and patterns of share links.
@@ -159,12 +159,15 @@ def is_navigation(title: Column, patterns=cues.NAVIGATION, sections=()) -> Colum
 
     Long titles with glued cases are menus unless they are marked or numbered as a call.
     """
-    t = F.lower(squeeze(strip_accents(F.coalesce(title, F.lit("")))))
     marked = F.coalesce(title.rlike("(?iU)" + cues.OPPORTUNITY_MARKS), F.lit(False))
-    numbered = t.rlike(r"\bn[ºo°]?\s*\d|\b\d{1,3}/\d{4}\b")
-    glued = ~marked & (F.length(t) > 55) & ~numbered & (glued_cases(title) >= 1)
-    listed = t.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
-    return (t == "") | (t.isin(*sections) if sections else F.lit(False)) | listed | glued
+
+    def judge(t: Column) -> Column:
+        numbered = t.rlike(r"\bn[ºo°]?\s*\d|\b\d{1,3}/\d{4}\b")
+        glued = (F.length(t) > 55) & ~marked & ~numbered & (glued_cases(title) >= 1)
+        listed = t.rlike("(?i)" + "|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
+        return (t == "") | (t.isin(*sections) if sections else F.lit(False)) | listed | glued
+
+    return let(F.lower(squeeze(strip_accents(F.coalesce(title, F.lit(""))))), judge)
 
 
 def next_pages(pages: DataFrame) -> DataFrame:

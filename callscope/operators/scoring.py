@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callscope.functions import cues
-from callscope.functions.dates import let, settled, with_status
-from callscope.functions.text import contains_any, matches_any, noise, normalise, normalise_words, path_of, prefix_pattern, slug_title, strip_accents
+from callscope.functions.dates import NORM, settled, with_status
+from callscope.functions.text import contains_any, let, matches_any, noise, normalise, normalise_words, path_of, prefix_pattern, slug_title, strip_accents
 from callscope.operators import lexicon as L
 
 
 def _strings(values) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    if not values:
+        return F.array().cast("array<string>")
+    return F.expr("array(" + ", ".join("'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values) + ")")
 
 
 def axis_hits(norm: Column, profile: L.Profile) -> Column:
@@ -67,9 +69,9 @@ def prequalified(norm: Column, score: Column, axes: Column, profile: L.Profile,
 
 def evaluate(df: DataFrame, text: str, as_of: str, profile: L.Profile = L.PROFILE, curated: Column | None = None, need_local: Column | None = None) -> DataFrame:
     """Status, signals, score 0-100, relevance, themes, audience and warnings of every row."""
-    rows = with_status(df, text, as_of).withColumn("norm", normalise(F.col(text)))
-    norm, axes = F.col("norm"), F.col("axes")
-    rows = rows.withColumn("axes", axis_hits(norm, profile)).withColumn("why_international", international_reason(norm, profile, curated))
+    rows = with_status(df, text, as_of, keep_norm=True)
+    norm, axes = F.col(NORM), F.col("axes")
+    rows = settled(rows.withColumns({"axes": axis_hits(norm, profile), "why_international": international_reason(norm, profile, curated)}))
     rows = rows.withColumns(
         {
             "international": F.col("why_international").isNotNull(),
@@ -106,7 +108,7 @@ def evaluate(df: DataFrame, text: str, as_of: str, profile: L.Profile = L.PROFIL
             "audience": F.array_compact(F.array(*[warn(contains_any(norm, t), k) for k, t in profile.audiences.items()])),
             "warnings": F.array_compact(F.array(warn(F.col("inbound_only"), "inbound mobility"), warn(F.col("public_only"), "public institutions only"), warn(F.col("status") == "verificar", "deadline not confirmed"), warn(unlocal, "no local connection"))),
         }
-    ).drop("norm")
+    ).drop(NORM)
     return settled(rows)
 
 

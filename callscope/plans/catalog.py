@@ -53,8 +53,7 @@ STATUS = f"CASE WHEN v = 5 THEN 'encerrado' WHEN v = 7 THEN 'aberto' WHEN deadli
 
 @query(f"WITH {CALLS} SELECT call_id, {FOUND} AS found, CASE WHEN v IN (0, 2, 3, 4) THEN 24 WHEN v IN (1, 6) THEN 21 END AS score FROM calls")
 def deadline_extract(spark: SparkSession, d: str) -> DataFrame:
-    best = dates.deadline(F.col("text"))
-    return X.calls(spark, d).withColumn("best", best).select("call_id", F.col("best.day").alias("found"), F.col("best.score").alias("score"))
+    return dates.with_deadline(X.calls(spark, d), "text").select("call_id", F.col("best.day").alias("found"), F.col("best.score").alias("score"))
 
 
 @query(f"""WITH {CALLS} SELECT call_id, {STATUS} AS status, {FOUND} AS deadline, strftime({FOUND}, '%d/%m/%Y') AS deadline_text,
@@ -93,7 +92,7 @@ def urgency_buckets(spark, d):
     + CASE v WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE -1 END AS INTEGER) AS start, deadline AS day FROM calls WHERE v <> 7
 UNION ALL SELECT call_id, CAST(strpos(text, strftime(deadline - 60, '%d/%m/%Y')) - 1 AS INTEGER), deadline - 60 FROM calls WHERE v = 4""")
 def all_dates_explode(spark, d):
-    return X.calls(spark, d).select("call_id", F.inline(dates.all_dates(F.col("text")))).select("call_id", "start", "day")
+    return dates.with_dates(X.calls(spark, d).select("call_id", "text"), "text").select("call_id", F.inline("dates")).select("call_id", "start", "day")
 
 
 # Text functions
@@ -251,6 +250,50 @@ def priority_ranking(spark, d):
     return rows.select("call_id", F.floor(F.col("priority") + 0.0001).cast("int").alias("whole"), scoring.fit_label(F.col("priority")).alias("fit"))
 
 
+@query(_EVAL + f" SELECT call_id, {_has('n', cues.LOCAL)} AS local, relevant AND {_has('n', cues.LOCAL)} AS relevant FROM g")
+def local_connection(spark, d):
+    """Calls that must name a local connection to be relevant."""
+    texts = X.calls(spark, d).drop("deadline").withColumn("text", F.when(F.col("call_id") % 2 == 0, F.concat(F.lit("Pesquisadores do Brasil. "), "text")).otherwise(F.col("text")))
+    rows = scoring.evaluate(texts, "text", AS_OF, need_local=F.lit(True))
+    return rows.select("call_id", "local", "relevant")
+
+
+ORACLE_SQL["local_connection"] = ORACLE_SQL["local_connection"].replace(f"{_norm('text')} AS n", f"{_norm("CASE WHEN call_id % 2 = 0 THEN concat('Pesquisadores do Brasil. ', text) ELSE text END")} AS n")
+
+_MERGED = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {test} THEN '{k}' END" for k, test in {
+    t.key: " OR ".join([f"list_contains(tags, '{t.key}')", *[_has("n", a.terms) for a in L.PROFILE.axes if t.key in a.themes], *(["intl"] if t.key == "internacional" else []), *([_has("n", L.PROFILE.funding)] if t.key == "bolsas" else [])]) for t in sorted(L.THEMES, key=lambda t: t.priority)
+}.items()) + "], lambda x: x IS NOT NULL), ',')"
+
+
+@query(_EVAL.replace("n AS (SELECT call_id,", f"n AS (SELECT call_id, {_words('text')} AS w,") + f", t AS (SELECT *, {_TAGS.replace('(n,', '(w,')} AS tags FROM g) SELECT call_id, {_MERGED} AS themes FROM t")
+def merged_themes(spark, d):
+    """Themes found by words and those that the axes suggest, in the order of the theme table."""
+    rows = scoring.evaluate(X.calls(spark, d).drop("deadline"), "text", AS_OF)
+    tags = scoring.theme_tags(T.normalise_words(F.col("text")))
+    return rows.select("call_id", F.array_join(scoring.merged_themes(tags, F.col("themes")), ",").alias("themes"))
+
+
+@query("SELECT p_partkey AS id, p_partkey % 3 = 0 AS public_only, CASE WHEN p_partkey % 3 = 0 THEN 'restricao_conhecida' WHEN p_partkey % 3 = 1 THEN 'via_individual' ELSE 'sem_catalogo' END AS eligibility FROM part")
+def public_only(spark, d):
+    """A text that limits a call to public institutions blocks it, whatever else the catalogue says."""
+    said = F.element_at(F.array(*map(F.lit, ("Joint research call. Somente instituições públicas podem participar", "Joint research call para todas as instituições públicas e privadas", "Aberto a todos"))), (F.col("p_partkey") % 3 + 1).cast("int"))
+    rows = scoring.evaluate(table(spark, d, "part").select(F.col("p_partkey").alias("id"), said.alias("text")), "text", AS_OF)
+    found = scoring.with_public_only(scoring.restrictions(F.col("text"), F.lit("")), F.col("public_only"))
+    return rows.select("id", "public_only", scoring.eligibility(found).alias("eligibility"))
+
+
+_CLASS_TEXT = f"concat_ws(' ', {_words('title')}, {_words("'chamada ' || call_id || ' ' || right(title, 4)")}, {_words("replace(replace(url, '-', ' '), '/', ' ')")}, {_words('text')})"
+
+
+@query(f"""WITH {CALLS}, {_TITLES}, x AS (SELECT call_id, {_CLASS_TEXT} AS n FROM titles JOIN calls USING (call_id)), t AS (SELECT call_id, {_TAGS} AS tags, {_DOC_STATUS} AS doc_status FROM x), p AS (SELECT *, {_POINTS} AS p FROM t WHERE len(tags) > 0)
+SELECT call_id, array_to_string(tags, ',') AS tags, doc_status, CAST(CASE doc_status WHEN 'resultado' THEN greatest(1, floor(p * 0.45)) WHEN 'retificacao' THEN greatest(1, floor(p * 0.7)) WHEN 'encerrado' THEN greatest(1, floor(p * 0.25)) ELSE p END AS INTEGER) AS points FROM p""")
+def classified_calls(spark, d):
+    """Links by title, slug, address and text; those without a theme are left out."""
+    rows = _titles(spark, d).join(X.calls(spark, d).select("call_id", "text"), "call_id")
+    found = dates.settled(rows.select("call_id", scoring.classified(F.col("title"), F.col("url"), F.col("text")).alias("c"))).filter("c is not null")
+    return found.select("call_id", F.array_join("c.tags", ",").alias("tags"), F.col("c.status").alias("doc_status"), F.col("c.points").cast("int").alias("points"))
+
+
 _AUDIENCE = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_has('n', terms)} THEN '{k}' END" for k, terms in L.PROFILE.audiences.items()) + "], lambda x: x IS NOT NULL), ',')"
 
 
@@ -591,6 +634,32 @@ def config_lint(spark, d):
     return lint.findings(spark.createDataFrame(_SOURCES, lint.SCHEMA)).groupBy("name", "level", "rule").agg(F.count("*").alias("n"))
 
 
+_FIXED = [("A", "https://a.org/x?pg=1&pg=2", "https://a.org", ""), ("A", "https://a.org/list", "https://a.org", "scheme of a url,root"), ("B", "", "", ""), ("C", "https://www.c.org/?status=closed https://c.org/a=b", "https://c.org", "")]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{u}', '{r}', '{x}')" for n, u, r, x in _FIXED) + ") AS t(name, urls, root, fixes)")
+def config_fixed(spark, d):
+    """The sources above with their safe corrections, and what was corrected."""
+    return lint.fixed(spark.createDataFrame(_SOURCES, lint.SCHEMA)).select("name", F.array_join("urls", " ").alias("urls"), "root", F.array_join("fixes", ",").alias("fixes"))
+
+
+@query("SELECT * FROM (VALUES ('pages', '9'), ('quiet', 'true'), ('title', 'x')) AS t(key, value)")
+def config_overlay(spark, d):
+    """Defaults under overrides; notes are left out."""
+    found = storage.config({"pages": "3", "quiet": "true"}, {"pages": "9", "title": "x", "_note": "y"})
+    return spark.createDataFrame(sorted(found.items()), "key string, value string")
+
+
+@query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0")
+def versioned_state(spark, d):
+    """A state written twice: readers see the last whole version, and a name that was never written is an empty table."""
+    root = storage.scratch(spark, "state")
+    rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    storage.swap_in(rows, root, "1")
+    storage.swap_in(rows.filter("id % 2 = 0"), root, "2")
+    return storage.read_current(spark, root).unionByName(storage.read_json_or(spark, f"{root}/never", "id long, name string"))
+
+
 _PANEL = _EVAL + ", " + _RESTR + ", q AS (SELECT call_id, status, n, (score * CASE status WHEN 'encerrado' THEN 0.15 ELSE 1.0 END)::DOUBLE AS priority, CASE source_no % 3 WHEN 0 THEN 'es' WHEN 1 THEN 'nacional' ELSE 'internacional' END AS region, CASE WHEN blk THEN 'restricao_conhecida' WHEN fav THEN 'via_individual' WHEN att THEN 'verificar' ELSE 'sem_catalogo' END AS eligibility FROM r)"
 
 
@@ -746,6 +815,14 @@ def collect_accepted(spark, d):
     return collect.accepted(_collected(spark, d)).select("position", "source", F.col("score").cast("int").alias("score"), "deadline", "place")
 
 
+@query(_COLLECT + f" SELECT call_id AS position, CAST(row_number() OVER (ORDER BY score DESC, pre DESC, call_id) AS INTEGER) AS place FROM p WHERE {_WHY} = 'accepted' QUALIFY row_number() OVER (ORDER BY score DESC, pre DESC, call_id) <= 50")
+def accepted_by_fit(spark, d):
+    """The run's report: the first fifty accepted calls, best fit first."""
+    top = collect.by_fit(_collected(spark, d)).select("position", "score", "pre_score", "url").limit(50)
+    w = Window.orderBy(F.col("score").desc(), F.col("pre_score").desc(), "position", "url")
+    return top.select("position", F.row_number().over(w).alias("place"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Every call evaluated, with its eligibility and priority."""
     return _panel(spark, d).select("call_id", "status", "deadline", "days_left", "confidence", "score", "relevant", "active", "axis_keys", "themes", "audience", "eligibility", "priority")

@@ -30,6 +30,11 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A fresh folder in the shared folder, or below the warehouse where none is named."""
+    return shared_path(spark, label) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def config(defaults: dict, overrides: dict | None) -> dict:
     """Overrides on defaults; keys that begin with ``_`` are notes."""
     return defaults | {k: v for k, v in (overrides or {}).items() if not k.startswith("_")}

@@ -30,7 +30,7 @@ def one(spark, value, column):
     ],
 )
 def test_deadline(spark, value, day):
-    found = one(spark, value, dates.deadline(F.col("x")))
+    found = dates.with_deadline(spark.createDataFrame([(value,)], "x string"), "x").first().best
     assert (found.day if found else None) == day
 
 
