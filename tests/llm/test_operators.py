@@ -682,6 +682,87 @@ def test_stage_keeps_one_of_near_copies_by_brute_force(spark, docs, monkeypatch)
         assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, frame, SF).collect()} == want
 
 
+def test_chat_edges(spark, empty):
+    from pyspark.sql import functions as F
+
+    rows = [(1, 1, "user", "b", "x"), (1, 1, "assistant", "a", "x"), (1, 1, "assistant", "a", "x"), (1, None, None, None, "x"), (2, 0, "assistant", "word < \\l " * 40_000, "y"), (None, 0, "user", "no id", "z"), (3, 0, "assistant", "", "z")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, piece string")
+    clash = frame.withColumns({"formatted": F.lit("f"), "m": F.lit(1), "mask": F.lit("k"), "shown": F.lit(2)})
+    back = {r.conv_id: r for r in chat.read_back(chat.format_conversations(clash)).collect()}
+    assert [(t.role, t.text) for t in back[1].turns] == [("", ""), ("assistant", "a"), ("assistant", "a"), ("user", "b")] and back[1].loss == ["a", "a"]
+    assert back[2].turns[0].text == rows[4][3] and back[2].loss == [rows[4][3]] and back[3].loss == [""] and back[None].loss == []
+    assert chat.format_conversations(frame.limit(0)).count() == 0
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    """All other operators over rows that repeat, tie and carry columns named like their own."""
+    from pyspark.sql import functions as F
+
+    texts = ["Released under the MIT License.", "a@b.org is Bob, B. at 10.0.0.1", "same words again and again and again, so it goes on", "", None]
+    rows = [(i % 4, t, "s") for i in range(3) for t in texts for _ in range(2)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clash = frame.withColumns({c: F.lit("x") for c in ("hash", "row", "key", "place", "own", "part", "h", "size", "copies", "score", "n_words", "lines", "words", "root", "node", "fp", "path", "dir", "ids", "name", "content", "label", "figures", "spans", "base", "places")})
+    assert pii.find(clash).count() == pii.sanitise(clash).count() == mixing.mix(clash).count() == rules.assess(clash).count() == len(rows)
+    assert simhash.near_duplicates(clash).count() == lcp.compare_edits(clash).count() == bpe.encode_documents(clash, tokens.default_tokenizer()).count() == len(rows)
+    assert licences.scan(clash.withColumn("path", F.lit("a/x"))).count() == len(rows)
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0)], "doc_id long, quality int")
+    assert quality.classify(clash, labels).count() == len(rows)
+    assert pii.sanitise(clash).columns == simhash.keep_one(clash).columns == mixing.mixed_rows(clash).columns == quality.keep_good(clash, labels).columns == clash.columns
+    assert simhash.keep_one(clash).count() == 4
+
+
+def test_pipeline_stages_by_brute_force(spark, library):
+    """Each stage over what its predecessor kept: kept ids, texts and copies worked out by loops."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    # 1: the fitted field by enumeration for short texts, by the field's own sums for the others
+    field = quality.train(docs, labels)
+    scores = {}
+    for r in docs.select("doc_id", "text").collect():
+        text = r.text or ""
+        scores[r.doc_id] = scored_by_enumeration(field, text) if text.count("\n") < 9 else float(field.score([text])[0])
+    good = stages["quality_classifier"](spark, docs, SF)
+    assert {r.doc_id for r in good.collect()} == {d for d, s in scores.items() if s >= quality.THRESHOLD}
+    # 2: five-word shingles, similarity of 0.8 or more, the least id of each group
+    rows = sorted((r.doc_id, r.text or "") for r in good.select("doc_id", "text").collect())
+    sets = []
+    for _, text in rows:
+        words = re.findall(rb"[^ \t\n\r\x0b\x0c]+", text.encode().lower())
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))})
+    own = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((own[i], own[j]))
+                own = [low if x == high else x for x in own]
+    single = stages["simhash_near_dedup"](spark, good, SF)
+    kept = {rows[i][0]: rows[i][1] for i in range(len(rows)) if own[i] == i}
+    assert {r.doc_id: r.text or "" for r in single.collect()} == kept
+    # 3: spans by a count over all texts, replaced
+    ids_of = sorted(kept)
+    spans = dict(zip(ids_of, disclosed_by_loop([kept[i] for i in ids_of])))
+    clean = stages["pii"](spark, single, SF)
+    want = {i: pii.rewrite(kept[i], spans[i]) for i in ids_of}
+    got = {r.doc_id: (r.text or "", r.n_chars) for r in clean.collect()}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+    assert not any(pii.base_spans(t) for t in want.values() if "[" not in t)
+    # 4: every row as often as the mix takes it, targets met within one document
+    mixed = stages["source_mixing"](spark, clean, SF)
+    taken = Counter(r.doc_id for r in mixed.collect())
+    counts = {r.doc_id: (r.source, r["size"], r.target, r.copies) for r in mixing.mix(clean).collect()}
+    assert {i: n for i, n in taken.items()} == {i: c for i, (_, _, _, c) in counts.items() if c}
+    for source in {s for s, *_ in counts.values()}:
+        mine = [c for c in counts.values() if c[0] == source]
+        assert abs(sum(size * n for _, size, _, n in mine) - mine[0][2]) <= max(size for _, size, _, _ in mine) / 2 + 1e-6
+    # 5: the library's ids
+    coded = stages["bpe"](spark, mixed, SF)
+    assert Counter((r.doc_id, bytes(r.ids)) for r in coded.collect()) == Counter({(i, ids(library, want[i])): n for i, n in taken.items()})
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
