@@ -55,6 +55,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch, so that a worker's memory does not hang on how long the texts are.
+BATCH_BYTES = 8 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session sends them to Python in batches of at most ``BATCH_BYTES`` (or one row)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def bit_table(values: DataFrame, column: str, bits: int) -> bytes:
     """A bit for each value of a long column, modulo ``bits`` (bit i is byte i // 8, i % 8); of that size whatever the rows."""
     # Spark numbers bitmap values from 1: value v is bit v - 1.

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import table, text_or_empty
+from callscope.llm.common import bounded, table, text_or_empty
 
 SKETCH = 64
 LEVELS = 3
@@ -229,7 +229,7 @@ def compare_edits(docs: DataFrame) -> DataFrame:
     ignored.
     """
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs).mapInArrow(_compare, schema)
+    return with_next(docs).transform(bounded).mapInArrow(_compare, schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

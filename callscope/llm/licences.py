@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import materialise, table, text_or_empty
+from callscope.llm.common import bounded, materialise, table, text_or_empty
 
 LEAST, MARGIN = 0.55, 0.1
 SENTENCES = 4
@@ -325,10 +325,10 @@ def scan(files: DataFrame, short: list[tuple[str, str]] | None = None, full: lis
     rows = files.select("doc_id", path.alias("path"), path.rlike(LICENCE_FILE).alias("is_file"), text_or_empty().alias("text"))
     words = frozenset(w for _, t in [*short, *full] for w in tokens(t))
     # One row a template word and one for the number of texts: bounded by the templates.
-    counted = rows.select("text").mapInArrow(_document_frequency(words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    counted = rows.select("text").transform(bounded).mapInArrow(_document_frequency(words), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     df = {r["word"]: r["n"] for r in counted}
     n = df.pop(None, 0)
-    scored = rows.mapInArrow(_scorer(Matcher(short, full, n, df)), f"doc_id {dict(rows.dtypes)['doc_id']}, path string, is_file boolean, own_licence string, own_score double")
+    scored = rows.transform(bounded).mapInArrow(_scorer(Matcher(short, full, n, df)), f"doc_id {dict(rows.dtypes)['doc_id']}, path string, is_file boolean, own_licence string, own_score double")
     scored = materialise(scored.withColumn("dir", F.regexp_replace("path", r"/?[^/]*$", "")), "licences")
     holders = scored.filter("is_file and own_licence is not null").groupBy("dir").agg(F.min_by("own_licence", F.struct(-F.col("own_score"), "path", "own_licence")).alias("given"))
     steps = F.split("dir", "/")

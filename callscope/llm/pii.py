@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import bit_table, materialise, table, text_or_empty
+from callscope.llm.common import bit_table, bounded, materialise, table, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone", "generalised", "removed")
 CONTEXT, GENERALISE, REMOVE = 8, 0.7, 0.9
@@ -192,7 +192,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     pairs = counted.filter("term is not null")
     # A bit per term hash, 512 KB whatever the corpus: it only spares counts that nobody asks for.
     wanted = bit_table(pairs, "term", FILTER_BITS)
-    counts = docs.select(text_or_empty().alias("text")).mapInArrow(_term_counts(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("term_df"))
+    counts = docs.select(text_or_empty().alias("text")).transform(bounded).mapInArrow(_term_counts(wanted), "term long, n long").groupBy("term").agg(F.sum("n").alias("term_df"))
     rows = pairs.join(entities, "entity").join(counts, "term")
     share = disclosure(F.lit(n), *[F.col(c).cast("double") for c in ("term_df", "entity_df", "joint", "contexts")])
     kind = F.when(F.col("own") | (share >= REMOVE), F.lit(5)).when(share >= GENERALISE, F.lit(4))
@@ -207,7 +207,7 @@ def find(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", text_or_empty().alias("text")).withColumn("hash", F.xxhash64("text"))
     out = f"doc_id {dict(rows.dtypes)['doc_id']}, hash long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, places {_PLACES}"
-    found = materialise(rows.mapInArrow(_find, out).withColumn("row", F.monotonically_increasing_id()), "personal-data")
+    found = materialise(rows.transform(bounded).mapInArrow(_find, out).withColumn("row", F.monotonically_increasing_id()), "personal-data")
     terms = materialise(disclosing_terms(docs, found), "disclosing-terms")
     places = found.filter("size(places) > 0").select("row", F.inline("places")).filter("term is not null")
     marked = places.join(terms, ["entity", "term"]).groupBy("row", "start", "end").agg(F.max("kind").alias("kind"))
@@ -251,7 +251,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     spans = find(docs).filter("spans <> ''").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("hash").alias("__hash"), F.col("spans").alias("__spans")).dropDuplicates(["__id", "__hash"])
     keyed = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__hash": F.xxhash64(text_or_empty())})
     rows = keyed.join(spans, ["__id", "__hash"], "left").select(*[F.col(f"`{c}`") for c in docs.columns], "__spans")
-    done = rows.mapInArrow(_rewrite, docs.schema)
+    done = rows.transform(bounded).mapInArrow(_rewrite, docs.schema)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.llm.common import table, text_or_empty, windows
+from callscope.llm.common import bounded, table, text_or_empty, windows
 
 #: Bounds of the fit: labelled texts a class, lines of a text, lines a class.
 SAMPLE, CHAIN, LINES = 1500, 1000, 50_000
@@ -212,7 +212,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chain: int =
     pick = lambda k: usable.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = F.broadcast(pick(0).unionByName(pick(1)))
     rows = docs.select("doc_id", text_or_empty().alias("text")).join(chosen, "doc_id").select("label", F.xxhash64("doc_id").alias("place"), "text")
-    found = rows.mapInArrow(_figures, "label int, place long, n long, figures binary, lengths binary").filter(F.col("n") <= chain)
+    found = rows.transform(bounded).mapInArrow(_figures, "label int, place long, n long, figures binary, lengths binary").filter(F.col("n") <= chain)
     upto = F.sum("n").over(Window.partitionBy("label").orderBy("place", "lengths", "figures").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     held = found.withColumn("upto", upto).filter(F.col("upto") <= lines).select("label", "figures", "lengths").collect()
     held = sorted((r.label, bytes(r.figures), bytes(r.lengths)) for r in held)
@@ -235,7 +235,7 @@ def with_scores(docs: DataFrame, field: Field) -> DataFrame:
     from pyspark.sql.types import DoubleType, StructType
 
     rows = docs.withColumn("__text", text_or_empty())
-    return rows.mapInArrow(_scorer(field), StructType([*docs.schema.fields]).add("__score", DoubleType()))
+    return rows.transform(bounded).mapInArrow(_scorer(field), StructType([*docs.schema.fields]).add("__score", DoubleType()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

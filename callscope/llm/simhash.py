@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import materialise, table, text_or_empty
+from callscope.llm.common import bounded, materialise, table, text_or_empty
 from callscope.llm.components import connected_components
 from callscope.llm.resemblance import near_copies
 
@@ -90,7 +90,7 @@ def _fingerprints(batches):
 def with_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> (doc_id, fp long)."""
     rows = docs.select("doc_id", text_or_empty().alias("text"))
-    return rows.mapInArrow(_fingerprints, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
+    return rows.transform(bounded).mapInArrow(_fingerprints, f"doc_id {dict(rows.dtypes)['doc_id']}, fp long")
 
 
 def _distance(fp: Column, pivot: int) -> Column:

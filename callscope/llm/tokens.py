@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from callscope.llm.common import materialise, new_path, table, text_or_empty
+from callscope.llm.common import bounded, materialise, new_path, table, text_or_empty
 from callscope.llm.wordpieces import encoder
 
 END_ID = 0
@@ -134,7 +134,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, shard_ids: i
     order = [F.col("doc_id").asc_nulls_last(), F.col("tie").asc()]
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     sorted_rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
-    manifest = materialise(sorted_rows.mapInArrow(_writer(folder, tokenizer_path, shard_ids), "name string, part long, place long, n_ids long"), "manifest")
+    manifest = materialise(sorted_rows.transform(bounded).mapInArrow(_writer(folder, tokenizer_path, shard_ids), "name string, part long, place long, n_ids long"), "manifest")
     by_part = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     line = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     by_part = by_part.select("part", F.coalesce(F.sum("ids").over(line), F.lit(0)).alias("before"))
@@ -161,7 +161,7 @@ def read_digests(folder: str, manifest: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    found = files.mapInArrow(_digests, "name string, doc_id long, start long, n_tokens long, ids_crc32 long")
+    found = files.transform(bounded).mapInArrow(_digests, "name string, doc_id long, start long, n_tokens long, ids_crc32 long")
     return found.join(manifest, "name").select("doc_id", (F.col("base") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")
 
 
