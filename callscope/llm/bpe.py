@@ -31,16 +31,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import bit_table, table, text_or_empty
-from callscope.llm.wordpieces import BYTE_OF, encoder
+from callscope.llm.common import bit_table, bounded, table, text_or_empty
+from callscope.llm.wordpieces import BYTE_OF, encoder, load
 
 CHUNK_BITS = 9
 #: Chunks of fewer characters are not worth a reference.
 LEAST_CHARS = 64
-#: 16 MB, whatever the corpus.
-FILTER_BITS = 1 << 27
+#: 8 MB, whatever the corpus.
+FILTER_BITS = 1 << 26
+#: Distinct words and pieces of words that a worker holds encoded; later ones are encoded each time they come.
+HELD_WORDS, HELD_PIECES = 150_000, 100_000
 #: Hashes that a task holds to send a repeated chunk or text only once; more are sent again.
-HELD = 1 << 19
+HELD = 1 << 17
 
 
 def cuts(text: str, bits: int = CHUNK_BITS) -> list[int]:
@@ -102,6 +104,10 @@ class _Shared:
         return len(text) >= LEAST_CHARS and any(self.has(key) for _, key in chunks(text))
 
 
+def id_kind(vocabulary: int) -> str:
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 class _Disagreement(Exception):
     """No agreement inside a chunk: its text is encoded as a whole."""
 
@@ -110,12 +116,13 @@ class ChunkCodec:
     """A worker's encoder and decoder of one tokenizer file."""
 
     def __init__(self, path: str):
-        self.words = encoder(path)
+        self.words = encoder(path, HELD_WORDS, HELD_PIECES)
         tokenizer = self.words.known.tokenizer
         size = tokenizer.get_vocab_size(with_added_tokens=True)
         added = tokenizer.get_added_tokens_decoder()
         pieces = (tokenizer.id_to_token(i) for i in range(size))
         self.bytes_of = [added[i].content.encode() if i in added else bytes(BYTE_OF[c] for c in piece) for i, piece in enumerate(pieces)]
+        self.kind = id_kind(size)
         self.begins = np.array([b[:1] in b" \t\n\x0b\x0c\r" and b != b"" for b in self.bytes_of])
         self.ends = np.array([b != b"" and 0x20 < b[-1] < 0x7F for b in self.bytes_of])
 
@@ -123,6 +130,13 @@ class ChunkCodec:
         """Ids as little-endian unsigned 32-bit integers, equal to the library's."""
         return self.words.encode(text)
 
+    def narrow(self, ids: bytes) -> bytes:
+        """Ids as they are moved between tasks: two bytes each where the vocabulary allows it."""
+        return np.frombuffer(ids, "<u4").astype(self.kind).tobytes()
+
+    def widen(self, ids: bytes) -> bytes:
+        return np.frombuffer(ids, self.kind).astype("<u4").tobytes()
+
     def _text(self, ids: np.ndarray) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist())).decode()
 
@@ -232,7 +246,7 @@ def _encode_chunks(path: str):
             for key, chunk in zip(batch["key"].to_pylist(), batch["chunk"]):
                 if key != last:
                     keys.append(key)
-                    ids.append(coder.encode(chunk.as_py()))
+                    ids.append(coder.narrow(coder.encode(chunk.as_py())))
                 last = key
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.binary())], names=["chunk_key", "ids"])
 
@@ -272,21 +286,21 @@ def _assemble(path: str):
                         done.append((whole, coder.assemble(parts)))
                     whole, place, parts = key, None, []
                 if at != place:  # equal texts of different tasks sent equal rows
-                    parts.append(own.as_py() if own.is_valid else ids.as_py())
+                    parts.append(own.as_py() if own.is_valid else coder.widen(ids.as_py()))
                     place = at
             if done:
-                yield _finished(coder, "text_key", [k for k, _ in done], pa.binary(), [x for _, x in done])
+                yield _finished(coder, "text_key", [k for k, _ in done], pa.binary(), [x for _, x in done], True)
                 done = []
         if whole is not None:
-            yield _finished(coder, "text_key", [whole], pa.binary(), [coder.assemble(parts)])
+            yield _finished(coder, "text_key", [whole], pa.binary(), [coder.assemble(parts)], True)
 
     return run
 
 
-def _finished(coder: ChunkCodec, name: str, keys, kind: pa.DataType, ids: list[bytes]) -> pa.RecordBatch:
+def _finished(coder: ChunkCodec, name: str, keys, kind: pa.DataType, ids: list[bytes], narrow: bool = False) -> pa.RecordBatch:
     texts = [hashlib.sha256(coder.decode(x)).hexdigest() for x in ids]
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys, kind), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(texts, pa.string())],
+        [pa.array(keys, kind), pa.array([coder.narrow(x) for x in ids] if narrow else ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), pa.array(texts, pa.string())],
         names=[name, "ids", "n_tokens", "ids_sha256", "decoded_sha256"],
     )
 
@@ -329,16 +343,18 @@ def encode_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     rows = docs.select("doc_id", text_or_empty().alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     texts = rows.select("text")
-    repeated = texts.mapInArrow(_hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = texts.transform(bounded).mapInArrow(_hashes, "h long").groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
     bits = bit_table(repeated, "h", FILTER_BITS)
-    distinct = texts.mapInArrow(_shared_chunks(bits), "key binary, chunk string").repartition("key").sortWithinPartitions("key")
-    dictionary = distinct.mapInArrow(_encode_chunks(tokenizer_path), "chunk_key binary, ids binary")
-    parts = texts.mapInArrow(_split(bits), "text_key binary, place int, key binary, own string")
+    distinct = texts.transform(bounded).mapInArrow(_shared_chunks(bits), "key binary, chunk string").repartition("key").sortWithinPartitions("key")
+    dictionary = distinct.transform(bounded).mapInArrow(_encode_chunks(tokenizer_path), "chunk_key binary, ids binary")
+    parts = texts.transform(bounded).mapInArrow(_split(bits), "text_key binary, place int, key binary, own string")
     known = parts.join(dictionary, parts["key"] == dictionary["chunk_key"], "left").select("text_key", "place", "ids", "own")
-    joined = known.repartition("text_key").sortWithinPartitions("text_key", "place").mapInArrow(_assemble(tokenizer_path), f"text_key binary, {OUT}")
-    marked = rows.mapInArrow(_marked(bits), f"doc_id {kind}, text_key binary")
-    shared = marked.join(joined, "text_key").drop("text_key")
-    return rows.mapInArrow(_direct(bits, tokenizer_path), f"doc_id {kind}, {OUT}").unionByName(shared)
+    joined = known.repartition("text_key").sortWithinPartitions("text_key", "place").transform(bounded).mapInArrow(_assemble(tokenizer_path), f"text_key binary, {OUT}")
+    marked = rows.transform(bounded).mapInArrow(_marked(bits), f"doc_id {kind}, text_key binary")
+    # Ids went through the shuffles narrow; written out to four bytes only if somebody reads them.
+    ids = F.unhex(F.regexp_replace(F.hex("ids"), "(....)", "$10000")) if id_kind(load(tokenizer_path).get_vocab_size(with_added_tokens=True)) == "<u2" else F.col("ids")
+    shared = marked.join(joined, "text_key").select("doc_id", ids.alias("ids"), "n_tokens", "ids_sha256", "decoded_sha256")
+    return rows.transform(bounded).mapInArrow(_direct(bits, tokenizer_path), f"doc_id {kind}, {OUT}").unionByName(shared)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
