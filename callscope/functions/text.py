@@ -141,14 +141,15 @@ def is_next_label(label: Column) -> Column:
     return ~contains_any(t, cues.LAST_LABELS) & (F.trim(label).isin(*cues.NEXT_SYMBOLS) | contains_any(t, cues.NEXT_LABELS))
 
 
-def page_url(url: Column, number: Column, kind: str = "query", parameter: str = "page") -> Column:
+def page_url(url: Column, number: Column, kind: str = "query", parameter: str | Column = "page") -> Column:
     """A listing's page: the marker ``{pagina}`` filled in, or one query parameter set (repeated ones dropped)."""
     if kind == "template":
         return F.replace(url, F.lit("{pagina}"), number.cast("string"))
     bare = F.regexp_replace(url, "#.*$", "")
     base, query = F.substring_index(bare, "?", 1), F.regexp_extract(bare, r"\?(.*)$", 1)
-    rest = F.filter(F.split(query, "&"), lambda p: (p != "") & (F.substring_index(p, "=", 1) != parameter))
-    return F.concat(base, F.lit("?"), F.array_join(F.concat(rest, F.array(F.concat(F.lit(f"{parameter}="), number.cast("string")))), "&"))
+    name = F.lit(parameter) if isinstance(parameter, str) else parameter
+    rest = F.filter(F.split(query, "&"), lambda p: (p != "") & (F.substring_index(p, "=", 1) != name))
+    return F.concat(base, F.lit("?"), F.array_join(F.concat(rest, F.array(F.concat(name, F.lit("="), number.cast("string")))), "&"))
 
 
 # Markup that leaks into titles, where long titles may be cut, the length limit.

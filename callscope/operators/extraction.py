@@ -170,13 +170,13 @@ def is_navigation(title: Column, patterns=cues.NAVIGATION, sections=()) -> Colum
     return let(F.lower(squeeze(strip_accents(F.coalesce(title, F.lit(""))))), judge)
 
 
-def next_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, page_no, url, html) -> page_id, next_url.
+def pager_links(pages: DataFrame, *keys: str) -> DataFrame:
+    """(keys, url, html) -> keys, position, rank, number, target: the links that may lead to a following page.
 
-    By rel="next", else the following number, else a label of the next page inside a
-    pager (an element of one of ``PAGER_CLASSES``, or a navigation named so), else such
-    a label of up to 30 characters anywhere. Only links to the same host and to
-    another address count.
+    rank 0: rel="next"; 1: a link labelled with the page ``number``; 2: a label of the
+    next page inside a pager (an element of one of ``PAGER_CLASSES``, or a navigation
+    named so); 3: such a label of up to 30 characters anywhere. Only links to the same
+    host and to another address are given; targets have no fragment.
     """
     # One pass over the page: anchors, and the tags that open and close pagers around them.
     marks = F.regexp_extract_all("html", F.lit(r"(?is)<(?:a|link)\s[^>]*>(?:[^<]*(?:<(?!/a)[^>]*>[^<]*)*</a>)?|</?(?:nav|div|ul|ol|p|section|span|table|td)\b[^>]*>"), 0)
@@ -191,29 +191,34 @@ def next_pages(pages: DataFrame) -> DataFrame:
         one = F.struct(F.size(x["found"]).alias("position"), m.alias("anchor"), (x["at"] >= 0).alias("inside"))
         return F.struct(depth.alias("depth"), at.alias("at"), F.when(link, F.array_append(x["found"], one)).otherwise(x["found"]).alias("found"))
 
-    rows = settled(pages.select("page_id", "page_no", "url", F.inline(F.aggregate(marks, state, step)["found"])))
+    keys = list(dict.fromkeys([*keys, "url"]))
+    rows = settled(pages.select(*keys, F.inline(F.aggregate(marks, state, step)["found"])))
     attribute = lambda name: F.regexp_extract("anchor", rf"(?is)^<\w+\s[^>]*?\b{name}\s*=\s*[\"']([^\"']*)[\"']", 1)
     rows = rows.withColumns({"href": F.trim(attribute("href")), "label": squeeze(F.regexp_replace("anchor", r"(?s)<[^>]*>", " ")), "named": F.concat_ws(" ", attribute("title"), attribute("aria-label"))})
     rows = settled(rows.filter((F.col("href") != "") & ~F.col("href").rlike("(?i)^(#|mailto:|tel:|javascript:)")))
     label, is_link = F.col("label"), F.col("anchor").rlike(r"(?i)^<a\s")
     leads = is_next_label(label) | is_next_label(F.concat_ws(" ", label, "named"))
-    rank = (
-        F.when(F.col("anchor").rlike(r"(?is)^<\w+\s[^>]*\brel\s*=\s*[\"'][^\"']*next"), 0)
-        .when(is_link & (label == (F.col("page_no") + 1).cast("string")), 1)
-        .when(is_link & leads & F.col("inside"), 2)
-        .when(is_link & leads & (label != "") & (F.length("label") <= 30), 3)
-    )
-    rows = rows.withColumns({"rank": rank, "target": F.regexp_replace(resolve(F.col("url"), F.col("href")), "#.*$", "")})
+    number = F.when(is_link & label.rlike("^(?:0|[1-9][0-9]{0,8})$"), label.cast("int"))
+    by_label = F.when(is_link & leads & F.col("inside"), 2).when(is_link & leads & (label != "") & (F.length("label") <= 30), 3)
+    # A number may be the next page's for one page and a label for another.
+    ranks = F.array_compact(F.array(F.when(F.col("anchor").rlike(r"(?is)^<\w+\s[^>]*\brel\s*=\s*[\"'][^\"']*next"), 0), F.when(number.isNotNull(), 1), by_label))
+    rows = rows.withColumns({"ranks": ranks, "number": number, "target": F.regexp_replace(resolve(F.col("url"), F.col("href")), "#.*$", "")})
     plain = lambda u: F.regexp_replace(u, "/+$", "")
-    rows = rows.filter(F.col("rank").isNotNull() & (host_of(F.col("target")) == host_of(F.col("url"))) & (plain(F.col("target")) != plain(F.col("url"))))
+    rows = rows.filter((F.size("ranks") > 0) & (host_of(F.col("target")) == host_of(F.col("url"))) & (plain(F.col("target")) != plain(F.col("url"))))
+    return rows.select(*keys, "position", F.explode("ranks").alias("rank"), "number", "target")
+
+
+def next_pages(pages: DataFrame) -> DataFrame:
+    """(page_id, page_no, url, html) -> page_id, next_url: the pager link of the least rank, then the first."""
+    rows = pager_links(pages, "page_id", "page_no").filter((F.col("rank") != 1) | (F.col("number") == F.col("page_no") + 1))
     return rows.groupBy("page_id").agg(F.min_by("target", F.struct("rank", "position")).alias("next_url"))
 
 
 def candidate_order(sources: DataFrame, memory: DataFrame) -> DataFrame:
-    """(source, urls) x (source, url last good) -> source, place, url: the remembered address first, each once."""
+    """(source, urls, ..) x (source, url last good) -> source, .., place, url: the remembered address first, listed or not, each once."""
     joined = sources.join(memory.withColumnRenamed("url", "good"), "source", "left")
-    ordered = F.array_distinct(F.array_compact(F.concat(F.array(F.when(F.array_contains("urls", F.col("good")), F.col("good"))), F.col("urls"))))
-    return joined.select("source", F.posexplode(ordered).alias("place", "url"))
+    ordered = F.array_distinct(F.array_compact(F.concat(F.array("good"), F.col("urls"))))
+    return joined.select(*[c for c in sources.columns if c != "urls"], F.posexplode(ordered).alias("place", "url"))
 
 
 def first_productive(tried: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import cues, dates
 from callscope.functions import text as T
-from callscope.operators import entity, extraction, history, lint, panel, scoring
+from callscope.operators import entity, extraction, history, lint, panel, scoring, walk
 from callscope.operators import lexicon as L
 from callscope.plans import collect
 from callscope.sources import fixtures as X
@@ -525,6 +525,68 @@ def pagination_walk(spark, d):
     return extraction.walk_pages(pages, 12)
 
 
+#: What a page's pager holds, by page_id: no pager, a missing page, the host's first page again, else its next one; in the four forms by turns.
+_TO = """nullif(CASE WHEN page_id % 11 = 5 THEN NULL WHEN page_id % 13 = 6 THEN site || '/missing/' || page_id WHEN page_id % 7 = 3 THEN first_value(addr) OVER h ELSE lead(addr) OVER h END, addr)"""
+_LISTINGS = f"""SELECT page_id, addr, html, site, n, {_TO} AS goes_to FROM (SELECT page_id, regexp_replace(url, '#.*$', '') AS addr, html, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) AS site,
+  row_number() OVER (PARTITION BY regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) ORDER BY page_id) AS n FROM {{pages}}) AS p WINDOW h AS (PARTITION BY site ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"""
+
+
+def _listings(spark, d):
+    """The pages with a pager each, their items, and sources: every site with three addresses, every other site as sections."""
+    rows = spark.sql(_LISTINGS.replace("lead(addr) OVER h", "lead(addr) OVER (PARTITION BY site ORDER BY page_id)"), pages=table(spark, d, "pages"))
+    forms = ("<link rel='next' href='{u}'>", "<p><a href='{u}'>{n}</a></p>", "<ul class='pager'><li><a href='/en'>1</a><li><a href='{u}'>Próxima página</a></ul>", "<p><a href='{u}' title='Seguinte'>&gt;&gt;&gt;</a></p>")
+    form = F.element_at(F.array(*map(F.lit, forms)), (F.col("page_id") % len(forms) + 1).cast("int"))
+    pager = F.replace(F.replace(form, F.lit("{u}"), F.col("goes_to")), F.lit("{n}"), (F.col("n") + 1).cast("string"))
+    rows = storage.kept(rows.select("page_id", F.col("addr").alias("url"), F.concat("html", F.coalesce(pager, F.lit(""))).alias("html"), "site", "n"), "listings")
+    own = extraction.page_links(table(spark, d, "pages")).filter(F.col("href").startswith("/"))
+    items = own.select(F.regexp_replace("url", "#.*$", "").alias("page"), "position", F.col("target").alias("url"), (F.length("href") > 5).alias("relevant"))
+    at = lambda n: F.max(F.when(F.col("n") == n, F.col("url")))
+    sites = rows.groupBy("site").agg(*[at(n).alias(f"u{n}") for n in (1, 3)])
+    urls = F.array_compact(F.array(F.concat("site", F.lit("/moved")), F.col("u1"), F.col("u3")))
+    sources = sites.select(F.col("site").alias("source"), urls.alias("urls"), (F.length("site") % 2 == 0).alias("read_all"), F.lit("auto").alias("way"), F.lit(None).cast("string").alias("parameter"), F.lit(1).alias("first"), F.lit(6).alias("most"))
+    return rows, items, sources
+
+
+_WALKED = f"""WITH RECURSIVE p AS ({_LISTINGS.format(pages='pages')}), {_ANCHOR}, items AS (SELECT DISTINCT regexp_replace(url, '#.*$', '') AS page, regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || href AS item, length(href) > 5 AS relevant FROM l WHERE starts_with(href, '/')),
+raw AS (SELECT page, count(*) AS n_raw FROM (SELECT regexp_replace(url, '#.*$', '') AS page FROM l WHERE starts_with(href, '/')) GROUP BY page),
+starts AS (SELECT site AS source, 0 AS place, site || '/moved' AS start FROM p GROUP BY site UNION ALL SELECT site, 1, addr FROM p WHERE n = 1 UNION ALL SELECT site, 2, addr FROM p WHERE n = 3),
+w AS (SELECT source, place, start, 0 AS turn, 1 AS page_no, start AS url, [start] AS path FROM starts
+  UNION ALL SELECT source, place, start, turn + 1, page_no + 1, to_url, list_append(path, to_url) FROM (SELECT w.*, {{go}} AS to_url FROM w JOIN p ON p.addr = w.url) WHERE turn < 5 AND to_url IS NOT NULL AND NOT list_contains(path, to_url)),
+met AS (SELECT w.*, p.addr IS NOT NULL AS ok, coalesce(n_raw, 0) AS n_raw, {{go}} AS to_url FROM w LEFT JOIN p ON p.addr = w.url LEFT JOIN raw ON raw.page = w.url),
+seen AS (SELECT source, place, item, min(turn) AS turn FROM met JOIN items ON items.page = met.url WHERE relevant GROUP BY ALL),
+c AS (SELECT source, place, turn, count(*) AS n_new FROM seen GROUP BY ALL),
+e AS (SELECT met.*, coalesce(n_new, 0) AS n_new, CASE WHEN NOT ok THEN 'failed' WHEN turn > 0 AND coalesce(n_new, 0) = 0 THEN 'nothing new' WHEN n_raw = 0 THEN 'empty' WHEN to_url IS NULL THEN 'no next' WHEN turn = 5 THEN 'cap' WHEN list_contains(path, to_url) THEN 'repeat' END AS stop FROM met LEFT JOIN c USING (source, place, turn)),
+ends AS (SELECT source, place, min(turn) AS last_turn FROM e WHERE stop IS NOT NULL GROUP BY ALL), g AS (SELECT e.* FROM e JOIN ends USING (source, place) WHERE turn <= last_turn)""".replace("{go}", "CASE WHEN page_id % 4 = 1 AND page_no <> n THEN NULL ELSE goes_to END")
+
+
+@query(_WALKED + " SELECT source, CAST(place AS INTEGER) AS place, turn, page_no, url, n_raw, n_new, stop FROM g")
+def page_walk(spark, d):
+    """Walks from three addresses of every site over its pages, planted loops, gaps and missing pages included."""
+    pages, items, sources = _listings(spark, d)
+    starts = extraction.candidate_order(sources, spark.createDataFrame([], "source string, url string")).withColumnRenamed("url", "start")
+    return walk.walks(starts, *walk.read_once(pages, items), items)[0].drop("start")
+
+
+_READ = _WALKED + """, t AS (SELECT source, place, any_value(start) AS url, count(*) FILTER (coalesce(stop, '') <> 'failed') AS n_pages, sum(n_new)::BIGINT AS n_items, max(stop) AS stop, bool_or(turn = 0 AND coalesce(stop, '') <> 'failed') AS answered, length(source) % 2 = 0 AS read_all FROM g GROUP BY source, place),
+u AS (SELECT source, arg_min(place, CASE WHEN read_all OR n_items > 0 THEN place ELSE place + 100 END) AS place, any_value(read_all) AS read_all FROM t WHERE answered GROUP BY source),
+f AS (SELECT seen.source, item, min(seen.place) AS place FROM seen JOIN ends ON ends.source = seen.source AND ends.place = seen.place AND seen.turn <= ends.last_turn JOIN u ON u.source = seen.source AND (u.read_all OR u.place = seen.place) GROUP BY ALL)"""
+
+
+@query(_READ + " SELECT source, CAST(place AS INTEGER) AS place, item AS url FROM f")
+def source_items(spark, d):
+    """One run: alternatives read by the first address that gives anything, sections joined."""
+    pages, items, sources = _listings(spark, d)
+    return walk.read_sources(sources, spark.createDataFrame([], "source string, url string"), pages, items)[0].select("source", "place", "url")
+
+
+@query(_READ + " SELECT t.source, CAST(t.place AS INTEGER) AS place, t.url, answered, n_pages, n_items, stop, coalesce(u.place = t.place, false) AS used FROM t LEFT JOIN u ON u.source = t.source")
+def source_attempts(spark, d):
+    """The log of that run, and which address of each source it remembers."""
+    pages, items, sources = _listings(spark, d)
+    _, used, attempts = walk.read_sources(sources, spark.createDataFrame([], "source string, url string"), pages, items)
+    return attempts.join(used.withColumnRenamed("url", "good"), "source", "left").select("source", "place", "url", "answered", "n_pages", "n_items", "stop", F.coalesce(F.col("good") == F.col("url"), F.lit(False)).alias("used"))
+
+
 _HINT = " + ".join(f"CASE WHEN contains(p, '{h}') THEN {w} WHEN contains(t, '{h}') THEN {int(w * 0.7)} ELSE 0 END" for h, w in cues.LISTING_HINTS)
 
 
