@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from callscope.functions.text import signature_tokens, without_year, year_of
-from callscope.sources.storage import kept as _kept
+from callscope.operators.components import components
+from callscope.sources.storage import kept
 
 
 def tokenised(df: DataFrame, title: str) -> DataFrame:
@@ -16,62 +17,147 @@ def tokenised(df: DataFrame, title: str) -> DataFrame:
     return rows.withColumns({"year": year_of(F.col(title)), "number": number})
 
 
-def _rarity(sets: DataFrame) -> DataFrame:
-    """(tokens) -> token, df."""
-    return sets.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
+#: Sets with a key above which it is hot and pairs are looked for by longer keys; tokens of the longest keys; edges of a component that one task folds. None changes a result.
+HOT, DEPTH, FOLD = 100, 3, 200_000
 
 
-def _prefixes(sets: DataFrame, key: str, rarity: DataFrame, least: float) -> DataFrame:
-    """Each set once for every token of its prefix: the rarest size - ceil(least * size) + 1 of them."""
-    ordered = sets.select(key, F.explode("tokens").alias("token")).join(rarity, "token").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("line"))
-    size = F.size("line")
-    prefix = F.slice("line", 1, size - F.ceil(F.lit(least) * size - F.lit(1e-9)).cast("int") + 1)
-    return sets.join(ordered, key).withColumn("token", F.explode(prefix["token"])).drop("line")
+def _lines(sets: DataFrame) -> DataFrame:
+    """Sets with ``line``, their tokens rarest first, in place of ``tokens``, and its length ``n``."""
+    rows = sets.select("set_id", F.explode("tokens").alias("token"))
+    rarity = rows.groupBy("token").agg(F.count("*").alias("df"))
+    ordered = rows.join(rarity, "token").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("line"))
+    return sets.drop("tokens").join(ordered, "set_id").withColumns({"line": F.col("line.token"), "n": F.size("line")})
 
 
-def similar_pairs(sets: DataFrame, least: float) -> DataFrame:
-    """Distinct (set_id, year, number, tokens) -> pairs (a, b, similarity) of one year with Jaccard >= ``least``.
+def _candidates(lines: DataFrame, least: float, by: tuple, fits) -> DataFrame:
+    """Distinct (a, b) of lines that may be similar: exact, whatever is hot.
 
-    Prefix filter: with tokens ordered rarest first, sets that similar share a
-    token among the first size - ceil(least * size) + 1 of each, so only those
-    are joined; sizes that cannot reach ``least`` fall out in the join.
+    Similar sets share ``depth`` of the first n - ceil(least n) + depth tokens of each, for
+    every depth up to their overlap. Keys of one token are taken first; sets whose shared
+    key is hot are looked for by that key and one more token, and so on; where a pair
+    may share no more than the key, it is taken at once.
     """
-    keys = _prefixes(sets, "set_id", _rarity(sets), least)
-    x, y = keys.alias("x"), keys.alias("y")
-    sized = (F.size("x.tokens") >= F.lit(least) * F.size("y.tokens")) & (F.size("y.tokens") >= F.lit(least) * F.size("x.tokens"))
-    clash = F.coalesce(F.col("x.number") != F.col("y.number"), F.lit(False))
-    both = F.size(F.array_intersect("x.tokens", "y.tokens"))
-    likeness = both / (F.size("x.tokens") + F.size("y.tokens") - both)
-    found = x.join(y, (F.col("x.token") == F.col("y.token")) & F.col("x.year").eqNullSafe(F.col("y.year")) & (F.col("x.set_id") < F.col("y.set_id")) & sized & ~clash & (likeness >= least))
-    return found.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"), likeness.alias("similarity")).distinct()
+    need = F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)).cast("int")
+    prefix = lambda depth: F.slice("line", 1, F.least(F.col("n"), F.col("n") - need + depth))
+    own = [c for c in lines.columns if c not in ("line", "n")]
+    rows = lines.select(*own, "n", F.posexplode(prefix(1)).alias("place", "key")).withColumn("key", F.array("key"))
+    group = [*by, "key"]
+    found = None
+    for depth in range(1, DEPTH + 1):
+        rows = kept(rows, "set-keys")
+        shared = rows.groupBy(*group).agg(F.count("*").alias("sharing")).filter("sharing > 1")
+        met = rows.join(shared.withColumnsRenamed({c: f"__{c}" for c in group}), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group]).drop(*[f"__{c}" for c in group])
+        met = kept(met, "set-keys")
+        last = depth == DEPTH
+        joined = met if last else met.filter((F.col("sharing") <= HOT) | (F.col("n") * least <= depth + 1e-6))
+        x, y = joined.alias("x"), joined.alias("y")
+        # Tokens before and after the place that both share bound the overlap.
+        bound = F.least("x.place", "y.place") + 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1
+        enough = bound * (1 + least) + 1e-6 >= least * (F.col("x.n") + F.col("y.n"))
+        sized = (F.col("x.n") >= F.lit(least) * F.col("y.n")) & (F.col("y.n") >= F.lit(least) * F.col("x.n"))
+        # Hot keys stand for pairs that need share no more tokens than the key has; longer keys find the others.
+        told = F.lit(True) if last else (F.col("x.sharing") <= HOT) | ((F.col("x.n") + F.col("y.n")) * least <= depth * (1 + least) + 1e-6)
+        same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by]
+        pairs = x.join(y, [F.col("x.key") == F.col("y.key"), *same, fits, sized, told, *([enough] if depth == 1 else [])])
+        pairs = pairs.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
+        found = pairs if found is None else found.unionByName(pairs)
+        hot = met.filter(F.col("sharing") > HOT)
+        if last or hot.isEmpty():
+            break
+        more = hot.select("set_id", "key").join(lines, "set_id").withColumn("token", F.explode(F.array_except(prefix(depth + 1), F.col("key"))))
+        rows = more.select(*own, "n", F.lit(0).alias("place"), F.array_sort(F.array_append("key", F.col("token"))).alias("key")).distinct()
+    return found.distinct()
 
 
-def leader_clusters(df: DataFrame, title: str, position: str, least: float = 0.70) -> DataFrame:
-    """Adds ``leader``: the position of the row's leader, its own for leaders.
+def similar_pairs(sets: DataFrame, least: float, by: tuple = ("year",), fits=None) -> DataFrame:
+    """Distinct (set_id, year, number, tokens) -> pairs (a, b, similarity) with Jaccard >= ``least``.
 
-    A row leads if no earlier leader is similar, else it follows its earliest
-    similar leader; similarity to a follower counts for nothing. Rows with equal
-    tokens, year and number act as one, so pairs are of distinct sets only. Rounds
-    settle every set whose earlier neighbours are settled; rows without tokens
-    lead themselves.
+    Pairs are of one ``by``, without a clash of call numbers and with a < b, or as the
+    condition ``fits`` on x and y says. Candidates go by short keys, tokens are fetched
+    for them only.
     """
-    rows = tokenised(df, title)
-    full = rows.filter(F.size("tokens") > 0)
-    key = F.concat_ws(" ", F.coalesce(F.col("year").cast("string"), F.lit("-")), F.concat_ws(" ", "tokens"))
-    sets = _kept(full.withColumn("key", key).groupBy("key", "year", "number", "tokens").agg(F.min(position).alias("set_id")), "sets")
-    edges = _kept(similar_pairs(sets, least).select("a", "b"), "edges")
-    state = sets.select("set_id", F.lit(None).cast("long").alias("leader"))
-    while True:
+    clash = F.coalesce(F.col("x.number") != F.col("y.number"), F.lit(False))
+    fits = (F.col("x.set_id") < F.col("y.set_id")) & ~clash if fits is None else fits
+    lines = kept(_lines(sets), "sets")
+    tokens = lambda end, name: lines.select(F.col("set_id").alias(end), F.col("line").alias(name))
+    both = F.size(F.array_intersect("p", "q"))
+    likeness = both / (F.size("p") + F.size("q") - both)
+    pairs = _candidates(lines, least, by, fits).join(tokens("a", "p"), "a").join(tokens("b", "q"), "b")
+    return pairs.select("a", "b", likeness.alias("similarity")).filter(F.col("similarity") >= least)
+
+
+def _folded(batches):
+    """Edges by (root, b, a) -> followers and their leaders, component by component."""
+    import pyarrow as pa
+
+    current, last, follows, done = None, None, set(), False
+    for batch in batches:
+        out = []
+        for root, a, b in zip(*(batch[c].to_pylist() for c in ("root", "a", "b"))):
+            if root != current:
+                current, follows = root, set()
+            if b != last:
+                last, done = b, False
+            if not done and a not in follows:
+                follows.add(b)
+                out.append((b, a))
+                done = True
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["set_id", "leader"])
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    """Edges -> followers and leaders; a round settles every node whose lesser neighbours are settled."""
+    nodes = edges.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+    state = kept(nodes.withColumn("leader", F.lit(None).cast("long")), "leaders")
+    while not state.filter("leader is null").isEmpty():
         marks = state.select(F.col("set_id").alias("a"), F.col("leader").alias("of"), (F.col("leader") == F.col("set_id")).alias("leads"))
         near = edges.join(marks, "a").groupBy("b").agg(F.min(F.when(F.col("leads"), F.col("a"))).alias("first"), F.min(F.when(F.col("of").isNull(), F.col("a"))).alias("open"))
         joined = state.join(near.withColumnRenamed("b", "set_id"), "set_id", "left")
         follows = F.col("first").isNotNull() & (F.col("open").isNull() | (F.col("first") < F.col("open")))
         settled = F.when(follows, F.col("first")).when(F.col("open").isNull(), F.col("set_id"))
-        state = _kept(joined.select("set_id", F.coalesce("leader", settled).alias("leader")), "leaders")
-        if state.filter("leader is null").isEmpty():
-            break
-    found = sets.select("key", "set_id").join(state, "set_id").select("key", F.col("leader").alias("found"))
-    out = rows.withColumn("key", F.when(F.size("tokens") > 0, key)).join(found, "key", "left")
+        state = kept(joined.select("set_id", F.coalesce("leader", settled).alias("leader")), "leaders")
+    return state.filter("leader <> set_id")
+
+
+def followers(edges: DataFrame, fold: int = FOLD) -> DataFrame:
+    """(a < b) edges -> (set_id, leader) of nodes that follow: the earliest neighbour that leads itself.
+
+    A component of up to ``fold`` edges is settled in one pass by one task; larger ones in rounds.
+    """
+    edges = kept(edges.select("a", "b"), "edges")
+    rooted = edges.join(components(edges).withColumnRenamed("node", "a"), "a")
+    sizes = rooted.groupBy("root").agg(F.count("*").alias("n_edges"))
+    rooted = kept(rooted.join(sizes, "root"), "rooted-edges")
+    small = rooted.filter(F.col("n_edges") <= fold).select("root", "a", "b").repartition("root").sortWithinPartitions("root", "b", "a")
+    found = small.mapInArrow(_folded, "set_id long, leader long")
+    large = rooted.filter(F.col("n_edges") > fold).select("a", "b")
+    return found if large.isEmpty() else found.unionByName(_by_rounds(large))
+
+
+def _set_key() -> Column:
+    return F.concat_ws(" ", F.coalesce(F.col("year").cast("string"), F.lit("-")), F.concat_ws(" ", "tokens"))
+
+
+def leader_clusters(df: DataFrame, title: str, position: str, least: float = 0.70, known: DataFrame | None = None) -> DataFrame:
+    """Adds ``leader``: the position of the row's leader, its own for leaders.
+
+    A row leads if no earlier leader is similar, else it follows its earliest
+    similar leader; similarity to a follower counts for nothing. Rows with equal
+    tokens, year and number act as one, so pairs are of distinct sets only; rows
+    without tokens lead themselves.
+
+    ``known``: leaders (title, position) of rows settled before, all earlier than these:
+    rows are settled against them and each other alone, with the result of a run over all.
+    """
+    rows = tokenised(df, title)
+    listed = rows if known is None else rows.select(F.col(position).alias(position), "tokens", "year", "number").unionByName(tokenised(known, title).select(position, "tokens", "year", "number"))
+    full = listed.filter(F.size("tokens") > 0).withColumn("key", _set_key())
+    sets = full.groupBy("key", "year", "number", "tokens").agg(F.min(position).alias("set_id"))
+    sets = kept(sets, "sets")
+    # Known leaders are similar to no other known leader, so edges among them do not arise.
+    led = followers(similar_pairs(sets.drop("key"), least))
+    found = sets.select("key", "set_id").join(led, "set_id", "left").select("key", F.coalesce("leader", "set_id").alias("found"))
+    out = rows.withColumn("key", F.when(F.size("tokens") > 0, _set_key())).join(found, "key", "left")
     return out.withColumn("leader", F.coalesce("found", position)).drop("found", "key", "tokens", "year", "number")
 
 
@@ -91,16 +177,17 @@ def previous_editions(new: DataFrame, known: DataFrame, title: str = "title", ur
     family = signature_tokens(without_year(F.col(title)))
     side = lambda df: df.withColumns({"year": year_of(F.col(title)), "tokens": family}).filter(F.col("year").isNotNull() & (F.size("tokens") > 0))
     # Equal (year, tokens) sets of either side meet once; members are found again by both.
-    rows = side(new)
-    n = rows.select("year", "tokens").distinct().withColumn("nid", F.xxhash64("year", "tokens"))
-    k = side(known).groupBy("year", "tokens").agg(F.min(F.struct(F.col(order).alias("o"), F.col(url).alias("u"))).alias("first")).withColumn("kid", F.xxhash64("year", "tokens"))
-    # Similar sets meet in a rare token, so a word that most titles have pairs nothing.
-    rarity = _rarity(n.select("tokens").unionByName(k.select("tokens")))
-    x, y = _prefixes(n, "nid", rarity, least).alias("x"), _prefixes(k, "kid", rarity, least).alias("y")
-    both = F.size(F.array_intersect("x.tokens", "y.tokens"))
-    likeness = both / (F.size("x.tokens") + F.size("y.tokens") - both)
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("y.year") < F.col("x.year")) & (likeness >= least))
-    pairs = pairs.select(F.col("x.year").alias("year"), F.col("x.tokens").alias("tokens"), F.col("y.year").alias("y"), F.col("y.first.o").alias("o"), F.col("y.first.u").alias("u"), likeness.alias("likeness"))
+    rows, older_rows = side(new), side(known)
+    if rows.isEmpty() or older_rows.isEmpty():
+        return new.withColumns({"previous_url": F.lit(None).cast(dict(known.dtypes)[url]), "previous_year": F.lit(None).cast("int")})
+    n = rows.select("year", "tokens").distinct()
+    k = older_rows.groupBy("year", "tokens").agg(F.min(F.struct(F.col(order).alias("o"), F.col(url).alias("u"))).alias("first"))
+    sets = n.withColumn("asks", F.lit(True)).join(k, ["year", "tokens"], "full").withColumn("set_id", F.monotonically_increasing_id())
+    sets = kept(sets.select("set_id", "year", "tokens", F.coalesce("asks", F.lit(False)).alias("asks"), "first"), "editions")
+    older = F.col("x.asks") & F.col("y.first").isNotNull() & (F.col("y.year") < F.col("x.year"))
+    found = similar_pairs(sets, least, (), older)
+    pairs = found.join(sets.select(F.col("set_id").alias("a"), "year", "tokens"), "a").join(sets.select(F.col("set_id").alias("b"), F.col("year").alias("y"), "first.o", "first.u"), "b")
+    pairs = pairs.select("year", "tokens", "y", "o", "u", F.col("similarity").alias("likeness"))
     best = F.max_by(F.struct("u", "y"), F.struct("likeness", "__rank")).alias("b")
     last = Window.partitionBy("year", "tokens").orderBy(F.col("o").desc())
     if not earlier:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import cues, dates
 from callscope.functions import text as T
-from callscope.operators import entity, extraction, history, lint, panel, scoring, walk
+from callscope.operators import discovery, entity, extraction, history, lint, panel, scoring, walk
 from callscope.operators import lexicon as L
 from callscope.plans import collect
 from callscope.sources import fixtures as X
@@ -674,6 +674,33 @@ def page_suggestions(spark, d):
     return extraction.suggestions(per).drop("score")
 
 
+_LABELS = ("Editais abertos", "Chamadas públicas", "Contato", "Bolsas e auxílios", "Notícias do portal", "Licitações e editais", "Oportunidades internacionais", "Programas", "Calls for proposals", "Sobre nós")
+_SITE = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
+
+
+@query(f"""WITH a AS (SELECT page_id, {_SITE} AS source, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS url, html, [{', '.join(repr(x) for x in _LABELS)}][CAST(page_id % {len(_LABELS)} + 1 AS BIGINT)] AS label FROM pages),
+b AS (SELECT *, {_words('label')} AS t, {_words("replace(replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '-', ' '), '/', ' ')")} AS p FROM a),
+s AS (SELECT source, url, label, page_id, CASE WHEN {_has("concat_ws(' ', t, p)", cues.LISTING_VETOES)} THEN 0 ELSE greatest(0, {_HINT} - CASE WHEN regexp_matches(url, '[0-9]{{2,}}[-_/][0-9]{{4}}') THEN 3 ELSE 0 END) END AS score FROM b),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, page_id) AS place FROM s WHERE score > 0 QUALIFY place <= 11), -- the twelfth is the link to a page that is gone
+{_ANCHOR}, i AS (SELECT DISTINCT page_id, {_SITE} || href AS url, regexp_extract(href, '([^/]*)/*$', 1) AS slug FROM l WHERE starts_with(href, '/')),
+n AS (SELECT page_id, url, concat_ws(' ', {_words("slug")}, {_words("replace(replace(url, '-', ' '), '/', ' ')")}) AS n, {_words("slug")} AS label FROM i),
+c AS (SELECT page_id, count(*) FILTER (length(label) >= 12 AND len({_TAGS}) > 0) AS n_calls FROM n GROUP BY page_id),
+f AS (SELECT r.*, coalesce(n_calls, 0) + r.page_id % 4 AS n_calls, row_number() OVER (PARTITION BY source ORDER BY coalesce(n_calls, 0) + r.page_id % 4 DESC, score DESC, url) AS rank FROM r LEFT JOIN c USING (page_id))
+SELECT source, url, label, CAST(score AS INTEGER) AS score, n_calls, CAST(CASE WHEN n_calls > 0 AND rank <= 4 THEN rank END AS INTEGER) AS place FROM f""")
+def replacement_pages(spark, d):
+    """Every site's home page (links to all its pages, labels by turns) searched for pages that list calls; a page has up to three planted ones."""
+    site = F.regexp_extract("url", "^([a-z]+://[^/?#]*)", 1)
+    rows = table(spark, d, "pages").withColumn("site", site)
+    call = lambda k: F.when(F.col("page_id") % 4 > k, F.concat(F.lit("<a href='/c/"), "page_id", F.lit(f"/{k}'>Chamada pública de mobilidade acadêmica número "), "page_id", F.lit("</a>"))).otherwise(F.lit(""))
+    own = rows.select("url", F.concat("html", *map(call, range(3))).alias("html"))
+    label = F.element_at(F.array(*map(F.lit, _LABELS)), (F.col("page_id") % len(_LABELS) + 1).cast("int"))
+    link = F.concat(F.lit("<a href='"), "url", F.lit("'>"), label, F.lit("</a>"))
+    home = rows.groupBy("site").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("page_id", link.alias("link")))), lambda x: x["link"]), " ").alias("links"))
+    home = home.select(F.concat("site", F.lit("/")).alias("url"), F.concat(F.lit("<a href='https://o.org/editais'>Editais</a><a href='#x'>Editais</a>"), "links", F.lit("<a href='/gone/editais'>Edital antigo</a>")).alias("html"))
+    pages = storage.kept(own.unionByName(home), "pages")
+    return discovery.replacements(rows.select(F.col("site").alias("source"), F.concat("site", F.lit("/")).alias("url")).distinct(), pages).withColumn("score", F.col("score").cast("int"))
+
+
 # Configuration and panel
 
 
