@@ -131,13 +131,17 @@ def _status_columns() -> dict[str, str]:
     dated = f"CASE WHEN best.day < __day THEN 'encerrado' WHEN {closed} AND NOT {is_open} THEN 'encerrado' WHEN {ahead} AND NOT {is_open} THEN 'futuro' ELSE 'aberto' END"
     undated = f"CASE WHEN {result} OR {closed} THEN 'encerrado' WHEN {ahead} AND NOT {is_open} THEN 'futuro' WHEN {is_open} OR __listed THEN 'aberto' ELSE 'verificar' END"
     trust = f"CASE WHEN {result} OR {closed} THEN 80 WHEN {ahead} AND NOT {is_open} THEN 65 WHEN {is_open} THEN 65 WHEN __listed THEN 55 ELSE 0 END"
+    shown = "date_format(best.day, 'dd/MM/yyyy')"
+    dated_why = f"CASE WHEN best.day < __day THEN concat('deadline passed on ', {shown}) WHEN {closed} AND NOT {is_open} THEN 'page says that applications are closed' WHEN {ahead} AND NOT {is_open} THEN 'announced, not open yet' ELSE concat('deadline confirmed: ', {shown}) END"
+    undated_why = f"CASE WHEN {result} OR {closed} THEN 'page tells of results or of the end' WHEN {ahead} AND NOT {is_open} THEN 'page tells of a call to come' WHEN {is_open} THEN 'page says that applications are open' WHEN __listed THEN 'listed as open by its source' ELSE 'no deadline found' END"
     return {
         "status": f"if(best.day IS NOT NULL, {dated}, {undated})",
         "deadline": "best.day",
-        "deadline_text": "date_format(best.day, 'dd/MM/yyyy')",
+        "deadline_text": shown,
         "days_left": "datediff(best.day, __day)",
         "confidence": f"if(best.day IS NOT NULL, least(100, 45 + 5 * best.score), {trust})",
         "excerpt": "if(best.day IS NOT NULL, best.excerpt, '')",
+        "status_reason": f"if(best.day IS NOT NULL, {dated_why}, {undated_why})",
     }
 
 
@@ -154,7 +158,7 @@ def settled(df: DataFrame) -> DataFrame:
 
 
 def with_status(df: DataFrame, text: str, as_of: str, listed_open: Column | None = None, keep_norm: bool = False) -> DataFrame:
-    """Adds status, deadline, deadline_text, days_left, confidence and excerpt; with ``keep_norm`` the normalised text as well."""
+    """Adds status, deadline, deadline_text, days_left, confidence, excerpt and status_reason; with ``keep_norm`` the normalised text as well."""
     listed = F.lit(False) if listed_open is None else F.coalesce(listed_open, F.lit(False))
     rows = df.withColumns({NORM: mend_year(normalise(F.col(text))), "__day": F.lit(as_of).cast("date"), "__listed": listed})
     found = settled(settled(rows).withColumn("best", F.expr(DEADLINE)))

@@ -67,8 +67,15 @@ def prequalified(norm: Column, score: Column, axes: Column, profile: L.Profile,
     return (score >= 8) | (F.size(axes) > 0) | (calls & norm.rlike(rf"\b(?:{years})\b"))
 
 
+def _why_relevant(axes: Column) -> Column:
+    """What speaks for a row: its two heaviest axes, reach, money, date."""
+    named = F.array_join(F.transform(F.slice(axes, 1, 2), lambda a: a["label"]), " / ")
+    parts = (F.when(F.size(axes) > 0, named), F.when(F.col("international"), "international"), F.when(F.col("funding"), "funding or fellowship"), F.when(F.col("deadline").isNotNull(), F.concat(F.lit("deadline "), F.col("deadline_text"))))
+    return F.concat_ws(" | ", *parts)
+
+
 def evaluate(df: DataFrame, text: str, as_of: str, profile: L.Profile = L.PROFILE, curated: Column | None = None, need_local: Column | None = None) -> DataFrame:
-    """Status, signals, score 0-100, relevance, themes, audience and warnings of every row."""
+    """Status, signals, score 0-100, relevance, themes, audience, warnings and reasons of every row."""
     rows = with_status(df, text, as_of, keep_norm=True)
     norm, axes = F.col(NORM), F.col("axes")
     rows = settled(rows.withColumns({"axes": axis_hits(norm, profile), "why_international": international_reason(norm, profile, curated)}))
@@ -104,6 +111,8 @@ def evaluate(df: DataFrame, text: str, as_of: str, profile: L.Profile = L.PROFIL
             "relevant": relevant,
             "active": relevant & (F.col("status") == "aberto"),
             "axis_keys": F.transform(axes, lambda a: a["key"]),
+            "axis_labels": F.transform(axes, lambda a: a["label"]),
+            "relevance_reason": _why_relevant(axes),
             "themes": F.when(F.col("funding") & ~F.array_contains(front, "bolsas"), F.concat(front, F.array(F.lit("bolsas")))).otherwise(front),
             "audience": F.array_compact(F.array(*[warn(contains_any(norm, t), k) for k, t in profile.audiences.items()])),
             "warnings": F.array_compact(F.array(warn(F.col("inbound_only"), "inbound mobility"), warn(F.col("public_only"), "public institutions only"), warn(F.col("status") == "verificar", "deadline not confirmed"), warn(unlocal, "no local connection"))),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import cues, dates
 from callscope.functions import text as T
-from callscope.operators import discovery, entity, extraction, history, lint, panel, scoring, walk
+from callscope.operators import discovery, entity, extraction, history, lint, panel, scoring, terms, walk
 from callscope.operators import lexicon as L
 from callscope.plans import collect
 from callscope.sources import fixtures as X
@@ -57,10 +57,12 @@ def deadline_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {CALLS} SELECT call_id, {STATUS} AS status, {FOUND} AS deadline, strftime({FOUND}, '%d/%m/%Y') AS deadline_text,
-  CAST(date_diff('day', {DAY}, {FOUND}) AS INTEGER) AS days_left, CASE v WHEN 5 THEN 80 WHEN 7 THEN 65 ELSE 100 END AS confidence FROM calls""")
+  CAST(date_diff('day', {DAY}, {FOUND}) AS INTEGER) AS days_left, CASE v WHEN 5 THEN 80 WHEN 7 THEN 65 ELSE 100 END AS confidence,
+  CASE WHEN v = 5 THEN 'page tells of results or of the end' WHEN v = 7 THEN 'page says that applications are open' WHEN deadline < {DAY} THEN 'deadline passed on ' || strftime(deadline, '%d/%m/%Y')
+    WHEN v = 6 THEN 'announced, not open yet' ELSE 'deadline confirmed: ' || strftime(deadline, '%d/%m/%Y') END AS status_reason FROM calls""")
 def deadline_status(spark, d):
     rows = dates.with_status(X.calls(spark, d).drop("deadline"), "text", AS_OF)
-    return rows.select("call_id", "status", "deadline", "deadline_text", "days_left", "confidence")
+    return rows.select("call_id", "status", "deadline", "deadline_text", "days_left", "confidence", "status_reason")
 
 
 @query(f"""WITH {CALLS}, s AS (SELECT call_id AS id, {STATUS} AS status, date_diff('day', {DAY}, {FOUND}) AS days FROM calls)
@@ -194,6 +196,35 @@ def axis_hits(spark, d):
     return dates.settled(rows.select("kind", "id", hits.alias("hits"))).filter("hits <> ''")
 
 
+@query(ORACLE_SQL["axis_hits"])
+def axis_hits_by_table(spark, d):
+    """The axes' terms as one automaton: the rows of ``axis_hits`` whatever the table's size."""
+    rows = X.calls(spark, d).select(F.lit("c").alias("kind"), F.col("call_id").alias("id"), "text").unionByName(table(spark, d, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), "text"))
+    found = rows.select("kind", "id", terms.axis_hits(T.normalise(F.col("text")), L.PROFILE).alias("axes"))
+    hits = F.array_join(F.transform("axes", lambda a: F.concat(a["key"], F.lit("="), F.array_join(a["hits"], ","))), ";")
+    return found.select("kind", "id", hits.alias("hits")).filter("hits <> ''")
+
+
+_TERMS = f"t AS (SELECT DISTINCT unnest(string_split({_words('text')}, ' ')) AS term FROM benchmark), terms AS (SELECT CAST(row_number() OVER (ORDER BY term) AS BIGINT) AS term_id, term FROM t WHERE length(term) >= 5)"
+
+
+@query(f"WITH {_TERMS}, n AS (SELECT doc_id, {_norm('text')} AS n FROM documents) SELECT doc_id, count(*) AS n_terms, sum(term_id)::BIGINT AS ids FROM n JOIN terms ON contains(n, term) GROUP BY doc_id")
+def large_lexicon(spark, d):
+    """Every word of the benchmark's passages as a term, found in every document."""
+    words = table(spark, d, "benchmark").select(F.explode(F.split(T.normalise_words(F.col("text")), " ")).alias("term")).filter(F.length("term") >= 5).distinct()
+    # The rule table is numbered in one task, as tables of rules are.
+    numbered = words.select(F.row_number().over(Window.orderBy("term")).cast("long").alias("term_id"), "term")
+    found = terms.with_terms(table(spark, d, "documents").select("doc_id", T.normalise(F.col("text")).alias("n")), "n", storage.kept(numbered, "terms"))
+    return found.filter(F.size("term_ids") > 0).select("doc_id", F.size("term_ids").cast("long").alias("n_terms"), F.aggregate("term_ids", F.lit(0).cast("long"), lambda n, x: n + x).alias("ids"))
+
+
+@query(f"WITH {CALLS}, n AS (SELECT 'c' AS kind, call_id AS id, {_words('text')} AS n FROM calls UNION ALL SELECT 'd', doc_id, {_words('text')} FROM documents), t AS (SELECT kind, id, {_TAGS} AS tags FROM n) SELECT kind, id, array_to_string(tags, ',') AS tags FROM t WHERE len(tags) > 0")
+def theme_tags_by_table(spark, d):
+    rows = X.calls(spark, d).select(F.lit("c").alias("kind"), F.col("call_id").alias("id"), "text").unionByName(table(spark, d, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), "text"))
+    found = rows.select("kind", "id", F.array_join(terms.theme_tags(T.normalise_words(F.col("text"))), ",").alias("tags"))
+    return found.filter("tags <> ''")
+
+
 _WEIGHT = "CASE " + " ".join(f"WHEN {_has('n', a.terms)} THEN {a.weight}" for a in L.PROFILE.ranked) + " ELSE 0 END"
 _N_AXES = "(" + " + ".join(f"CAST({_has('n', a.terms)} AS INTEGER)" for a in L.PROFILE.axes) + ")"
 _PRE = f"""{_WEIGHT} + least(8, 3 * greatest({_N_AXES} - 1, 0)) + CASE WHEN {_has('n', L.PROFILE.international)} THEN 18 ELSE 0 END + CASE WHEN {_has('n', L.PROFILE.funding)} THEN 10 ELSE 0 END
@@ -220,9 +251,14 @@ e AS (SELECT *, {_INTL} AS intl, ({_has('n', L.PROFILE.opportunity)} OR dl IS NO
 g AS (SELECT *, axes > 0 AND intl AND opp AND score >= 30 AS relevant FROM e)"""
 
 
-@query(_EVAL + " SELECT call_id, status, CAST(score AS INTEGER) AS score, relevant, relevant AND status = 'aberto' AS active FROM g")
+_LABELLED = "list_filter([" + ", ".join(f"CASE WHEN {_has('n', a.terms)} THEN '{a.label}' END" for a in L.PROFILE.ranked) + "], lambda x: x IS NOT NULL)"
+
+
+@query(_EVAL + f""" SELECT call_id, status, CAST(score AS INTEGER) AS score, relevant, relevant AND status = 'aberto' AS active, array_to_string(list_filter([CASE WHEN axes > 0 THEN array_to_string({_LABELLED}[1:2], ' / ') END,
+  CASE WHEN intl THEN 'international' END, CASE WHEN {_has('n', L.PROFILE.funding)} THEN 'funding or fellowship' END, 'deadline ' || strftime(dl, '%d/%m/%Y')], lambda x: x IS NOT NULL), ' | ') AS reason FROM g""")
 def evaluate_calls(spark, d):
-    return scoring.evaluate(X.calls(spark, d).drop("deadline"), "text", AS_OF).select("call_id", "status", F.col("score").cast("int").alias("score"), "relevant", "active")
+    rows = scoring.evaluate(X.calls(spark, d).drop("deadline"), "text", AS_OF)
+    return rows.select("call_id", "status", F.col("score").cast("int").alias("score"), "relevant", "active", F.col("relevance_reason").alias("reason"))
 
 
 @query(_EVAL + " SELECT CASE WHEN NOT relevant THEN 'not relevant' WHEN status <> 'aberto' THEN 'status ' || status WHEN dl IS NULL THEN 'no confirmed deadline' ELSE 'accepted' END AS reason, count(*) AS n FROM g GROUP BY 1")
