@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -41,18 +43,59 @@ def new_path(spark: SparkSession, label: str) -> str:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    if _inside:
+        _inside[-1].append(path)
     return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+#: Paths made inside each open ``discarding``.
+_inside: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def discarding(spark: SparkSession):
+    """Tables materialised inside are deleted at the end, but those passed to the function that it gives.
+
+    For steps whose result is written: nothing reads the others again, also not after a
+    loss of executors. The shuffle files of those tables go with them, once the driver's
+    garbage is collected.
+    """
+    _inside.append([])
+    held = set()
+    try:
+        yield lambda df: held.add(df.path_of_table) or df
+    finally:
+        for path in _inside.pop():
+            if path in held:
+                if _inside:
+                    _inside[-1].append(path)
+            else:
+                _delete(spark, path)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def delete(table_read: DataFrame) -> None:
+    """Delete a materialised table that nothing reads again."""
+    _delete(table_read.sparkSession, table_read.path_of_table)
+
+
+def materialise(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts the lineage: a lost executor costs no recomputation of what came before,
     and several readers share one evaluation.
     """
     path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path, compression=compression)
+    table_read = df.sparkSession.read.schema(df.schema).parquet(path)
+    table_read.path_of_table = path
+    return table_read
 
 
 #: Bytes of an Arrow batch, so that a worker's memory does not hang on how long the texts are.

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callscope.llm.common import materialise
+from callscope.llm.common import discarding, materialise
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(a long, b long) edges -> (node, root), root being the component's least node.
+    """(a long, b long) edges -> (node, root), root being the component's least node; the result is a written table.
 
     Each round points every node at its neighbour of the least rank (or itself), follows
     the pointers twice, and contracts the edges; a node that is not a local minimum
@@ -19,6 +19,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Nodes without an edge are not listed. Loops and repeated edges are harmless; an
     empty table gives an empty result.
     """
+    with discarding(edges.sparkSession) as keep:
+        return keep(_contracted(edges))
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
     ranked = lambda c: F.struct(F.xxhash64(c).alias("rank"), F.col(c).alias("id"))
     edges = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     labels = None
@@ -39,6 +44,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
             edges = edges.join(step.select(F.col("node").alias(end), F.col("root").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
         edges = materialise(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return materialise(edges.select(F.col("a").alias("node"), F.col("b").alias("root")), "labels")
     least = labels.groupBy("root").agg(F.min("node").alias("least"))
     return materialise(labels.join(least, "root").select("node", F.col("least").alias("root")), "labels")
