@@ -145,7 +145,7 @@ def mined(spark, rows, least, **more):
     return sorted(tuple(r[c] for c in COLUMNS) for r in found.collect())
 
 
-def test_phrases_by_brute_force(spark):
+def test_phrases_by_brute_force(spark, monkeypatch):
     r = random.Random(1)
     words = ["a", "b", "A", "new", "york", "é", "É", "\x1c", "\x85", " ", "x\u2028y"]
     rows = [(r.choice(["en", "de", None, ""]), "".join(r.choice(words) + r.choice([" ", " ", " ", "\t ", ", ", "\n", "\x0b", ".", "!"]) for _ in range(r.randint(0, 60)))) for _ in range(200)]
@@ -153,6 +153,10 @@ def test_phrases_by_brute_force(spark):
     for least in (5, 12):
         want = mined_by_loop(rows, least)
         assert mined(spark, rows, least) == want and len(want) > 10
+        # Names are joined by key where there are too many for a broadcast.
+        with monkeypatch.context() as m:
+            m.setattr(collocations, "HELD_NAMES", 3)
+            assert mined(spark, rows, least) == want
     assert mined(spark, rows, 5, top=3) == mined_by_loop(rows, 5, top=3)
 
 
