@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,7 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, label)
     if path is None:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        if not _one_process(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         return df.cache()
     df.write.parquet(path)
@@ -31,8 +33,15 @@ def kept(df: DataFrame, label: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A fresh folder in the shared folder, or below the warehouse where none is named."""
-    return shared_path(spark, label) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A fresh folder in the shared folder; a session in one process may do without and gets one below its warehouse."""
+    path = shared_path(spark, label)
+    if path is None and not _one_process(spark):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return path or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _one_process(spark: SparkSession) -> bool:
+    return spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")
 
 
 def config(defaults: dict, overrides: dict | None) -> dict:
@@ -62,14 +71,74 @@ def select_sources(sources: DataFrame, asked: str | None) -> DataFrame:
     return near.withColumn("__any", any_exact).filter(F.col("__exact") | ~F.col("__any")).drop("__exact", "__any")
 
 
-def swap_in(df: DataFrame, root: str, version: str) -> str:
-    """Write a new version beside the old ones, then name it in ``root/CURRENT``: readers see whole versions only."""
+class Conflict(RuntimeError):
+    """Another writer has committed first."""
+
+
+def _files(spark: SparkSession, path: str):
+    """Hadoop's file context of a path, and the path."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    return hadoop.FileContext.getFileContext(hadoop.Path(path).toUri(), spark.sparkContext._jsc.hadoopConfiguration()), hadoop.Path(path)
+
+
+def latest(spark: SparkSession, root: str) -> tuple[int, dict]:
+    """The newest commit of a state: its number and what it says; (0, {}) if there is none."""
+    context, folder = _files(spark, f"{root.rstrip('/')}/commits")
+    if not context.util().exists(folder):
+        return 0, {}
+    numbers = [int(f.getPath().getName()) for f in context.util().listStatus(folder) if f.getPath().getName().isdigit()]
+    if not numbers:
+        return 0, {}
+    lines = spark.read.text(f"{root.rstrip('/')}/commits/{max(numbers)}", wholetext=True).first()
+    return max(numbers), json.loads(lines["value"])
+
+
+def commit(spark: SparkSession, root: str, says: dict, after: int) -> int:
+    """Make ``says`` the commit after number ``after``.
+
+    The text is written beside and renamed to its number, which fails if the number is
+    taken: of writers that start from one state one gets through, the others raise
+    ``Conflict``. Commits are never changed, so that readers see the old state or the new one, whole.
+    """
+    folder = f"{root.rstrip('/')}/commits"
+    context, target = _files(spark, f"{folder}/{after + 1}")
+    source = _files(spark, f"{folder}/.{uuid.uuid4().hex}")[1]
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.CreateOpts, 1)
+    options[0] = hadoop.Options.CreateOpts.createParent()
+    out = context.create(source, spark.sparkContext._jvm.java.util.EnumSet.of(hadoop.CreateFlag.CREATE), options)
+    try:
+        out.write(json.dumps(says).encode())
+    finally:
+        out.close()
+    none = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    none[0] = getattr(hadoop.Options.Rename, "NONE")
+    try:
+        context.rename(source, target, none)
+    except Py4JJavaError as e:
+        context.delete(source, False)
+        if "FileAlreadyExists" in str(e.java_exception) or context.util().exists(target):
+            raise Conflict(f"commit {after + 1} of {root} is taken") from e
+        raise
+    return after + 1
+
+
+def swap_in(df: DataFrame, root: str, version: str, after: int | None = None, **says) -> str:
+    """Write a new version beside the old ones, then commit it: a failure in between leaves the old state.
+
+    ``after``: the commit that the version was made from (the newest if null); ``says`` is noted with it.
+    """
     spark = df.sparkSession
-    path = f"{root.rstrip('/')}/v-{version}"
-    df.write.mode("overwrite").parquet(path)
-    spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode("overwrite").text(f"{root.rstrip('/')}/CURRENT")
+    after = latest(spark, root)[0] if after is None else after
+    path = f"{root.rstrip('/')}/v-{version}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    commit(spark, root, {"path": path, **says}, after)
     return path
 
 
 def read_current(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{root.rstrip('/')}/CURRENT").first()["value"])
+    """The state of the newest commit."""
+    number, says = latest(spark, root)
+    if not number:
+        raise FileNotFoundError(f"{root} has no commit")
+    return spark.read.parquet(says["path"])

@@ -11,22 +11,23 @@ from callscope.sources import storage
 
 
 def follow(stream: DataFrame, root: str, checkpoint: str, **options) -> StreamingQuery:
-    """Upsert each micro-batch of (key, title, status, source) into the versioned table at ``root``.
+    """Upsert each micro-batch of (key, title, status, source) into the committed state at ``root``.
 
-    Version numbers are batch numbers, so a batch that is run again after a failure
-    overwrites its own version and nothing else.
+    A commit notes its batch's number, so a batch that is run again after a failure finds
+    its own commit, or makes it from the state before. The state's first batch may have
+    any number; runs are counted by commits.
     """
 
     def run(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        try:
-            before = spark.read.parquet(f"{root}/v-{epoch - 1}") if epoch else spark.createDataFrame([], H.SCHEMA)
-        except Exception as e:
-            raise RuntimeError(f"version {epoch - 1} of {root} is missing") from e
+        number, says = storage.latest(spark, root)
+        if says.get("epoch") == epoch:
+            return
+        before = storage.read_current(spark, root) if number else spark.createDataFrame([], H.SCHEMA)
         if "position" not in batch.columns:
             # Rows of one micro-batch have no order of their own: the greatest title, then status, is the last.
             order = Window.partitionBy("key").orderBy("title", "status")
             batch = batch.withColumn("position", F.row_number().over(order))
-        storage.swap_in(H.upsert(before, batch, epoch + 1), root, str(epoch))
+        storage.swap_in(H.upsert(before, batch, number + 1), root, str(epoch), number, epoch=epoch)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).outputMode("append").trigger(**(options or {"availableNow": True})).start()
