@@ -39,7 +39,7 @@ def collapsed(batch: DataFrame) -> DataFrame:
     return found.select("key", "source", "position", "turn", *rest)
 
 
-def upsert(history: DataFrame, batch: DataFrame, run: int, ok_sources: DataFrame | None = None) -> DataFrame:
+def upsert(history: DataFrame, batch: DataFrame, run: int, ok_sources: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
     """(history, one run's rows (key, title, status, source, position, ...)) -> history'.
 
     The rows of a key are collapsed first, by ``position``, which tells the order in
@@ -49,7 +49,8 @@ def upsert(history: DataFrame, batch: DataFrame, run: int, ok_sources: DataFrame
     Open rows of a source that answered (``ok_sources``, all if null) but were not seen
     become ``verificar``. With a ``turn`` in ``ok_sources`` and the batch (the order of
     the sources) a row that only a later source lists is demoted at its own source's
-    turn and judged from there, as a run in that order does.
+    turn and judged from there, as a run in that order does. ``titles``: the records among
+    which earlier editions are looked for, where ``history`` is a part of them.
     """
     if "position" not in batch.columns:
         new = batch.withColumns({"position": F.lit(0).cast("long"), "turn": F.lit(None).cast("long")})
@@ -96,7 +97,7 @@ def upsert(history: DataFrame, batch: DataFrame, run: int, ok_sources: DataFrame
         *[c for c in history.columns if c not in (*_CORE, *_OWN, *carried)],
     )
     fresh = new.join(history.select("key"), "key", "left_anti").select("key", F.col("n_title").alias("title"), F.struct(now.alias("first_run"), F.col("n_position").alias("entry")).alias("place"))
-    known = history.select("key", "title", F.struct("first_run", "entry").alias("place")).unionByName(fresh)
+    known = (history if titles is None else titles).select("key", "title", F.struct("first_run", "entry").alias("place")).unionByName(fresh)
     # Inserted rows with the edition that they continue; titles without a year have none.
     found = previous_editions(fresh, known, url="key", order="place", earlier=True).filter("previous_url is not null")
     found = found.select("key", F.col("previous_url").cast("string").alias("__of"), F.col("previous_year").alias("__year"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions import cues, dates
 from callscope.functions import text as T
-from callscope.operators import discovery, entity, extraction, history, lint, panel, scoring, terms, walk
+from callscope.operators import discovery, entity, extraction, history, ledger, lint, panel, scoring, terms, walk
 from callscope.operators import lexicon as L
 from callscope.plans import collect
 from callscope.sources import fixtures as X
@@ -503,6 +503,31 @@ def source_turns(spark, d):
     return done.select("key", "status", F.array_join("changes", "; ").alias("changes"), "region", "points", F.get("attachments", F.lit(0)).alias("attachment"))
 
 
+_WEEKS = f"""WITH RECURSIVE e AS (SELECT user_id AS key, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 + 1 AS run, ts, event_id,
+    CASE event_type WHEN 'view' THEN 'aberto' WHEN 'click' THEN 'aberto' WHEN 'error' THEN 'encerrado' WHEN 'signup' THEN 'verificar' ELSE 'futuro' END AS status FROM events WHERE user_id % 3 <> date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 7 % 3),
+s AS (SELECT key, run, status FROM e QUALIFY row_number() OVER (PARTITION BY key, run ORDER BY ts DESC, event_id DESC) = 1),
+f AS (SELECT key, 0 AS run, NULL::VARCHAR AS status, []::VARCHAR[] AS changes, NULL::BIGINT AS first_run, NULL::BIGINT AS last_run, NULL::BIGINT AS changed_run FROM s GROUP BY key
+  UNION ALL SELECT f.key, f.run + 1, CASE WHEN n.status IS NOT NULL THEN n.status WHEN f.status = 'aberto' THEN 'verificar' ELSE f.status END,
+    CASE WHEN n.status <> f.status THEN ['status: ' || f.status || ' to ' || n.status] WHEN n.status IS NULL AND f.status = 'aberto' THEN CASE WHEN list_contains(f.changes, '{history.LOST}') THEN f.changes ELSE list_append(f.changes, '{history.LOST}') END ELSE f.changes END,
+    coalesce(first_run, CASE WHEN n.status IS NOT NULL THEN f.run + 1 END), CASE WHEN n.status IS NOT NULL THEN f.run + 1 ELSE last_run END,
+    CASE WHEN n.status <> f.status OR (n.status IS NULL AND f.status = 'aberto') THEN f.run + 1 ELSE changed_run END
+  FROM f LEFT JOIN s n ON n.key = f.key AND n.run = f.run + 1 WHERE f.run < 5)"""
+
+
+@query(_WEEKS + " SELECT key, status, array_to_string(changes, '; ') AS changes, first_run, last_run, changed_run FROM f WHERE run = 5 AND first_run IS NOT NULL")
+def history_weeks(spark, d):
+    """All days of the events as weekly runs over a bucketed ledger; a third of the keys stays out of each week."""
+    week = F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 7
+    kind = F.create_map(*map(F.lit, ("view", "aberto", "click", "aberto", "error", "encerrado", "signup", "verificar")))
+    rows = table(spark, d, "events").withColumns({"run": F.floor(week) + 1, "status": F.coalesce(F.try_element_at(kind, F.col("event_type")), F.lit("futuro"))})
+    last = rows.filter("user_id % 3 <> (run - 1) % 3").groupBy(F.col("user_id").alias("key"), "run").agg(F.max_by("status", F.struct("ts", "event_id")).alias("status"))
+    seen = storage.kept(last.select("key", F.concat(F.lit("Chamada "), "key").alias("title"), "status", (F.col("key") % 4).cast("string").alias("source"), "run"), "weeks")
+    root = storage.scratch(spark, "ledger")
+    for run in range(1, 6):
+        ledger.record(spark, root, seen.filter(F.col("run") == run).drop("run"), run, buckets=8)
+    return ledger.read(spark, root).select("key", "status", F.array_join("changes", "; ").alias("changes"), "first_run", "last_run", "changed_run")
+
+
 # Pages
 
 
