@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 
@@ -16,36 +17,63 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _plain_letters() -> tuple[str, str, list[tuple[str, str]]]:
-    """Every character below U+2200, and ligature, whose compatibility form is other ASCII text, from the Unicode rule."""
-    one, to, many = [], [], []
-    for code in [*range(0xA0, 0x2200), *range(0xFB00, 0xFB07)]:
-        plain = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
-        if plain != chr(code) and plain.isascii():
-            if len(plain) == 1:
-                one.append(chr(code))
-                to.append(plain)
-            elif plain.isalpha():
-                many.append((chr(code), plain))
-    return "".join(one), "".join(to), many
+def _decomposed() -> tuple[str, str, dict[str, str]]:
+    """The compatibility decomposition without combining marks, from the Unicode rule: characters, what each becomes, and those that become several.
 
-
-_FROM, _TO, _MANY = _plain_letters()
-#: The multi-letter characters that occur in running text; each costs a pass.
-_LIGATURES = "ﬀﬁﬂﬃﬄĲĳ"
+    Characters beyond the second string's length vanish. Hangul is left to ``_HANGUL``.
+    """
+    one, gone, many = {}, [], {}
+    for code in (*range(0xA0, 0xAC00), *range(0xD7A4, 0xD800), *range(0xE000, 0x20000), *range(0x2F800, 0x2FA20)):
+        char = chr(code)
+        plain = "".join(c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c))
+        if plain == char:
+            continue
+        if len(plain) == 1:
+            one[char] = plain
+        elif plain:
+            many[char] = plain
+        else:
+            gone.append(char)
+    return "".join([*one, *gone]), "".join(one.values()), many
+
+
+def _ranges(chars) -> str:
+    """A regular expression's class of characters."""
+    spans: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if spans and spans[-1][1] == code - 1:
+            spans[-1][1] = code
+        else:
+            spans.append([code, code])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in spans) + "]"
+
+
+_FROM, _TO, _MANY = _decomposed()
+_SEVERAL = _ranges([*_MANY, chr(0xAC00), *map(chr, range(0xAC01, 0xD7A4))])
+#: Leading, vowel and trailing letters of Hangul; a syllable's number is (leading * 21 + vowel) * 28 + trailing.
+_HANGUL = tuple("".join(map(chr, range(first, first + n))) for first, n in ((0x1100, 19), (0x1161, 21), (0x11A8, 27)))
+
+
+def _spread(char: Column) -> Column:
+    """What a character that becomes several becomes."""
+    number = F.ascii(char) - 0xAC00
+    letter = lambda table, at: F.substring(F.lit(table), at + 1, F.lit(1))
+    trailing = number % 28
+    syllable = F.concat(letter(_HANGUL[0], (number / 588).cast("int")), letter(_HANGUL[1], (number % 588 / 28).cast("int")), F.when(trailing > 0, letter(_HANGUL[2], trailing - 1)).otherwise(""))
+    table = F.from_json(F.lit(json.dumps(_MANY)), "map<string,string>")
+    return F.when(number.between(0, 0xD7A3 - 0xAC00), syllable).otherwise(F.coalesce(F.try_element_at(table, char), char))
 
 
 def strip_accents(text: Column) -> Column:
-    """Compatibility form without combining marks; case and spaces stay. Native for all Latin text.
+    """Compatibility form (NFKD) without combining marks, of any script; case and spaces stay. Native.
 
-    ASCII text passes after one look, ligatures are spread only where there are any.
+    ASCII text passes after one look; characters that become several are replaced
+    one after another, each once, where a text has any.
     """
-    out = F.regexp_replace(F.translate(text, _FROM, _TO), r"\p{M}+", "")
-    spread = out
-    for char, plain in _MANY:
-        if char in _LIGATURES:
-            spread = F.replace(spread, F.lit(char), F.lit(plain))
-    out = F.when(out.rlike(f"[{_LIGATURES}]"), spread).otherwise(out)
+    out = F.translate(text, _FROM, _TO)
+    several = F.array_distinct(F.regexp_extract_all(out, F.lit(_SEVERAL), F.lit(0)))
+    spread = F.aggregate(several, out, lambda t, c: F.replace(t, c, _spread(c)))
+    out = F.when(out.rlike(_SEVERAL), spread).otherwise(out)
     return F.when(text.rlike(r"[^\x00-\x7F]"), out).otherwise(text)
 
 

@@ -105,6 +105,21 @@ def normalize_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.normalise(F.col("text"))).alias("a"), F.md5(T.strip_accents(F.col("text"))).alias("plain"))
 
 
+#: Titles in several scripts and their normal forms; ``{n}`` is a row's number.
+_SCRIPTS = (
+    ("Edital № {n}", "edital no {n}"), ("Θέση Ερευνητή {n}", "θεση ερευνητη {n}"), ("Йошкар-Ола, конкурс {n}", "иошкар-ола, конкурс {n}"), ("Ｅｄｉｔａｌ　{n}", "edital {n}"), ("Chamada … {n}", "chamada ... {n}"),
+    ("½ bolsa ①", "1⁄2 bolsa 1"), ("ﬁnanciamento ﬃ {n}", "financiamento ffi {n}"), ("Ação nº {n}ª", "acao no {n}a"), ("한국 {n}", "\u1112\u1161\u11ab\u1100\u116e\u11a8 {n}"), ("㌀ {n}", "アハート {n}"), ("Grant {n}", "grant {n}"),
+)
+
+
+@query("SELECT p_partkey AS id, replace([" + ", ".join(f"'{t}'" for _, t in _SCRIPTS) + f"][CAST(p_partkey % {len(_SCRIPTS)} + 1 AS BIGINT)], '{{n}}', CAST(p_partkey AS VARCHAR)) AS title FROM part")
+def normalize_scripts(spark, d):
+    """Ligatures, Greek, Cyrillic, wide and numbered forms, Hangul and squared words."""
+    title = F.element_at(F.array(*[F.lit(t) for t, _ in _SCRIPTS]), (F.col("p_partkey") % len(_SCRIPTS) + 1).cast("int"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.replace(title, F.lit("{n}"), F.col("p_partkey").cast("string")).alias("title"))
+    return rows.select("id", T.normalise(F.col("title")).alias("title"))
+
+
 @query("SELECT doc_id, len(regexp_extract_all(text, '[a-zà-ÿ][A-ZÀ-Þ]'))::INTEGER AS n FROM documents")
 def glued_case_count(spark, d):
     return table(spark, d, "documents").select("doc_id", T.glued_cases(F.col("text")).alias("n"))
