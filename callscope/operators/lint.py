@@ -48,7 +48,7 @@ def findings(sources: DataFrame) -> DataFrame:
 
 
 def fixed(sources: DataFrame) -> DataFrame:
-    """The safe corrections: schemes added, a root of another site replaced by the first candidate's.
+    """The safe corrections: schemes added, a root of another site replaced by the first candidate's that has a host.
 
     ``fixes`` names what was changed; rows without it are as they were. The corrected
     table is a new one, the old one stays as the backup (``storage.swap_in``).
@@ -56,7 +56,7 @@ def fixed(sources: DataFrame) -> DataFrame:
     urls = F.transform("urls", lambda u: F.when((F.trim(u) != "") & ~u.rlike("^https?://"), F.concat(F.lit("https://"), u)).otherwise(u))
     rows = sources.withColumns({"urls": urls, "__urls": F.col("urls"), "__root": F.col("root")})
     root = F.when(F.coalesce("root", F.lit("")) == "", F.col("root")).when(F.col("root").rlike("^https?://"), F.col("root")).otherwise(F.concat(F.lit("https://"), F.col("root")))
-    hosts = F.array_sort(F.transform("urls", host_of))
-    rows = rows.withColumn("root", F.when((F.size("urls") > 0) & ~F.array_contains(hosts, host_of(root)) & (F.coalesce("root", F.lit("")) != ""), F.concat(F.lit("https://"), F.get(hosts, F.lit(0)))).otherwise(root))
+    hosts = F.filter(F.transform("urls", host_of), lambda h: h != "")
+    rows = rows.withColumn("root", F.when((F.size(hosts) > 0) & ~F.array_contains(hosts, host_of(root)) & (F.coalesce("root", F.lit("")) != ""), F.concat(F.lit("https://"), F.get(hosts, F.lit(0)))).otherwise(root))
     changed = lambda c, name: F.when(~F.col(c).eqNullSafe(F.col(f"__{c}")), F.lit(name))
     return rows.withColumn("fixes", F.array_compact(F.array(changed("urls", "scheme of a url"), changed("root", "root")))).drop("__urls", "__root")

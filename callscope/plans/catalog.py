@@ -574,10 +574,16 @@ def pdf_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(html.pdf_text(lambda raw: raw.decode())(F.col("html").cast("binary"))).alias("text_md5"))
 
 
-@query("""WITH s AS (SELECT page_id, html, coalesce(list_sum(list_transform(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1), lambda x: length(x))), 0)::INTEGER AS script_chars, len(regexp_extract_all(html, '(?is)<a\\s[^>]*href'))::INTEGER AS n_links FROM pages)
-SELECT page_id, script_chars, n_links, false AS needs_script FROM s""")
+_SCRIPTED = """SELECT page_id, CASE page_id % 5 WHEN 0 THEN '<html><body><div id="app"> </div><script src="/a.js"></script></body></html>' WHEN 1 THEN concat('<html><a href="/x">x</a><script>', repeat('var a=1;', CAST(300 + page_id % 7 AS INT)), '</script></html>')
+  WHEN 2 THEN concat('<p>', repeat('word ', 1000), '</p><script>', repeat('var a=1;', 300), '</script>') ELSE html END AS html FROM {pages}"""
+
+
+@query(f"""WITH p AS ({_SCRIPTED.format(pages='pages')}), s AS (SELECT page_id, (coalesce(list_sum(list_transform(regexp_extract_all(html, '(?is)<script[^>]*>(.*?)</script>', 1), lambda x: length(x))), 0) + CASE WHEN page_id % 5 = 0 THEN 200 ELSE 0 END)::INTEGER AS script_chars, len(regexp_extract_all(html, '(?is)<a\\s[^>]*href'))::INTEGER AS n_links FROM p)
+SELECT page_id, script_chars, n_links, page_id % 5 < 2 AS needs_script FROM s""")
 def js_page_heuristic(spark, d):
-    return extraction.script_shell(table(spark, d, "pages")).select("page_id", "script_chars", "n_links", "needs_script")
+    """Pages of which two fifths are shells for scripts: an empty mount point, or much script around one link."""
+    pages = spark.sql(_SCRIPTED, pages=table(spark, d, "pages"))
+    return extraction.script_shell(pages).select("page_id", "script_chars", "n_links", "needs_script")
 
 
 @query("""WITH i AS (SELECT l_orderkey AS h, l_linenumber AS pos, l_partkey % 6 AS k FROM lineitem), j AS (SELECT *, CASE k WHEN 0 THEN 13 WHEN 1 THEN -7 WHEN 2 THEN -10 WHEN 3 THEN -10 WHEN 4 THEN 3 ELSE 11 END AS s,
@@ -780,39 +786,61 @@ def replacement_pages(spark, d):
 # Configuration and panel
 
 
-_SOURCES = [
-    ("A", "es", ["https://a.org/x?pg=1&pg=2"], "https://a.org", "ul li", "query", "pg", 5),
-    ("A", "mars", ["a.org/list"], "b.org", None, "template", None, 40),
-    ("B", "nacional", [], "", "a", "auto", None, None),
-    ("C", "internacional", ["https://www.c.org/?status=closed", "https://c.org/a=b"], "https://c.org", "a", "query", None, 3),
-]
-_EXPECTED = [
-    ("A", "error", "name repeated", 2), ("A", "warning", "parameter repeated", 1), ("A", "error", "region invalid", 1), ("A", "error", "url without scheme", 1),
-    ("A", "error", "root without scheme", 1), ("A", "error", "root of another site", 1), ("A", "warning", "selector missing", 1), ("A", "error", "template without marker", 1),
-    ("A", "warning", "many pages", 1), ("B", "error", "urls missing", 1), ("B", "warning", "root missing", 1), ("C", "warning", "closed calls only", 1),
-    ("C", "warning", "filter in path", 1), ("C", "error", "query without parameter", 1),
-]
+#: A source a supplier, with the address of the page of its number; the faults go by its number.
+_SOURCES = """SELECT CASE WHEN s_suppkey % 9 = 0 THEN concat('Shared ', s_suppkey % 27) WHEN s_suppkey % 17 = 0 THEN '' ELSE s_name END AS name,
+  CASE s_suppkey % 6 WHEN 0 THEN 'es' WHEN 1 THEN 'nacional' WHEN 2 THEN 'mars' WHEN 3 THEN '' ELSE 'internacional' END AS region,
+  CASE s_suppkey % 8 WHEN 0 THEN {none} WHEN 1 THEN {l}url{r} WHEN 2 THEN {l}'a.org/x', bare{r} WHEN 3 THEN {l}concat(bare, '?pg=1&pg=2'){r} WHEN 4 THEN {l}concat(bare, '?status=closed'){r} WHEN 5 THEN {l}concat(bare, '/a=b'){r}
+    WHEN 6 THEN {l}concat(bare, '/{{pagina}}'), ''{r} ELSE {l}bare{r} END AS urls,
+  CASE s_suppkey % 7 WHEN 0 THEN '' WHEN 1 THEN 'https://other.org' WHEN 2 THEN host ELSE concat('https://', host) END AS root,
+  CASE WHEN s_suppkey % 4 > 0 THEN 'ul li' END AS selector, CASE s_suppkey % 5 WHEN 0 THEN 'auto' WHEN 1 THEN 'query' WHEN 2 THEN 'template' WHEN 3 THEN 'scroll' END AS page_kind,
+  CASE WHEN s_suppkey % 3 = 0 THEN 'pg' END AS page_parameter, CAST(s_suppkey % 40 AS INT) AS max_pages, s_suppkey
+FROM {supplier} AS s JOIN (SELECT page_id, url, regexp_replace(url, '[?#].*$', '') AS bare, regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host FROM {pages}) AS p ON page_id = s_suppkey"""
+
+
+def _configured(spark, d):
+    sql = _SOURCES.format(none="array()", l="array(", r=")", supplier="{supplier}", pages="{pages}")
+    # The marker's braces would be read as a table's name.
+    sql = sql.replace("/{pagina}", "/<pagina>")
+    rows = spark.sql(sql, supplier=table(spark, d, "supplier"), pages=table(spark, d, "pages"))
+    return rows.withColumn("urls", F.transform("urls", lambda u: F.replace(u, F.lit("<pagina>"), F.lit("{pagina}"))))
+
+
+_CONFIGURED = "src AS (" + _SOURCES.format(none="[]::VARCHAR[]", l="[", r="]", supplier="supplier", pages="pages") + ")"
+_HOST_OF = lambda u: f"regexp_replace(lower(regexp_extract({u}, '^[a-z]+://([^/?#:]*)', 1)), '^www\\.', '')"
+_ANY = lambda test: f"len(list_filter(urls, lambda u: {test})) > 0"
+_RULES = (
+    ("error", "name missing", "name = ''"), ("error", "region missing", "region = ''"), ("error", "urls missing", "len(urls) = 0"), ("error", "name repeated", "count(*) OVER (PARTITION BY name) > 1"),
+    ("error", "region invalid", "region NOT IN ('', 'es', 'nacional', 'internacional')"), ("error", "url empty", _ANY("u = ''")), ("error", "url without scheme", _ANY("u <> '' AND NOT regexp_matches(u, '^https?://')")),
+    ("warning", "filter in path", _ANY("NOT contains(u, '?') AND contains(u, '=')")), ("warning", "parameter repeated", _ANY("contains(u, 'pg=1&pg=2')")), ("warning", "closed calls only", _ANY("contains(u, '?status=closed')")),
+    ("warning", "root missing", "root = ''"), ("error", "root without scheme", "root <> '' AND NOT starts_with(root, 'https://')"),
+    ("error", "root of another site", f"root <> '' AND len(urls) > 0 AND NOT list_contains(list_transform(urls, lambda u: {_HOST_OF('u')}), {_HOST_OF("CASE WHEN contains(root, '://') THEN root ELSE 'https://' || root END")})"),
+    ("warning", "selector missing", "selector IS NULL"), ("error", "page kind invalid", "page_kind = 'scroll'"), ("error", "template without marker", f"page_kind = 'template' AND NOT {_ANY("contains(u, 'pagina}')")}"),
+    ("error", "query without parameter", "page_kind = 'query' AND page_parameter IS NULL"), ("warning", "many pages", "max_pages > 25"),
+)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{lv}', '{r}', {c}::BIGINT)" for n, lv, r, c in _EXPECTED) + ") AS t(name, level, rule, n)")
+@query(f"WITH {_CONFIGURED}, found AS (" + " UNION ALL ".join(f"SELECT name, '{level}' AS level, '{rule}' AS rule FROM (SELECT name, {test} AS hit FROM src) WHERE hit" for level, rule, test in _RULES) + ") SELECT name, level, rule, count(*) AS n FROM found GROUP BY ALL")
 def config_lint(spark, d):
-    return lint.findings(spark.createDataFrame(_SOURCES, lint.SCHEMA)).groupBy("name", "level", "rule").agg(F.count("*").alias("n"))
+    return lint.findings(_configured(spark, d)).groupBy("name", "level", "rule").agg(F.count("*").alias("n"))
 
 
-_FIXED = [("A", "https://a.org/x?pg=1&pg=2", "https://a.org", ""), ("A", "https://a.org/list", "https://a.org", "scheme of a url,root"), ("B", "", "", ""), ("C", "https://www.c.org/?status=closed https://c.org/a=b", "https://c.org", "")]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{u}', '{r}', '{x}')" for n, u, r, x in _FIXED) + ") AS t(name, urls, root, fixes)")
+@query(f"""WITH {_CONFIGURED}, u AS (SELECT *, list_transform(urls, lambda u: CASE WHEN u <> '' AND NOT regexp_matches(u, '^https?://') THEN 'https://' || u ELSE u END) AS whole, CASE WHEN root = '' OR starts_with(root, 'https://') THEN root ELSE 'https://' || root END AS full_root FROM src),
+h AS (SELECT *, list_filter(list_transform(whole, lambda u: {_HOST_OF('u')}), lambda h: h <> '') AS hosts FROM u),
+f AS (SELECT *, CASE WHEN len(hosts) > 0 AND root <> '' AND NOT list_contains(hosts, {_HOST_OF('full_root')}) THEN 'https://' || hosts[1] ELSE full_root END AS new_root FROM h)
+SELECT s_suppkey AS id, array_to_string(whole, ' ') AS urls, new_root AS root, concat_ws(',', CASE WHEN whole <> urls THEN 'scheme of a url' END, CASE WHEN new_root <> root THEN 'root' END) AS fixes FROM f""")
 def config_fixed(spark, d):
-    """The sources above with their safe corrections, and what was corrected."""
-    return lint.fixed(spark.createDataFrame(_SOURCES, lint.SCHEMA)).select("name", F.array_join("urls", " ").alias("urls"), "root", F.array_join("fixes", ",").alias("fixes"))
+    """Those sources with their safe corrections, and what was corrected."""
+    return lint.fixed(_configured(spark, d)).select(F.col("s_suppkey").alias("id"), F.array_join("urls", " ").alias("urls"), "root", F.array_join("fixes", ",").alias("fixes"))
 
 
-@query("SELECT * FROM (VALUES ('pages', '9'), ('quiet', 'true'), ('title', 'x')) AS t(key, value)")
+@query("""WITH s AS (SELECT s_suppkey AS source, s_suppkey % 4 AS k, CAST(s_suppkey % 9 AS VARCHAR) AS pages, s_name FROM supplier)
+SELECT source, 'pages' AS key, CASE WHEN k = 1 THEN pages ELSE '3' END AS value FROM s UNION ALL SELECT source, 'quiet', 'true' FROM s UNION ALL SELECT source, 'title', s_name FROM s WHERE k = 1""")
 def config_overlay(spark, d):
-    """Defaults under overrides; notes are left out."""
-    found = storage.config({"pages": "3", "quiet": "true"}, {"pages": "9", "title": "x", "_note": "y"})
-    return spark.createDataFrame(sorted(found.items()), "key string, value string")
+    """Every source's settings: its own over the defaults; notes are left out."""
+    k = F.col("s_suppkey")
+    own = F.create_map(F.lit("pages"), (k % 9).cast("string"), F.lit("title"), F.col("s_name"), F.lit("_note"), F.lit("y"))
+    overrides = F.when(k % 4 == 1, own).when(k % 4 == 2, F.create_map(F.lit("_pages"), F.lit("7")))
+    return storage.effective_config(table(spark, d, "supplier").select(k.alias("source"), overrides.alias("overrides")), {"pages": "3", "quiet": "true"})
 
 
 @query("SELECT s_suppkey AS id, s_name AS name FROM supplier WHERE s_suppkey % 2 = 0")

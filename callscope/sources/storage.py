@@ -49,6 +49,14 @@ def config(defaults: dict, overrides: dict | None) -> dict:
     return defaults | {k: v for k, v in (overrides or {}).items() if not k.startswith("_")}
 
 
+def effective_config(sources: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """(source, overrides map<string,string>) -> source, key, value: ``config`` for every source, as rows; null overrides change nothing."""
+    own = F.map_filter(F.coalesce("overrides", F.create_map().cast("map<string,string>")), lambda k, _: ~F.startswith(k, F.lit("_")))
+    under = F.create_map(*[F.lit(x) for pair in defaults.items() for x in pair]) if defaults else F.create_map().cast("map<string,string>")
+    kept_under = F.map_filter(under, lambda k, _: ~F.map_contains_key(own, k))
+    return sources.select("source", F.explode(F.map_concat(kept_under, own)))
+
+
 def read_json_or(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON rows, an empty table if the path is missing; corrupt rows are left out."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
