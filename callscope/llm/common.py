@@ -71,8 +71,7 @@ def discarding(spark: SparkSession):
                     _inside[-1].append(path)
             else:
                 _delete(spark, path)
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+        _collect_garbage(spark)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -80,9 +79,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def _collect_garbage(spark: SparkSession) -> None:
+    """Shuffle files stay until the driver collects what stands for them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def delete(table_read: DataFrame) -> None:
     """Delete a materialised table that nothing reads again."""
     _delete(table_read.sparkSession, table_read.path_of_table)
+    _collect_garbage(table_read.sparkSession)
 
 
 def materialise(df: DataFrame, label: str, compression: str | None = None) -> DataFrame:
