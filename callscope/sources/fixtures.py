@@ -90,10 +90,10 @@ SELECT user_id AS key, run_no, status, event_id FROM (
   SELECT user_id, event_id, {diff} + 1 AS run_no,
     CASE event_type WHEN 'view' THEN 'aberto' WHEN 'click' THEN 'aberto' WHEN 'error' THEN 'encerrado' WHEN 'signup' THEN 'verificar' ELSE 'futuro' END AS status,
     row_number() OVER (PARTITION BY user_id, {diff} ORDER BY ts DESC, event_id DESC) AS place
-  FROM {events}) AS e WHERE place = 1"""
-OBSERVED_SQL = _OBSERVED.format(diff="date_diff('day', DATE '2024-01-01', CAST(ts AS DATE))", events="events")
+  FROM {events}) AS e WHERE place = 1 AND user_id % 5 <> run_no"""
+OBSERVED_SQL = _OBSERVED.format(diff="date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 15", events="events")
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last state of each key in each run."""
-    return spark.sql(_OBSERVED.format(diff="datediff(CAST(ts AS DATE), DATE '2024-01-01')", events="{events}"), events=table(spark, sf_dir, "events"))
+    """The last state of each key in each run: all days as runs of half a month, some keys absent from each."""
+    return spark.sql(_OBSERVED.format(diff="datediff(CAST(ts AS DATE), DATE '2024-01-01') div 15", events="{events}"), events=table(spark, sf_dir, "events"))
