@@ -112,11 +112,13 @@ PAGER_CLASSES = (
     "nav-links", "wp-pagenavi", "pages", "paging", "page-nav",
 )
 
+# Fixed values.
 TITLE_PREFIXES = (
     r"^em\s+(?:C[áa]tedra|Estudantes|Pesquisadores\s+e\s+Professores|Profissionais|Professores|Alunos|Institui[çc][õo]es|Universidades|Escolas)\s+",
     r"^(?:Categoria|Tipo|Se[çc][ãa]o|Programa)\s*:\s*",
     r"^\s*[-–—•]\s+",
 )
+# Fixed values.
 BODY_CUES = (
     r"\s+A\s+Comiss[ãa]o\s+[\w,\s]{0,40}?(?:oferece|receber|com\s+apoio)",
     r"\s+S[ãa]o\s+oferecidas?\s+",
@@ -133,6 +135,7 @@ BODY_CUES = (
     r"\s+Para\s+(?:professor|pesquisador|estudante|aluno|profissional)e?s?\s+",
     r"\s+(?:Bolsa|Programa|Chamada)\s+(?:para|de)\s+\w+\s+\w+\s+(?:em|na|no|nos|nas)\s+",
 )
+# Fixed values.
 NAVIGATION = (
     r"^(?:apresenta[çc][ãa]o|hist[óo]rico|miss[ãa]o(?:\s+e\s+valores)?|quem\s+somos)$",
     r"^(?:in[íi]cio|home|p[áa]gina\s+inicial|portal)$",
@@ -176,6 +179,7 @@ NAVIGATION = (
 )
 OPPORTUNITY_MARKS = r"\b(chamada|edital|programa\s+\w|bolsas?\s+(?:de|para)|call\s+for|convocat|appel|fellowship|grant|scholarship|pr[êe]mio|c[áa]tedra|auxílio\s+(?:a|para)|sandu[íi]che|mobility|exchange|interc[âa]mbio\s+\w)\b"
 
+# Fixed values.
 COUNTRIES = (
     "alemanha", "alemao", "alema", "germany", "german",
     "franca", "frances", "francesa", "france", "french",

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 LINKS = "array<struct<kind: string, place: int, href: string, label: string, names: array<string>, headers: array<string>, lead: string, container: boolean, date_text: string, context: string>>"
+#: Defaults: a wider surrounding text is passed over for a narrower one, a longer lead is cut (None lifts either).
 SCAN_CONTEXT, LEAD = 5000, 160
 
 # Where a block's heading is looked for, in this order.
@@ -83,7 +84,7 @@ class Page(HTMLParser):
     def inside(self, node: _Node) -> list[_Node]:
         return self.nodes[node.at + 1 : node.end]
 
-    def headings(self, node: _Node, first) -> tuple[list[str], str]:
+    def headings(self, node: _Node, first, lead_chars: int | None = LEAD) -> tuple[list[str], str]:
         """Candidate headings of a block, best place first, and the beginning of its text."""
         if node.heading is None:
             wanted = [*([first] if first else []), *_DEFAULT]
@@ -94,7 +95,7 @@ class Page(HTMLParser):
                         found[i] = n
                 if len(found) == len(wanted):
                     break
-            node.heading = [self.text_of(found[i]) for i in sorted(found)], self.text_of(node)[:LEAD]
+            node.heading = [self.text_of(found[i]) for i in sorted(found)], self.text_of(node)[:lead_chars]
         return node.heading
 
 
@@ -153,7 +154,7 @@ def _ancestors(node: _Node) -> list[_Node]:
     return out
 
 
-def links_of(html: str | None, css: str | None, title_css: str | None, date_css: str | None) -> list[dict]:
+def links_of(html: str | None, css: str | None, title_css: str | None, date_css: str | None, widest: int | None = SCAN_CONTEXT, lead_chars: int | None = LEAD) -> list[dict]:
     """Every link of every block that ``css`` selects (kind ``selector``), then every link of the page (kind ``scan``)."""
     page = Page(html or "")
     blocks, titles, dates = selector(css), selector(title_css), selector(date_css)
@@ -164,7 +165,7 @@ def links_of(html: str | None, css: str | None, title_css: str | None, date_css:
         out.append({"kind": kind, "place": len(out), "href": a.attrs["href"].strip(), "label": page.text_of(a), "names": names, "headers": headers, "lead": lead, "container": container, "date_text": date_text, "context": context})
 
     for block in (n for n in page.nodes if blocks and matches(n, blocks)):
-        headers, lead = page.headings(block, titles)
+        headers, lead = page.headings(block, titles, lead_chars)
         dated = next((n for n in page.inside(block) if dates and matches(n, dates)), None)
         around = page.text_of(block, " ")
         container = block.tag == "details" or bool(CONTAINER.search(block.attrs.get("class", "")))
@@ -177,20 +178,20 @@ def links_of(html: str | None, css: str | None, title_css: str | None, date_css:
         if a.tag == "a" and "href" in a.attrs:
             headers, around = [], ""
             for above in _ancestors(a):
-                found, lead = page.headings(above, None)
+                found, lead = page.headings(above, None, lead_chars)
                 headers += [*found, lead]
                 if len(around) < 60:
                     text = page.text_of(above, " ")
-                    around = text if 20 <= len(text) <= SCAN_CONTEXT else around
+                    around = text if 20 <= len(text) and (widest is None or len(text) <= widest) else around
             add("scan", a, list(dict.fromkeys(headers)), "", False, "", around)
     return out
 
 
-def listing_links(css: str | None, title_css: str | None = None, date_css: str | None = None):
-    """A column function over HTML."""
+def listing_links(css: str | None, title_css: str | None = None, date_css: str | None = None, widest: int | None = SCAN_CONTEXT, lead_chars: int | None = LEAD):
+    """A column function over HTML. ``widest``: characters of the widest text around a link of a whole page; ``lead_chars``: of a text that stands in for a heading. None lifts either."""
 
     @F.pandas_udf(LINKS)
     def run(html: pd.Series) -> pd.Series:
-        return html.map(lambda page: links_of(page, css, title_css, date_css))
+        return html.map(lambda page: links_of(page, css, title_css, date_css, widest, lead_chars))
 
     return run

@@ -37,9 +37,9 @@ def _size(df: DataFrame) -> int:
 #: Titles as pages have them: menus, calls, body text, markup; ``{n}`` is a row's number.
 TITLES = (
     "Regimento interno da universidade", "Licitações e contratos do estado {n}", "Bolsas no exterior", "Como funciona o programa", "Atas da comissão de {n}",
-    "Notícias", "Conselho Científico {n}", "internacional Alemanha", "Graduação", "Editais abertos", "Formulários e modelos {n}", "Perguntas frequentes",
+    "Notícias", "Conselho Científico {n}", "internacional Islândia", "Graduação", "Editais abertos", "Formulários e modelos {n}", "Perguntas frequentes",
     "Edital {n}/2026 de pesquisa conjunta", "Chamada pública {n} de cooperação", "Programa de bolsas {n} para doutorado sanduíche", "Prêmio Jovem Cientista {n}",
-    "GraduaçãoComo funciona o portal da universidade e seus cursos todos aqui {n}", "BiodivConnect Chamada Transnacional Conjunta de Biodiversidade e Clima {n}",
+    "GraduaçãoComo funciona o portal da universidade e seus cursos todos aqui {n}", "MareViva Chamada Transnacional Conjunta de Oceanos e Clima {n}",
     "Resultado da SeleçãoLista dos aprovados do processo nº {n} da universidade federal", "Termo de Cooperação {n}", "Termo aditivo {n} da cooperação",
     "Edital {n} de apoio à pesquisa aplicada Este edital abre inscrições para docentes", "Chamada {n} de mobilidade acadêmica Destinada a estudantes de mestrado",
     "Categoria: Chamada {n} de mobilidade", "em Pesquisadores e Professores Bolsa de estudos {n}", "• Prêmio anual {n}.", "Edital curto Este edital {n} fica",
