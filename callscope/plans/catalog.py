@@ -760,10 +760,11 @@ _LABELS = ("Editais abertos", "Chamadas públicas", "Contato", "Bolsas e auxíli
 _SITE = "regexp_extract(url, '^([a-z]+://[^/?#]*)', 1)"
 
 
-@query(f"""WITH a AS (SELECT page_id, {_SITE} AS source, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS url, html, [{', '.join(repr(x) for x in _LABELS)}][CAST(page_id % {len(_LABELS)} + 1 AS BIGINT)] AS label FROM pages),
+@query(f"""WITH a AS (SELECT page_id, {_SITE} AS source, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS url, url AS raw, [{', '.join(repr(x) for x in _LABELS)}][CAST(page_id % {len(_LABELS)} + 1 AS BIGINT)] AS label FROM pages),
 b AS (SELECT *, {_words('label')} AS t, {_words("replace(replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '-', ' '), '/', ' ')")} AS p FROM a),
-s AS (SELECT source, url, label, page_id, CASE WHEN {_has("concat_ws(' ', t, p)", cues.LISTING_VETOES)} THEN 0 ELSE greatest(0, {_HINT} - CASE WHEN regexp_matches(url, '[0-9]{{2,}}[-_/][0-9]{{4}}') THEN 3 ELSE 0 END) END AS score FROM b),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY score DESC, page_id) AS place FROM s WHERE score > 0 QUALIFY place <= 11), -- the twelfth is the link to a page that is gone
+z AS (SELECT source, url, raw, label, page_id, CASE WHEN {_has("concat_ws(' ', t, p)", cues.LISTING_VETOES)} THEN 0 ELSE greatest(0, {_HINT} - CASE WHEN regexp_matches(url, '[0-9]{{2,}}[-_/][0-9]{{4}}') THEN 3 ELSE 0 END) END AS score FROM b),
+m AS (SELECT url, arg_min(page_id, raw) AS page_id FROM z GROUP BY url), s AS (SELECT source, url, max(score) AS score, min(page_id) AS first, arg_min(label, page_id - score::BIGINT * 1000000000) AS label FROM z WHERE score > 0 GROUP BY source, url),
+r AS (SELECT s.*, page_id, row_number() OVER (PARTITION BY source ORDER BY score DESC, first) AS place FROM s JOIN m USING (url) QUALIFY place <= 11), -- the twelfth is the link to a page that is gone
 {_ANCHOR}, i AS (SELECT DISTINCT page_id, {_SITE} || href AS url, regexp_extract(href, '([^/]*)/*$', 1) AS slug FROM l WHERE starts_with(href, '/')),
 n AS (SELECT page_id, url, concat_ws(' ', {_words("slug")}, {_words("replace(replace(url, '-', ' '), '/', ' ')")}) AS n, {_words("slug")} AS label FROM i),
 c AS (SELECT page_id, count(*) FILTER (length(label) >= 12 AND len({_TAGS}) > 0) AS n_calls FROM n GROUP BY page_id),
