@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from callscope.functions import cues, dates
 from callscope.functions import text as T
-from callscope.operators import discovery, entity, extraction, history, ledger, lint, panel, scoring, terms, walk
+from callscope.operators import discovery, entity, extraction, history, ledger, lint, panel, scoring, search, terms, walk
 from callscope.operators import lexicon as L
 from callscope.plans import collect
 from callscope.sources import fixtures as X
@@ -877,6 +878,29 @@ def facet_search(spark, d):
     return panel.facets(_panel(spark, d), region="nacional", eligibility="unblocked", themes=("mobilidade", "cooperacao", "internacional"), search="MOBILIDADE", searched=("text", "region")).select("call_id")
 
 
+#: A search for each kind of field, one over the border of two, one of two characters.
+_SEARCHES = ("CHAMADA 12", "fonte 7 nacional", "funding or fellowship | deadline 1", "Partner Abroad", "edital 7", "7 ")
+_TITLE = "CASE WHEN call_id % 7 = 0 THEN concat('Édital ', call_id) ELSE concat('Chamada ', call_id) END"
+_REASON = f"array_to_string(list_filter([CASE WHEN axes > 0 THEN array_to_string({_LABELLED}[1:2], ' / ') END, CASE WHEN intl THEN 'international' END, CASE WHEN {_has('n', L.PROFILE.funding)} THEN 'funding or fellowship' END, 'deadline ' || strftime(dl, '%d/%m/%Y')], lambda x: x IS NOT NULL), ' | ')"
+
+
+@query(_EVAL + f""", x AS (SELECT call_id, strip_accents(lower(concat_ws(' ', {_TITLE}, 'Fonte ' || source_no, CASE source_no % 3 WHEN 0 THEN 'es' WHEN 1 THEN 'nacional' ELSE 'internacional' END, {_REASON},
+  CASE WHEN contains(n, 'joint research') THEN 'Joint research partner abroad' END))) AS text FROM g WHERE call_id % 11 > 0)
+SELECT asked, call_id FROM x, (VALUES {', '.join(f"('{a}')" for a in _SEARCHES)}) AS s(asked) WHERE contains(text, trim(lower(asked)))""")
+def panel_search(spark, d):
+    """The panel's eight fields through an index of two runs: all calls, then those with other titles and those taken out."""
+    root, region = storage.scratch(spark, "search"), F.col("region")
+    fields = search.searched_text(F.col("title"), F.concat(F.lit("Fonte "), "source_no"), region, F.col("relevance_reason"), F.col("axis_labels"), F.col("themes"), F.col("r"), F.col("audience"))
+    rows = _panel(spark, d).withColumn("title", F.expr(_TITLE))
+    rows = storage.kept(rows.select("call_id", fields.alias("text")), "panel")
+    first = rows.withColumn("text", F.when(F.col("call_id") % 7 == 0, F.replace("text", F.lit("Édital"), F.lit("Chamada"))).otherwise(F.col("text")))
+    search.extend(first, root, "call_id", "text")
+    gone = F.col("call_id") % 11 == 0
+    search.extend(rows.filter(gone | (F.col("call_id") % 7 == 0)).withColumn("text", F.when(~gone, F.col("text"))), root, "call_id", "text")
+    found = [search.search(spark, root, asked).select(F.lit(asked).alias("asked"), F.col("key").alias("call_id")) for asked in _SEARCHES]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(_PANEL.replace("q AS (SELECT call_id,", f"q AS (SELECT call_id, date_diff('day', {DAY}, dl) AS days,") + " SELECT call_id, CAST(row_number() OVER (ORDER BY status = 'aberto' DESC, priority DESC, coalesce(days, 99999), call_id) AS INTEGER) AS place FROM q QUALIFY place <= 100")
 def panel_top(spark, d):
     """The panel's first hundred rows, a report of fixed length."""
