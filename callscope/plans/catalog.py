@@ -14,7 +14,7 @@ from callscope.operators import discovery, entity, extraction, history, ledger,
 from callscope.operators import lexicon as L
 from callscope.plans import collect
 from callscope.sources import fixtures as X
-from callscope.sources import html, storage
+from callscope.sources import html, site, storage
 from callscope.sources.fixtures import AS_OF, table
 
 QUERIES: dict = {}
@@ -945,6 +945,17 @@ def panel_rows(spark, d):
     return panel.panel_json(rows, [F.col("id")])
 
 
+@query(_PANEL + """ SELECT call_id, status, region, eligibility, priority, concat('<b>Chamada ', call_id, '</script>\\n') AS title FROM q""")
+def panel_site(spark, d):
+    """The panel published twice as scripts and a page, and the second one read back."""
+    root = storage.scratch(spark, "site")
+    title = F.concat(F.lit("<b>Chamada "), "call_id", F.lit("</script>\\n"))
+    rows = storage.kept(_panel(spark, d).select("call_id", "status", "region", "eligibility", "priority", "days_left", title.alias("title")), "site")
+    for part in (rows.filter("status = 'aberto'"), rows):
+        site.publish(part, root, [*panel.order("default"), F.col("call_id")], "Editais", ["title", "status", "region"], 4000)
+    return site.published(spark, root, rows.drop("days_left").schema)
+
+
 @query("SELECT event_id, ts >= TIMESTAMP '2024-01-20 00:00:00' - INTERVAL 7 DAY AS is_new FROM events")
 def new_window(spark, d):
     return table(spark, d, "events").select("event_id", panel.is_new(F.col("ts"), F.lit("2024-01-20 00:00:00").cast("timestamp")).alias("is_new"))

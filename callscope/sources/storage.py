@@ -101,6 +101,32 @@ def latest(spark: SparkSession, root: str) -> tuple[int, dict]:
     return max(numbers), json.loads(lines["value"])
 
 
+def put(spark: SparkSession, path: str, text: str) -> str:
+    """Write a small new file, with its folders; returns its path."""
+    context, target = _files(spark, path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    options = spark.sparkContext._gateway.new_array(hadoop.Options.CreateOpts, 1)
+    options[0] = hadoop.Options.CreateOpts.createParent()
+    out = context.create(target, spark.sparkContext._jvm.java.util.EnumSet.of(hadoop.CreateFlag.CREATE), options)
+    try:
+        out.write(text.encode())
+    finally:
+        out.close()
+    return path
+
+
+def renumbered(spark: SparkSession, folder: str, suffix: str) -> list[str]:
+    """Rename the data files of a written folder by their order: 00001, 00002, ...; empty ones and marks stay out of the list."""
+    context, path = _files(spark, folder)
+    files = [(f.getPath().getName(), f.getPath()) for f in context.util().listStatus(path) if f.getLen()]
+    data = [old for name, old in sorted(files, key=lambda f: f[0]) if name.startswith("part-")]
+    none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    names = [f"{i:05d}{suffix}" for i in range(1, len(data) + 1)]
+    for old, name in zip(data, names):
+        context.rename(old, _files(spark, f"{folder}/{name}")[1], none)
+    return names
+
+
 def commit(spark: SparkSession, root: str, says: dict, after: int) -> int:
     """Make ``says`` the commit after number ``after``.
 
@@ -110,15 +136,8 @@ def commit(spark: SparkSession, root: str, says: dict, after: int) -> int:
     """
     folder = f"{root.rstrip('/')}/commits"
     context, target = _files(spark, f"{folder}/{after + 1}")
-    source = _files(spark, f"{folder}/.{uuid.uuid4().hex}")[1]
+    source = _files(spark, put(spark, f"{folder}/.{uuid.uuid4().hex}", json.dumps(says)))[1]
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
-    options = spark.sparkContext._gateway.new_array(hadoop.Options.CreateOpts, 1)
-    options[0] = hadoop.Options.CreateOpts.createParent()
-    out = context.create(source, spark.sparkContext._jvm.java.util.EnumSet.of(hadoop.CreateFlag.CREATE), options)
-    try:
-        out.write(json.dumps(says).encode())
-    finally:
-        out.close()
     none = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
     none[0] = getattr(hadoop.Options.Rename, "NONE")
     try:
