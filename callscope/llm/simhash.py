@@ -7,12 +7,13 @@ what there is, no word gives fingerprint zero.
 Linking works on the distinct fingerprints. The pivot table holds each one's Hamming
 distances to ``BANDS`` families of ``FAMILY`` reference fingerprints. The references
 of a family are alike outside one band of eight bits, so the differences between a
-family's distances (its relative coordinates) depend on that band alone.
+family's distances (its relative coordinates) depend on that band alone. The
+references are drawn until they tell all 256 values of their band apart.
 
 1. Fingerprints at most two bits apart differ in two bands at most: for six of the
    eight families all relative coordinates are equal. An equi-join on the coordinates
    of six families, for each of the 28 choices of six, meets every link. A bucket's
-   members differ in two bands only, so it never has more than 65,536 of them,
+   members are equal in six bands, so it never has more than 65,536 of them,
    whatever the corpus, and all buckets are treated alike.
 2. A pair is discarded if any of its ``len(CHECKED)`` further absolute coordinates
    differ by more than two (triangle inequality).
@@ -37,18 +38,25 @@ from callscope.llm.components import connected_components
 from callscope.llm.resemblance import near_copies
 
 DISTANCE = 2
-BANDS, FAMILY = 8, 6
+BANDS, FAMILY = 8, 7
 _WIDTH = 64 // BANDS
 
 
+def _tell_apart(places: list[int]) -> bool:
+    """Whether the differences between a value's distances to the places are another list for each value of a band."""
+    first, *rest = places
+    return len({tuple((x ^ p).bit_count() - (x ^ first).bit_count() for p in rest) for x in range(1 << _WIDTH)}) == 1 << _WIDTH
+
+
 def _references() -> list[list[int]]:
-    """The families: random references that share all bits outside their band."""
+    """The families: random references that share all bits outside their band and tell its values apart."""
     r = random.Random(8)
     out = []
     for band in range(BANDS):
         mask = ((1 << _WIDTH) - 1) << (_WIDTH * band)
         shared = r.getrandbits(64) & ~mask
-        out.append([shared | at << (_WIDTH * band) for at in r.sample(range(1 << _WIDTH), FAMILY)])
+        places = next(p for p in iter(lambda: r.sample(range(1 << _WIDTH), FAMILY), None) if _tell_apart(p))
+        out.append([shared | at << (_WIDTH * band) for at in places])
     return out
 
 

@@ -575,6 +575,17 @@ def test_dense_groups_lose_no_link(spark):
     assert [roots.get(f, f) for f in fps] == own.tolist()
 
 
+def test_relative_coordinates_tell_bands_apart():
+    values = np.random.default_rng(3).integers(0, 1 << 56, 4).tolist()
+    for band, (first, *rest) in enumerate(simhash.PIVOTS):
+        low = (1 << 8 * band) - 1
+        for value in values:
+            # The other bits do not matter; each value of the band has coordinates of its own.
+            within = [(value & low) | x << 8 * band | (value & ~low) << 8 for x in range(256)]
+            seen = [tuple((w ^ p).bit_count() - (w ^ first).bit_count() for p in rest) for w in within]
+            assert len(set(seen)) == 256
+
+
 def test_pivot_coordinates_are_distances(spark):
     r = random.Random(9)
     fps = [simhash._signed(r.getrandbits(64)) for _ in range(50)]
