@@ -183,3 +183,11 @@ def test_stream_follows_runs(spark, tmp_path):
         incremental.follow(stream, root, f"file://{tmp_path}/checkpoint").awaitTermination()
     (row,) = storage.read_current(spark, root).collect()
     assert row.status == "encerrado" and row.first_run == 1 and row.last_run == 2
+
+
+def test_references_count_with_their_semicolon():
+    from callscope.sources.html import text_of
+
+    assert text_of("<h1>R&amp;D&amp;&amp</h1><p>a &copy 2026 &quot;b&quot; A&T</p>") == 'R&D&&amp a &copy 2026 "b" A&T'
+    linked = '<script type="application/ld+json">{"deadline": "1 & 2 &amp 3"}</script>'
+    assert text_of(linked + "x") == "deadline: 1 & 2 &amp 3 x"
