@@ -191,3 +191,32 @@ def test_references_count_with_their_semicolon():
     assert text_of("<h1>R&amp;D&amp;&amp</h1><p>a &copy 2026 &quot;b&quot; A&T</p>") == 'R&D&&amp a &copy 2026 "b" A&T'
     linked = '<script type="application/ld+json">{"deadline": "1 & 2 &amp 3"}</script>'
     assert text_of(linked + "x") == "deadline: 1 & 2 &amp 3 x"
+
+
+def test_trees_find_what_alternations_find():
+    import re
+
+    from callscope.functions import cues
+    from callscope.functions.text import any_pattern, any_prefix_pattern, prefix_pattern
+
+    terms = ("open call", "open", "call open", "status: open", "a.b", "joint research", "research grant", "re")
+    texts = ["the open calls", "status: openx", "axb", "a.b", "joint new big research", "joint a b c re search", "researc", "pre", "", *cues.CLOSED, *cues.DEADLINE, *terms]
+    for some in (terms, terms[3:], terms[:1], cues.DEADLINE, cues.CLOSED):
+        for t in texts:
+            assert bool(re.search(any_pattern(some), t)) == any(x in t for x in some)
+            assert bool(re.search(any_prefix_pattern(some), t)) == any(re.search(prefix_pattern(x), t) for x in some)
+    for month in cues.MONTHS:
+        assert re.search(rf"{any_pattern(cues.MONTHS, whole=True)}\b", f"de {month} de")[0] == month
+    assert any_prefix_pattern(()) == ""
+
+
+def test_long_rules_are_written_once(spark):
+    """Filters on the status do not look for its cues again, and a text is brought to its words once for all themes."""
+    from callscope.functions import dates
+    from callscope.operators import scoring
+
+    assert not any("rlike" in rule for rule in dates._STATUS.values())
+    rows = spark.createDataFrame([("Joint research fellowship, mobilidade academica",), (None,), ("Grants abroad",)], "text string")
+    found = rows.select(scoring.text_tags(F.col("text")).alias("tags"), scoring.theme_tags(text.normalise_words(F.col("text"))).alias("plain"))
+    assert all(r.tags == r.plain for r in found.collect())
+    assert scoring.text_tags(F.col("text"))._jc.toString().count("regexp_replace") < scoring.theme_tags(text.normalise_words(F.col("text")))._jc.toString().count("regexp_replace")
