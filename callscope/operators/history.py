@@ -31,11 +31,18 @@ def changes(old_title: Column, new_title: Column, old_status: Column, new_status
 
 
 def collapsed(batch: DataFrame) -> DataFrame:
-    """One row a key: the last by ``position``, with the first source, position and turn of the key's rows."""
-    every = F.struct(*[F.col(f"`{c}`") for c in batch.columns])
+    """One row a key: the last by ``position``, with the first source, position and turn of the key's rows.
+
+    Of rows of one key and position that of the least ``__line`` counts, where the rows have
+    that column (as of ``fixtures.numbered``), else any; it is not part of the result.
+    """
+    own = [c for c in batch.columns if c != "__line"]
+    every = F.struct(*[F.col(f"`{c}`") for c in own])
+    line = ["__line"] if "__line" in batch.columns else []
+    placed = lambda at: F.when(F.col("position").isNotNull(), F.struct(at, *line))
     turn = F.min("turn") if "turn" in batch.columns else F.lit(None)
-    found = batch.groupBy("key").agg(F.max_by(every, "position").alias("last"), F.min_by("source", "position").alias("source"), F.min("position").cast("long").alias("position"), turn.cast("long").alias("turn"))
-    rest = [f"last.{c}" for c in batch.columns if c not in ("key", "source", "position", "turn")]
+    found = batch.groupBy("key").agg(F.min_by(every, placed(-F.col("position"))).alias("last"), F.min_by("source", placed(F.col("position"))).alias("source"), F.min("position").cast("long").alias("position"), turn.cast("long").alias("turn"))
+    rest = [f"last.{c}" for c in own if c not in ("key", "source", "position", "turn")]
     return found.select("key", "source", "position", "turn", *rest)
 
 

@@ -13,6 +13,18 @@ def test_matches_oracle(spark, name):
     assert oracle.difference(spark, name, SF, catalog.QUERIES, catalog.ORACLE_SQL) == ""
 
 
+def test_of_lines_of_one_position_the_first_read_counts(spark, tmp_path):
+    import random
+
+    import pandas as pd
+
+    r = random.Random(4)
+    rows = [(key, line, part) for key in range(300) for line, part in ((1, 1_000_005), (2, 5), (1, 3))]
+    r.shuffle(rows)
+    pd.DataFrame(rows, columns=["l_orderkey", "l_linenumber", "l_partkey"]).to_parquet(tmp_path / "lineitem.parquet")
+    assert oracle.difference(spark, "history_repeats", str(tmp_path), catalog.QUERIES, catalog.ORACLE_SQL) == ""
+
+
 def test_entry(spark):
     import __spark_entry__
 
