@@ -25,3 +25,12 @@ def test_replacements(spark):
 def test_replacements_of_nothing(spark):
     none = spark.createDataFrame([], "url string, html string")
     assert discovery.replacements(spark.createDataFrame([], "source string, url string"), none).count() == 0
+
+
+def test_of_equal_urls_the_first_page_counts(spark):
+    listed = "".join(f"<a href='/{i}'>Chamada de mobilidade acadêmica {i}</a>" for i in range(3))
+    pages = [(9, "https://h.org/editais", "<p>nada</p>"), (2, "https://h.org/editais", listed), (5, "https://h.org/editais", "<p>a</p>"), (None, "https://h.org/", "<a href='/editais'>Editais abertos</a>")]
+    homes = spark.createDataFrame([("s", "https://h.org")], "source string, url string")
+    for order in (pages, pages[::-1]):
+        frame = spark.createDataFrame(order, "page_id long, url string, html string").coalesce(1)
+        assert [r.n_calls for r in discovery.replacements(homes, frame).collect()] == [3]
