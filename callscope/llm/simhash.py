@@ -161,14 +161,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """Keep of each group of near copies one row, all columns as they are.
 
-    Near copies are those of ``resemblance``: five-word shingles, a similarity of 0.8
-    or more; this module's shingles and distance are op8's contract only. The row kept
+    The texts' fingerprints are linked through the pivot tables, as for ``near_duplicates``,
+    and linked texts are compared (``resemblance``: five-word shingles, a similarity of 0.8
+    or more). Near copies beyond ``DISTANCE`` bits follow by an exact prefix filter among
+    what is still apart, as no radius is sure to meet each of them. The row kept
     has the group's least doc_id (rows without one come last), then the least text hash;
     of rows equal in both the least by their other columns. Unrelated texts that share a
     doc_id are groups of their own. Equal rows are reduced where they are read, so that
     a text in very many rows is a row a task after that.
     """
-    groups = materialise(near_copies(docs), "near-copies")
+    linked = lambda marks: links(marks.select(F.col("mark").alias("fp")))
+    groups = materialise(near_copies(docs, lambda text: _signed(fingerprint(text)), linked), "near-copies")
     place = F.struct(F.col("doc_id").isNull(), "doc_id", "hash")
     winners = groups.groupBy("root").agg(F.min(place).alias("w")).select("w.doc_id", "w.hash")
     repeats = groups.groupBy("doc_id", "hash").agg(F.count("*").alias("n")).filter("n > 1")

@@ -693,6 +693,30 @@ def test_stage_keeps_one_of_near_copies_by_brute_force(spark, docs, monkeypatch)
         assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, frame, SF).collect()} == want
 
 
+def test_stage_links_by_fingerprints_and_meets_a_pair_once(spark, monkeypatch):
+    from callscope.llm import resemblance
+
+    r = random.Random(6)
+    base = [f"w{i}" for i in range(1500)]
+    # Any two texts share most of their shingles and are not similar enough.
+    texts = [" ".join(w if i not in own else f"x{r.randrange(10**6)}" for i, w in enumerate(base)) for own in [set(r.sample(range(1500), 22)) for _ in range(25)]]
+    long = [f"v{i}" for i in range(2000)]
+    texts += [" ".join(long), " ".join([*long[:-1], "end"])]
+    assert (simhash.fingerprint(texts[-1]) ^ simhash.fingerprint(texts[-2])).bit_count() <= simhash.DISTANCE
+    met, inner = [], resemblance._verified
+
+    def verified(pairs, nodes, docs):
+        found = inner(pairs, nodes, docs)
+        met.append((pairs.count(), pairs.distinct().count(), found.count()))
+        return found
+
+    monkeypatch.setattr(resemblance, "_verified", verified)
+    kept = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert kept.count() == len(texts) - 1
+    first, last = met[0], met[-1]
+    assert first[2] == 1 and last[1] > 150 and last[0] <= 1.5 * last[1]
+
+
 def test_chat_edges(spark, empty):
     from pyspark.sql import functions as F
 
