@@ -269,3 +269,10 @@ def test_dates_stand_where_they_are(spark):
     value = "de 123/4/2027, 3/4/2027 e 03/04/2027; 2027-04-05 ou 12027-04-05. 5 de marco de 2027\u0001 march 9th, 2027 123 de maio 2027"
     rows = dates.with_dates(spark.createDataFrame([(value,)], "x string"), "x").first().dates
     assert [(value[d.start : d.end], d.day.isoformat()) for d in rows] == [("3/4/2027", "2027-04-03"), ("03/04/2027", "2027-04-03"), ("2027-04-05", "2027-04-05"), ("5 de marco de 2027", "2027-03-05"), ("march 9th, 2027", "2027-03-09")]
+
+
+def test_accents_are_looked_up_once_a_text(spark):
+    """The table of characters stands once in the expression: each further time is one more pass over the text."""
+    assert str(text.strip_accents(F.col("x"))).count("translate(") == 1
+    assert one(spark, "É ﬁm … 한국 ½ ﬁm", text.strip_accents(F.col("x"))) == "E fim ... 한국 1⁄2 fim"
+    assert one(spark, None, text.strip_accents(F.col("x"))) is None and one(spark, None, text.normalise(F.col("x"))) == ""
