@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from callscope.functions.dates import settled
 from callscope.functions.text import signature_tokens, without_year, year_of
 from callscope.operators.components import components
 from callscope.sources.storage import kept
@@ -12,20 +13,25 @@ from callscope.sources.storage import kept
 
 def tokenised(df: DataFrame, title: str) -> DataFrame:
     """Adds tokens, year and the call-number token (any token that begins with ``num``)."""
-    rows = df.withColumn("tokens", signature_tokens(F.col(title)))
+    rows = settled(df.withColumn("tokens", signature_tokens(F.col(title))))
     number = F.get(F.filter("tokens", lambda t: F.startswith(t, F.lit("num"))), F.lit(0))
     return rows.withColumns({"year": year_of(F.col(title)), "number": number})
 
 
 #: Sets with a key above which it is hot and pairs are looked for by longer keys; tokens of the longest keys; edges of a component that one task folds. None changes a result.
-HOT, DEPTH, FOLD = 100, 3, 200_000
+HOT, DEPTH, FOLD = 10_000, 3, 200_000
+#: Columns of 64 marks each: whether an odd number of a set's tokens has the mark.
+MARKS = tuple(f"marks{i}" for i in range(4))
 
 
 def _lines(sets: DataFrame) -> DataFrame:
-    """Sets with ``line``, their tokens rarest first, in place of ``tokens``, and its length ``n``."""
+    """Sets with ``line``, their tokens rarest first, in place of ``tokens``, its length ``n`` and the set's marks."""
     rows = sets.select("set_id", F.explode("tokens").alias("token"))
     rarity = rows.groupBy("token").agg(F.count("*").alias("df"))
-    ordered = rows.join(rarity, "token").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("line"))
+    mark = F.pmod(F.xxhash64("token"), F.lit(64 * len(MARKS))).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), mark % 64)
+    marks = [F.bit_xor(F.when(F.floor(mark / 64) == i, bit).otherwise(F.lit(0).cast("long"))).alias(c) for i, c in enumerate(MARKS)]
+    ordered = rows.join(rarity, "token").groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("line"), *marks)
     return sets.drop("tokens").join(ordered, "set_id").withColumns({"line": F.col("line.token"), "n": F.size("line")})
 
 
@@ -35,37 +41,46 @@ def _candidates(lines: DataFrame, least: float, by: tuple, fits) -> DataFrame:
     Similar sets share ``depth`` of the first n - ceil(least n) + depth tokens of each, for
     every depth up to their overlap. Keys of one token are taken first; sets whose shared
     key is hot are looked for by that key and one more token, and so on; where a pair
-    may share no more than the key, it is taken at once.
+    may share no more than the key, it is taken at once. Sets that meet are compared in the
+    join by size, places and marks, so that hardly any but similar ones leave it.
     """
     need = F.ceil(F.lit(least) * F.col("n") - F.lit(1e-9)).cast("int")
     prefix = lambda depth: F.slice("line", 1, F.least(F.col("n"), F.col("n") - need + depth))
-    own = [c for c in lines.columns if c not in ("line", "n")]
-    rows = lines.select(*own, "n", F.posexplode(prefix(1)).alias("place", "key")).withColumn("key", F.array("key"))
-    group = [*by, "key"]
+    own = [c for c in lines.columns if c != "line"]
+    rows = lines.select(*own, F.posexplode(prefix(1)).alias("place", "key")).withColumn("key", F.array("key"))
+    group = [*by, "at"]
     found = None
     for depth in range(1, DEPTH + 1):
-        rows = kept(rows, "set-keys")
-        shared = rows.groupBy(*group).agg(F.count("*").alias("sharing")).filter("sharing > 1")
-        met = rows.join(shared.withColumnsRenamed({c: f"__{c}" for c in group}), [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group]).drop(*[f"__{c}" for c in group])
-        met = kept(met, "set-keys")
+        # Keys meet by their hash: sets that it brings together by chance are told apart like any others.
+        rows = kept(rows.withColumn("at", F.xxhash64("key")), "set-keys")
         last = depth == DEPTH
-        joined = met if last else met.filter((F.col("sharing") <= HOT) | (F.col("n") * least <= depth + 1e-6))
+        hot = None if last else kept(rows.groupBy(*group).agg(F.count("*").alias("sharing")).filter(F.col("sharing") > HOT), "hot-keys")
+        last = last or hot.isEmpty()
+        if last:
+            met = joined = rows.withColumn("hot", F.lit(False))
+        else:
+            named = hot.select(*[F.col(c).alias(f"__{c}") for c in group], F.lit(True).alias("hot"))
+            met = rows.join(named, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group], "left").drop(*[f"__{c}" for c in group]).withColumn("hot", F.coalesce("hot", F.lit(False)))
+            joined = met.filter(~F.col("hot") | (F.col("n") * least <= depth + 1e-6))
         x, y = joined.alias("x"), joined.alias("y")
         # Tokens before and after the place that both share bound the overlap.
+        both = F.col("x.n") + F.col("y.n")
         bound = F.least("x.place", "y.place") + 1 + F.least(F.col("x.n") - F.col("x.place"), F.col("y.n") - F.col("y.place")) - 1
-        enough = bound * (1 + least) + 1e-6 >= least * (F.col("x.n") + F.col("y.n"))
+        enough = bound * (1 + least) + 1e-6 >= least * both
         sized = (F.col("x.n") >= F.lit(least) * F.col("y.n")) & (F.col("y.n") >= F.lit(least) * F.col("x.n"))
+        # Marks that differ are at most as many as the tokens that only one has.
+        apart = sum((F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in MARKS[1:]), F.bit_count(F.col(f"x.{MARKS[0]}").bitwiseXOR(F.col(f"y.{MARKS[0]}"))))
+        near = apart * (1 + least) <= both * (1 - least) + 1e-6
         # Hot keys stand for pairs that need share no more tokens than the key has; longer keys find the others.
-        told = F.lit(True) if last else (F.col("x.sharing") <= HOT) | ((F.col("x.n") + F.col("y.n")) * least <= depth * (1 + least) + 1e-6)
+        told = F.lit(True) if last else ~F.col("x.hot") | (both * least <= depth * (1 + least) + 1e-6)
         same = [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in by]
-        pairs = x.join(y, [F.col("x.key") == F.col("y.key"), *same, fits, sized, told, *([enough] if depth == 1 else [])])
+        pairs = x.join(y, [F.col("x.at") == F.col("y.at"), *same, fits, sized, told, near, *([enough] if depth == 1 else [])])
         pairs = pairs.select(F.col("x.set_id").alias("a"), F.col("y.set_id").alias("b"))
         found = pairs if found is None else found.unionByName(pairs)
-        hot = met.filter(F.col("sharing") > HOT)
-        if last or hot.isEmpty():
+        if last:
             break
-        more = hot.select("set_id", "key").join(lines, "set_id").withColumn("token", F.explode(F.array_except(prefix(depth + 1), F.col("key"))))
-        rows = more.select(*own, "n", F.lit(0).alias("place"), F.array_sort(F.array_append("key", F.col("token"))).alias("key")).distinct()
+        more = met.filter("hot").select("set_id", "key").join(lines, "set_id").withColumn("token", F.explode(F.array_except(prefix(depth + 1), F.col("key"))))
+        rows = more.select(*own, F.lit(0).alias("place"), F.array_sort(F.array_append("key", F.col("token"))).alias("key")).distinct()
     return found.distinct()
 
 

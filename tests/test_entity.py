@@ -61,6 +61,18 @@ def test_a_word_in_every_set_pairs_nothing(spark, monkeypatch):
     assert sizes[1] <= 8 * max(sizes[0], 10)
 
 
+def test_keys_grow_with_the_sets_where_every_token_is_shared(spark, monkeypatch):
+    """Sets of 40 of 46 words: a key of one token has most sets, and there are half a thousand keys of three a set."""
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(46)]
+    sets = [(i, 2026, None, sorted(r.sample(words, 40))) for i in range(130)]
+    keys = []
+    monkeypatch.setattr(entity, "kept", lambda df, label, f=entity.kept: (keys.append(df.count()) if label == "set-keys" else None) or f(df, label))
+    want = {(a[0], b[0]) for a in sets for b in sets if a[0] < b[0] and jaccard(set(a[3]), set(b[3])) >= 0.8}
+    assert {(x.a, x.b) for x in entity.similar_pairs(spark.createDataFrame(sets, SETS), 0.8).collect()} == want and want
+    assert sum(keys) <= 130 * 10
+
+
 def test_followers_by_folds_and_rounds(spark):
     r = random.Random(2)
     edges = sorted({tuple(sorted(r.sample(range(120), 2))) for _ in range(130)})
