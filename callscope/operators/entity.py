@@ -184,15 +184,24 @@ def representatives(clustered: DataFrame, url: str = "url", source: str = "sourc
     return best.select("r.*", F.filter("all", lambda s: ~((s["source"] == F.col(f"r.{source}")) & (s["url"] == F.col(f"r.{url}")))).alias("also_at"))
 
 
-def previous_editions(new: DataFrame, known: DataFrame, title: str = "title", url: str = "url", order: str = "position", least: float = 0.75, earlier: bool = False) -> DataFrame:
+def front(pairs: DataFrame) -> DataFrame:
+    """Older editions (year, tokens, o, likeness, __rank) that are the best of those before some row: each comes before all that are better."""
+    better = Window.partitionBy("year", "tokens").orderBy(F.col("likeness").desc(), F.col("__rank").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    first = pairs.withColumn("__first", F.min("o").over(better))
+    return first.filter(F.col("__first").isNull() | (F.col("o") < F.col("__first"))).drop("__first")
+
+
+def previous_editions(new: DataFrame, known: DataFrame, title: str = "title", url: str = "url", order: str = "position", least: float = 0.75, earlier: bool = False, own: bool = False) -> DataFrame:
     """Left rows with previous_url and previous_year: the most similar older edition, first inserted on ties.
 
-    With ``earlier`` only known rows that come before the left row by ``order`` count.
+    With ``earlier`` only known rows that come before the left row by ``order`` count;
+    with ``own`` the left rows are known as well.
     """
     family = signature_tokens(without_year(F.col(title)))
-    side = lambda df: df.withColumns({"year": year_of(F.col(title)), "tokens": family}).filter(F.col("year").isNotNull() & (F.size("tokens") > 0))
-    # Equal (year, tokens) sets of either side meet once; members are found again by both.
-    rows, older_rows = side(new), side(known)
+    side = lambda df: settled(df.select(url, order, year_of(F.col(title)).alias("year"), family.alias("tokens"))).filter(F.col("year").isNotNull() & (F.size("tokens") > 0))
+    # Titles are brought to tokens once; equal (year, tokens) sets of either side meet once; members are found again by both.
+    rows = kept(side(new), "dated")
+    older_rows = side(known).unionByName(rows) if own else side(known)
     if rows.isEmpty() or older_rows.isEmpty():
         return new.withColumns({"previous_url": F.lit(None).cast(dict(known.dtypes)[url]), "previous_year": F.lit(None).cast("int")})
     n = rows.select("year", "tokens").distinct()
@@ -205,12 +214,12 @@ def previous_editions(new: DataFrame, known: DataFrame, title: str = "title", ur
     pairs = pairs.select("year", "tokens", "y", "o", "u", F.col("similarity").alias("likeness"))
     best = F.max_by(F.struct("u", "y"), F.struct("likeness", "__rank")).alias("b")
     last = Window.partitionBy("year", "tokens").orderBy(F.col("o").desc())
+    ranked = pairs.withColumn("__rank", F.row_number().over(last))
     if not earlier:
-        found = pairs.withColumn("__rank", F.row_number().over(last)).groupBy("year", "tokens").agg(best)
+        found = ranked.groupBy("year", "tokens").agg(best)
         out = new.withColumns({"__y": year_of(F.col(title)), "__t": family}).alias("l").join(found.alias("r"), (F.col("__y") == F.col("r.year")) & (F.col("__t") == F.col("r.tokens")), "left")
         return out.select(*[F.col(f"l.`{c}`") for c in new.columns], F.col("r.b.u").alias("previous_url"), F.col("r.b.y").alias("previous_year"))
-    ranked = pairs.withColumn("__rank", F.row_number().over(last)).distinct()
-    met = rows.join(ranked, ["year", "tokens"]).filter(F.col("o") < F.col(order))
+    met = rows.join(front(ranked.distinct()), ["year", "tokens"]).filter(F.col("o") < F.col(order))
     found = met.groupBy(url).agg(best)
     return new.join(found, url, "left").select(*[F.col(f"`{c}`") for c in new.columns], F.col("b.u").alias("previous_url"), F.col("b.y").alias("previous_year"))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from callscope.functions.text import signature
 from callscope.operators.entity import previous_editions
+from callscope.sources import storage
 
 SCHEMA = "key long, title string, status string, source string, first_run long, last_run long, changed_run long, changes array<string>, new_edition_of string, previous_year int, entry long"
 FIRST = ("source", "region", "date_text", "edition_year", "first_seen")
@@ -104,9 +105,9 @@ def upsert(history: DataFrame, batch: DataFrame, run: int, ok_sources: DataFrame
         *[c for c in history.columns if c not in (*_CORE, *_OWN, *carried)],
     )
     fresh = new.join(history.select("key"), "key", "left_anti").select("key", F.col("n_title").alias("title"), F.struct(now.alias("first_run"), F.col("n_position").alias("entry")).alias("place"))
-    known = (history if titles is None else titles).select("key", "title", F.struct("first_run", "entry").alias("place")).unionByName(fresh)
+    known = (history if titles is None else titles).select("key", "title", F.struct("first_run", "entry").alias("place"))
     # Inserted rows with the edition that they continue; titles without a year have none.
-    found = previous_editions(fresh, known, url="key", order="place", earlier=True).filter("previous_url is not null")
+    found = previous_editions(storage.kept(fresh, "fresh"), known, url="key", order="place", earlier=True, own=True).filter("previous_url is not null")
     found = found.select("key", F.col("previous_url").cast("string").alias("__of"), F.col("previous_year").alias("__year"))
     joined = rows.join(found, "key", "left").withColumns({"new_edition_of": F.coalesce("new_edition_of", "__of"), "previous_year": F.coalesce("previous_year", "__year")})
     return joined.select(*rows.columns)

@@ -136,3 +136,14 @@ def test_editions_by_brute_force(spark, monkeypatch):
     assert {x.position: (x.previous_url, x.previous_year) for x in entity.previous_editions(frame, frame).collect()} == want
     none = entity.previous_editions(frame, frame.limit(0))
     assert none.count() == 120 and none.filter("previous_url is not null").count() == 0
+
+
+def test_only_editions_that_may_be_the_best_are_met(spark):
+    """Of 40 older editions as like as each other a row meets the first alone; what is left gives any row the best before it."""
+    r = random.Random(9)
+    pairs = [(2026, ["a"], o, 0.8, 40 - o) for o in range(40)] + [(2025, ["b"], o, r.choice([0.75, 0.8, 0.9, 1.0]), 40 - o) for o in r.sample(range(40), 20)]
+    left = [tuple(x) for x in entity.front(spark.createDataFrame(pairs, "year int, tokens array<string>, o int, likeness double, __rank int")).collect()]
+    assert [x[2] for x in left if x[0] == 2026] == [0]
+    for at in range(41):
+        best = lambda rows: max(((x[3], x[4], x[2]) for x in rows if x[0] == 2025 and x[2] < at), default=None)
+        assert best(left) == best(pairs)
