@@ -51,3 +51,14 @@ def test_automaton_equals_the_expressions(spark):
     usable = tuple(L.Theme(t.key, t.priority, tuple(w for w in t.words if w)) for t in themes)
     both = rows.withColumn("w", T.normalise_words(F.col("text"))).select("id", terms.theme_tags(F.col("w"), themes).alias("one"), scoring.theme_tags(F.col("w"), usable).alias("other"), terms.axis_hits(F.col("w"), L.PROFILE).alias("hits"), scoring.axis_hits(F.col("w"), L.PROFILE).alias("native")).collect()
     assert all(list(x.one) == list(x.other) and x.hits == x.native for x in both) and any(x.one for x in both)
+
+
+def test_texts_come_to_workers_in_bounded_batches(spark):
+    """A batch is bounded by bytes, not by ten thousand texts of any length, and one Python function names the terms."""
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    rows = spark.createDataFrame([(1, "recoil " * 50)], "id long, text string")
+    found = terms.with_terms(rows, "text", spark.createDataFrame([(7, "coil"), (3, "recoil")], "term_id long, term string"))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 1 << 23
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "named(" not in plan
+    assert found.first().term_ids == [3, 7]
