@@ -108,3 +108,13 @@ def test_deadline_at_the_end_of_a_long_detail_page(spark):
     details = spark.createDataFrame([("u5", "filler text " * 16_000 + ". Apply by October 1, 2026.")], "url string, text string")
     (row,) = collect.judged(rows, sources, details, "2026-08-20").collect()
     assert row.reason is None and row.detail_read
+
+
+def test_accented_candidates_are_judged_like_plain_ones(spark):
+    plain = "Chamada de cooperacao internacional com mobilidade academica e bolsas. Inscricoes ate 10/10/2026."
+    accented = "Chamada de cooperação internacional com mobilidade acadêmica e bolsas. Inscrições até 10/10/2026."
+    rows = spark.createDataFrame([("s", i, "Projeto conjunto", f"u{i}", t) for i, t in enumerate((plain, accented))], "source string, position long, title string, url string, context string")
+    sources = spark.createDataFrame([("s", None, None)], "source string, need_date boolean, max_details int")
+    details = spark.createDataFrame([], "url string, text string")
+    got = [(r.pre_score, r.score, r.reason, r.deadline) for r in collect.judged(rows, sources, details, "2026-08-20").orderBy("position").collect()]
+    assert got[0] == got[1] and got[0][2] is None
