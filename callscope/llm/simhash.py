@@ -136,7 +136,8 @@ def links(fps: DataFrame) -> DataFrame:
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.get("families", F.lit(b)) for b in choice]) for i, choice in enumerate(CHOICES)])
     rows = pivot_table(fps).select("fp", "p0", "p1", F.explode(keys).alias("key"))
     same = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= DISTANCE
-    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _coordinates_close() & same)
+    # Spark takes the exploded rows for a row a fingerprint and would broadcast millions of them.
+    pairs = rows.alias("x").hint("merge").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.fp") < F.col("y.fp")) & _coordinates_close() & same)
     return pairs.select(F.col("x.fp").alias("a"), F.col("y.fp").alias("b"))
 
 

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from callscope.llm import bpe, chat, lcp, licences, mixing, pii, quality, rules, simhash, tokens, wordpieces
 
@@ -810,3 +811,10 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF)
     kept = {r.doc_id for r in rows.select("doc_id").distinct().collect()}
     assert 0 < len(kept) < docs.count() and kept <= {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_no_broadcast_of_the_pivot_rows(spark, tmp_path):
+    # Few bytes on disk, but 28 rows a fingerprint.
+    spark.range(2000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
+    plan = simhash.links(spark.read.parquet(str(tmp_path / "fps")))._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
