@@ -818,3 +818,21 @@ def test_no_broadcast_of_the_pivot_rows(spark, tmp_path):
     spark.range(2000).select(F.xxhash64("id").alias("fp")).write.parquet(str(tmp_path / "fps"))
     plan = simhash.links(spark.read.parquet(str(tmp_path / "fps")))._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_no_broadcast_of_keys_or_their_pairs(spark, monkeypatch):
+    from callscope.llm import resemblance
+
+    plans, inner = {}, resemblance.materialise
+
+    def materialise(df, label, *more):
+        plans.setdefault(label, []).append(df._jdf.queryExecution().sparkPlan().toString())
+        return inner(df, label, *more)
+
+    monkeypatch.setattr(resemblance, "materialise", materialise)
+    r = random.Random(8)
+    texts = [" ".join(r.choices(("one", "two", "three", "four", "five", "six"), k=30)) for _ in range(40)]
+    resemblance.near_copies(spark.createDataFrame([(i, t + (" x" if i >= 40 else "")) for i, t in enumerate(texts * 2)], "doc_id long, text string"))
+    assert "SortMergeJoin" in plans["members"][-1] and "Broadcast" not in plans["members"][-1]
+    assert "arrays_overlap" in plans["candidate-pairs"][-1]
+    assert any("SortMergeJoin" in line and "arrays_overlap" in line for line in plans["candidate-pairs"][-1].splitlines())
