@@ -25,6 +25,17 @@ def test_of_lines_of_one_position_the_first_read_counts(spark, tmp_path):
     assert oracle.difference(spark, "history_repeats", str(tmp_path), catalog.QUERIES, catalog.ORACLE_SQL) == ""
 
 
+def test_of_pages_of_one_url_the_first_read_counts(spark, tmp_path):
+    import pandas as pd
+
+    # Page ids descend, so that the page read first is not the one of the least id; 121 and 111 have one url, 113 and 103 another.
+    ids = [123, 121, 113, 111, 103, 101]
+    urls = {121: "https://h.org/en/7", 111: "https://h.org/en/7", 113: "https://h.org/en/8", 103: "https://h.org/en/8"}
+    rows = [(i, urls.get(i, f"https://h.org/en/x{i}"), "<p>nada</p>" + "<a href='/e/chamada-de-mobilidade'>Chamada de mobilidade</a>" * (i in (121, 103))) for i in ids]
+    pd.DataFrame(rows, columns=["page_id", "url", "html"]).to_parquet(tmp_path / "pages.parquet")
+    assert oracle.difference(spark, "replacement_pages", str(tmp_path), catalog.QUERIES, catalog.ORACLE_SQL) == ""
+
+
 def test_entry(spark):
     import __spark_entry__
 
