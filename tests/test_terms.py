@@ -62,3 +62,15 @@ def test_texts_come_to_workers_in_bounded_batches(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "named(" not in plan
     assert found.first().term_ids == [3, 7]
+
+
+def test_every_word_of_the_benchmark_is_a_term(spark, tmp_path):
+    import oracle
+    import pandas as pd
+    from callscope.plans import catalog
+
+    pd.DataFrame([(1, "Ação de um e o lar"), (2, "e"), (3, ""), (4, None)], columns=["item_id", "text"]).to_parquet(tmp_path / "benchmark.parquet")
+    pd.DataFrame([(1, "um dia, lá"), (2, "xyz"), (3, "Acao"), (4, None), (5, "LAR")], columns=["doc_id", "text"]).to_parquet(tmp_path / "documents.parquet")
+    # acao 1, de 2, e 3, lar 4, o 5, um 6
+    assert {r.doc_id: (r.n_terms, r.ids) for r in catalog.QUERIES["large_lexicon"](spark, str(tmp_path)).collect()} == {1: (1, 6), 3: (2, 6), 5: (1, 4)}
+    assert oracle.difference(spark, "large_lexicon", str(tmp_path), catalog.QUERIES, catalog.ORACLE_SQL) == ""
