@@ -1,4 +1,9 @@
-"""Search of the panel's rows through an index of trigrams that grows run by run."""
+"""Search of the panel's rows through an index of trigrams that grows run by run.
+
+A gram's postings name blocks of keys, not keys: texts that are alike share most of
+their grams, so a block has few more than one of its texts. What a block holds is
+read and compared, so a search finds what a scan finds.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +19,8 @@ from callscope.sources import storage
 RAREST = 3
 #: Folders of the kept texts; a search reads those that its candidates lie in.
 PARTS = 64
+#: Blocks of keys in a folder, by the key's hash, the same in every run.
+BLOCKS = 1 << 8
 
 
 def comparable(text: Column) -> Column:
@@ -30,12 +37,14 @@ def searched_text(title: Column, source: Column, region: Column, why: Column, ax
 def grams(text: Column) -> Column:
     """The distinct trigrams of a text, in time that grows with its length; none of a shorter or null one."""
 
-    def cut(chars: Column) -> Column:
-        places = F.when(F.size(chars) > 2, F.sequence(F.lit(1), F.size(chars) - 2)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(places, lambda i: F.array_join(F.slice(chars, i, 3), "")))
+    # Each match is one character, which keeps pairs of surrogates together, and looks at the two behind it.
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit("(?s)(?=(...))."), F.lit(1)))
+
 
-    # A bound variable, so that the split is not repeated for every place.
-    return F.element_at(F.transform(F.array(F.split(F.coalesce(text, F.lit("")), "")), cut), 1)
+def _places(key: Column) -> dict[str, Column]:
+    """The folder and the block of a key."""
+    place = F.pmod(F.xxhash64(key), F.lit(PARTS * BLOCKS))
+    return {"part": (place % PARTS).cast("int"), "block": F.floor(place / PARTS).cast("int")}
 
 
 def extend(rows: DataFrame, root: str, key: str, text: str) -> int:
@@ -59,20 +68,20 @@ def compact(spark: SparkSession, root: str) -> int:
 def _add(rows: DataFrame, root: str, number: int, runs: list[str]) -> int:
     spark, root, run = rows.sparkSession, root.rstrip("/"), f"{number + 1:09d}-{uuid.uuid4().hex}"
     newest = rows.filter("key IS NOT NULL").groupBy("key").agg(F.max("text").alias("text"))
-    texts = newest.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)).cast("int"))
-    # Ranges by part and key: a folder's rows are few files, and a large folder is more than one task.
-    texts.repartitionByRange("part", "key").write.partitionBy("part").parquet(f"{root}/texts/run={run}")
-    kept = spark.read.schema(texts.schema).parquet(f"{root}/texts/run={run}")
-    postings = kept.select(F.explode(grams(F.col("text"))).alias("gram"), "key", "part")
-    # Sorted by gram, so that the files' statistics leave out all but a search's grams; a gram of very many rows spans ranges by key.
-    postings.repartitionByRange("gram", "key").sortWithinPartitions("gram", "key").write.parquet(f"{root}/postings/run={run}")
-    counted = spark.read.schema(postings.schema).parquet(f"{root}/postings/run={run}").groupBy("gram").agg(F.count("*").alias("n"))
+    texts = newest.withColumn("part", _places(F.col("key"))["part"])
+    # Ranges by part and block: a folder's rows are few files, a large folder is more than one task, and a block's texts lie together.
+    texts.repartitionByRange("part", _places(F.col("key"))["block"], "key").write.partitionBy("part").parquet(f"{root}/texts/run={run}")
+    kept = spark.read.schema(texts.schema).parquet(f"{root}/texts/run={run}").withColumn("block", _places(F.col("key"))["block"])
+    blocks = kept.select(F.explode(grams(F.col("text"))).alias("gram"), "part", "block").distinct()
+    # Sorted by gram, so that the files' statistics leave out all but a search's grams; a gram of very many blocks spans ranges.
+    blocks.repartitionByRange("gram", "part", "block").sortWithinPartitions("gram", "part", "block").write.parquet(f"{root}/blocks/run={run}")
+    counted = spark.read.schema(blocks.schema).parquet(f"{root}/blocks/run={run}").groupBy("gram").agg(F.count("*").alias("n"))
     counted.repartitionByRange("gram").sortWithinPartitions("gram").write.parquet(f"{root}/counts/run={run}")
     return storage.commit(spark, root, {"runs": [*runs, run], "key": rows.schema["key"].dataType.simpleString()}, number)
 
 
 #: Columns of the three tables; runs that wrote no row leave folders without a schema.
-_COLUMNS = {"texts": "key {key}, text string, run string, part int", "postings": "gram string, key {key}, part int, run string", "counts": "gram string, n long, run string"}
+_COLUMNS = {"texts": "key {key}, text string, run string, part int", "blocks": "gram string, part int, block int, run string", "counts": "gram string, n long, run string"}
 
 
 def _read(spark: SparkSession, root: str, what: str, says: dict) -> DataFrame:
@@ -88,8 +97,8 @@ def _newest(texts: DataFrame) -> DataFrame:
 def search(spark: SparkSession, root: str, asked: str) -> DataFrame:
     """(key) of the rows whose text contains ``asked``: the rows that a scan of all texts finds.
 
-    Candidates hold the rarest trigrams of the search in one run; their newest texts are
-    read and compared. A blank search finds every row, one below three characters scans the texts.
+    Candidates are the blocks that hold the rarest trigrams of the search in one run; their
+    texts are read and compared, and of each key the newest counts. A blank search finds every row, one below three characters scans the texts.
     """
     number, says = storage.latest(spark, root)
     if not number:
@@ -97,8 +106,10 @@ def search(spark: SparkSession, root: str, asked: str) -> DataFrame:
     needle, wanted = spark.range(1).select(comparable(F.lit(asked.strip())), grams(comparable(F.lit(asked.strip())))).first()
     texts = _read(spark, root, "texts", says)
     if wanted:
-        texts = _of_candidates(texts, _read(spark, root, "postings", says), _rarest(_read(spark, root, "counts", says), wanted))
-    return _newest(texts).filter(F.contains("text", F.lit(needle))).select("key")
+        texts = _of_candidates(texts, _read(spark, root, "blocks", says), _rarest(_read(spark, root, "counts", says), wanted))
+    # The verdict goes through the shuffle, not the text.
+    hits = texts.select("key", "run", F.contains("text", F.lit(needle)).alias("hit"))
+    return hits.groupBy("key").agg(F.max_by("hit", "run").alias("hit")).filter("hit").select("key")
 
 
 def _rarest(counts: DataFrame, wanted: list[str]) -> list[str]:
@@ -108,8 +119,8 @@ def _rarest(counts: DataFrame, wanted: list[str]) -> list[str]:
     return sorted(wanted, key=lambda g: (seen.get(g, 0), g))[:RAREST]
 
 
-def _of_candidates(texts: DataFrame, postings: DataFrame, chosen: list[str]) -> DataFrame:
-    """All runs' texts of the keys that have the chosen grams in one run; other parts' folders are not read where the candidates are broadcast."""
-    shared = postings.filter(F.col("gram").isin(chosen)).groupBy("run", "part", "key").agg(F.count("*").alias("n"))
-    candidates = shared.filter(F.col("n") == len(chosen)).select("part", "key").distinct()
-    return texts.join(candidates, ["part", "key"], "left_semi")
+def _of_candidates(texts: DataFrame, blocks: DataFrame, chosen: list[str]) -> DataFrame:
+    """All runs' texts of the blocks that have the chosen grams in one run; other parts' folders are not read where the candidates are broadcast."""
+    shared = blocks.filter(F.col("gram").isin(chosen)).groupBy("run", "part", "block").agg(F.count("*").alias("n"))
+    candidates = shared.filter(F.col("n") == len(chosen)).select("part", "block").distinct()
+    return texts.withColumn("block", _places(F.col("key"))["block"]).join(candidates, ["part", "block"], "left_semi")

@@ -89,3 +89,19 @@ def test_parts_that_hold_no_candidate_are_pruned(spark, tmp_path):
     assert [r.key for r in hits.collect()] == [77]
     plan = hits._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan and "In(gram" in plan
+
+
+def test_alike_texts_share_their_postings(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "PARTS", 4)
+    monkeypatch.setattr(search, "BLOCKS", 8, raising=False)
+    root, n = f"file://{tmp_path}/index", 4000
+    live = {i: f"Chamada de cooperacao internacional com bolsas de mobilidade numero {i}" for i in range(n)}
+    changed = {i: None if i % 2 else f"edital {i}" for i in range(0, n, 7)}
+    for run in (live, changed):
+        search.extend(table(spark, run), root, "id", "t")
+    live |= changed
+    for asked in ("numero 77", "numero 777", "edital 14", "bolsas", "1 edital"):
+        assert found(spark, root, asked) == scan(live, asked), asked
+    kinds = [p for p in (tmp_path / "index").iterdir() if p.name not in ("texts", "counts", "commits")]
+    # A text has some sixty grams.
+    assert sum(spark.read.parquet(f"file://{p}").count() for p in kinds) < 10 * n
